@@ -13,11 +13,13 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # fixed values: character classes and patterns
 SPACE_CHARS = (
-    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0       "
-    "         　"
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+    "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
 )
 SPACE = (
     r"[\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
@@ -73,26 +75,26 @@ def whitespace_tokens(col: Column) -> Column:
     return F.regexp_extract_all(col, F.lit(f"({NON_SPACE}+)"), F.lit(1))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nfkc_then_unescape(values: pd.Series) -> pd.Series:
     return values.map(
         lambda v: html.unescape(unicodedata.normalize("NFKC", v)), na_action="ignore"
     )
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _unescape_then_nfkc(values: pd.Series) -> pd.Series:
     return values.map(
         lambda v: unicodedata.normalize("NFKC", html.unescape(v)), na_action="ignore"
     )
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nfkc(values: pd.Series) -> pd.Series:
     return values.map(lambda v: unicodedata.normalize("NFKC", v), na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _unescape(values: pd.Series) -> pd.Series:
     return values.map(html.unescape, na_action="ignore")
 
