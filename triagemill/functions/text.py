@@ -283,47 +283,47 @@ def word_tokens(col: Column) -> Column:
     return F.regexp_extract_all(F.lower(text_or_empty(col)), F.lit(f"({WORD}{{2,}})"), F.lit(1))
 
 
+def _no_terms() -> Column:
+    return F.array().cast("array<string>")
+
+
+def _word_grams(tokens: Column, n: int) -> Column:
+    last = F.size(tokens) - (n - 1)
+    starts = F.sequence(F.lit(1), F.greatest(last, F.lit(1)))
+    grams = F.transform(starts, lambda i: F.array_join(F.slice(tokens, i, F.lit(n)), " "))
+    return F.when(last >= 1, grams).otherwise(_no_terms())
+
+
 def ngrams(tokens: Column, low: int, high: int) -> Column:
     """All word n-grams with low <= n <= high, joined by one blank."""
-    parts = []
-    for n in range(low, high + 1):
-        if n == 1:
-            parts.append(tokens)
-            continue
-        last = F.size(tokens) - (n - 1)
-        parts.append(
-            F.when(
-                last >= 1,
-                F.transform(
-                    F.sequence(F.lit(1), F.greatest(last, F.lit(1))),
-                    lambda i, n=n: F.array_join(F.slice(tokens, i, F.lit(n)), " "),
-                ),
-            ).otherwise(F.array().cast("array<string>"))
-        )
+    parts = [tokens if n == 1 else _word_grams(tokens, n) for n in range(low, high + 1)]
     return parts[0] if len(parts) == 1 else F.concat(*parts)
 
 
+def _char_grams(words: Column, n: int) -> Column:
+    def of_word(word: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.length(word) - (n - 1), F.lit(1)))
+        return F.transform(starts, lambda i: F.substring(word, i, F.lit(n)))
+
+    return F.flatten(F.transform(words, of_word))
+
+
+def _at_least(words: Column, n: int) -> Column:
+    return F.filter(words, lambda word: F.length(word) >= n)
+
+
 def char_wb_ngrams(col: Column, low: int = 3, high: int = 5) -> Column:
-    """Character n-grams inside blank-padded words; a short padded word counts once."""
+    """Character n-grams inside blank-padded words.
+
+    A word shorter than n + 1 counts whole and takes part in no longer n.
+    """
     words = F.transform(
         whitespace_tokens(F.lower(text_or_empty(col))),
         lambda w: F.concat(F.lit(" "), w, F.lit(" ")),
     )
-    parts = []
-    for n in range(low, high + 1):
-        # a word no longer than n - 1 was already counted whole at the previous n
-        usable = words if n == low else F.filter(words, lambda w, n=n: F.length(w) >= n)
-        parts.append(
-            F.flatten(
-                F.transform(
-                    usable,
-                    lambda w, n=n: F.transform(
-                        F.sequence(F.lit(1), F.greatest(F.length(w) - (n - 1), F.lit(1))),
-                        lambda i: F.substring(w, i, F.lit(n)),
-                    ),
-                )
-            )
-        )
+    parts = [
+        _char_grams(words if n == low else _at_least(words, n), n) for n in range(low, high + 1)
+    ]
     return F.concat(*parts)
 
 

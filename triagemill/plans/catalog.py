@@ -1,4 +1,9 @@
 """Imports every query module so that the registry is complete."""
 
-from triagemill.plans import source_queries  # noqa: F401
+from triagemill.plans import (  # noqa: F401
+    duplicate_queries,
+    label_queries,
+    source_queries,
+    text_queries,
+)
 from triagemill.plans.registry import ORACLE, QUERIES  # noqa: F401
