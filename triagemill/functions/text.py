@@ -283,15 +283,14 @@ def word_tokens(col: Column) -> Column:
     return F.regexp_extract_all(F.lower(text_or_empty(col)), F.lit(f"({WORD}{{2,}})"), F.lit(1))
 
 
-def _no_terms() -> Column:
-    return F.array().cast("array<string>")
-
-
 def _word_grams(tokens: Column, n: int) -> Column:
-    last = F.size(tokens) - (n - 1)
-    starts = F.sequence(F.lit(1), F.greatest(last, F.lit(1)))
-    grams = F.transform(starts, lambda i: F.array_join(F.slice(tokens, i, F.lit(n)), " "))
-    return F.when(last >= 1, grams).otherwise(_no_terms())
+    """Shifted copies zipped together: linear in the number of tokens."""
+    last = F.greatest(F.size(tokens) - (n - 1), F.lit(0))
+    grams = F.slice(tokens, F.lit(1), last)
+    for shift in range(1, n):
+        following = F.slice(tokens, F.lit(shift + 1), last)
+        grams = F.zip_with(grams, following, lambda a, b: F.concat_ws(" ", a, b))
+    return grams
 
 
 def ngrams(tokens: Column, low: int, high: int) -> Column:

@@ -21,15 +21,18 @@ def term_counts(docs: DataFrame) -> DataFrame:
 
     Terms are made distinct inside the row, so no (row, term) shuffle is needed.
     """
-    occurrences = docs.select(F.explode("terms").alias("term")).groupBy("term").agg(
-        F.count("*").alias("occurrences")
+    every = F.transform(
+        "terms", lambda t: F.struct(t.alias("term"), F.lit(1).alias("o"), F.lit(0).alias("r"))
     )
-    rows = (
-        docs.select(F.explode(F.array_distinct("terms")).alias("term"))
-        .groupBy("term")
-        .agg(F.count("*").alias("reports"))
+    once = F.transform(
+        F.array_distinct("terms"),
+        lambda t: F.struct(t.alias("term"), F.lit(0).alias("o"), F.lit(1).alias("r")),
+    )
+    return (
+        docs.select(F.explode(F.concat(every, once)).alias("e"))
+        .groupBy("e.term")
+        .agg(F.sum("e.o").alias("occurrences"), F.sum("e.r").alias("reports"))
     )
-    return occurrences.join(rows, "term")
 
 
 def token_budget(
@@ -189,9 +192,9 @@ def inspect_dataset(core: DataFrame, columns: list[str]) -> DataFrame:
         return F.struct(
             section.alias("section"),
             item.alias("item"),
-            (count if count is not None else F.lit(None)).cast("bigint").alias("count"),
-            (share if share is not None else F.lit(None)).cast("double").alias("share"),
-            (detail if detail is not None else F.lit(None)).cast("string").alias("detail"),
+            (count if count is not None else F.lit(0)).cast("bigint").alias("count"),
+            (share if share is not None else F.lit(0.0)).alias("share"),
+            F.coalesce(detail if detail is not None else F.lit(""), F.lit("")).alias("detail"),
         )
 
     rows = wide.select(
@@ -227,9 +230,9 @@ def inspect_dataset(core: DataFrame, columns: list[str]) -> DataFrame:
             F.when(
                 F.col("section") == "severity",
                 F.col("count") / F.sum("count").over(Window.partitionBy("section")),
-            ),
+            ).otherwise(0.0),
         )
-        .withColumn("detail", F.lit(None).cast("string"))
+        .withColumn("detail", F.lit(""))
     )
     copies = (
         core.groupBy(
@@ -242,8 +245,8 @@ def inspect_dataset(core: DataFrame, columns: list[str]) -> DataFrame:
             F.lit("rows").alias("section"),
             F.lit("duplicate_count").alias("item"),
             "count",
-            F.lit(None).cast("double").alias("share"),
-            F.lit(None).cast("string").alias("detail"),
+            F.lit(0.0).alias("share"),
+            F.lit("").alias("detail"),
         )
     )
     return rows.unionByName(values).unionByName(copies)

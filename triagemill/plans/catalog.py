@@ -1,9 +1,11 @@
 """Imports every query module so that the registry is complete."""
 
 from triagemill.plans import (  # noqa: F401
+    audit_queries,
     duplicate_queries,
     label_queries,
     source_queries,
+    split_queries,
     text_queries,
 )
 from triagemill.plans.registry import ORACLE, QUERIES  # noqa: F401

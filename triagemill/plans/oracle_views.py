@@ -108,21 +108,51 @@ WHERE pos < n_rows - (3 - fold) * (n_rows // 4)
   AND (pos < n_rows - (4 - fold) * (n_rows // 4) OR first_pos >= n_rows - (4 - fold) * (n_rows // 4))"""
 
 VIEWS["v_predictions"] = """
-SELECT f.id, f.fold, m.model, f.project, f.component, f.severity AS true_label,
-  CASE WHEN m.model = 'component_majority' THEN j.majority ELSE coalesce(p.previous, j.majority) END
-    AS predicted_label,
-  f.rank AS true_rank, r.ord AS predicted_rank, f.creation_time, f.pos, f.n_rows
-FROM v_folds f
-CROSS JOIN (SELECT unnest(['component_majority', 'previous_ticket']) AS model) m
-JOIN (SELECT fold, component, arg_min(severity, (-n, severity)) AS majority
-      FROM (SELECT fold, component, severity, count(*) AS n FROM v_folds WHERE role = 'train'
-            GROUP BY ALL) GROUP BY ALL) j ON f.fold = j.fold AND f.component = j.component
-JOIN (SELECT id, lag(severity) OVER (PARTITION BY customer ORDER BY creation_time, seq) AS previous
-      FROM v_tickets) p ON f.id = p.id
+SELECT q.id, q.fold, q.model, q.project, q.component, q.true_label, q.predicted_label, q.true_rank,
+  r.ord AS predicted_rank, q.creation_time, q.pos, q.n_rows
+FROM (
+  SELECT f.id, f.fold, m.model, f.project, f.component, f.severity AS true_label,
+    CASE m.model WHEN 'component_majority' THEN j.majority WHEN 'project_majority' THEN h.majority
+      ELSE coalesce(p.previous, j.majority) END AS predicted_label,
+    f.rank AS true_rank, f.creation_time, f.pos, f.n_rows
+  FROM v_folds f
+  CROSS JOIN (SELECT unnest(['component_majority', 'previous_ticket', 'project_majority']) AS model) m
+  JOIN (SELECT fold, component, arg_min(severity, (-n, severity)) AS majority
+        FROM (SELECT fold, component, severity, count(*) AS n FROM v_folds WHERE role = 'train'
+              GROUP BY ALL) GROUP BY ALL) j ON f.fold = j.fold AND f.component = j.component
+  LEFT JOIN (SELECT fold, project, arg_min(severity, (-n, severity)) AS majority
+        FROM (SELECT fold, project, severity, count(*) AS n FROM v_folds WHERE role = 'train'
+              GROUP BY ALL) GROUP BY ALL) h ON f.fold = h.fold AND f.project = h.project
+  JOIN (SELECT id, lag(severity) OVER (PARTITION BY customer ORDER BY creation_time, seq) AS previous
+        FROM v_tickets) p ON f.id = p.id
+  WHERE f.role = 'validation') q
 JOIN (SELECT * FROM (VALUES ('5-LOW', 0), ('4-NOT SPECIFIED', 1), ('3-MEDIUM', 2), ('2-HIGH', 3),
-      ('1-URGENT', 4)) t(label, ord)) r
-  ON r.label = CASE WHEN m.model = 'component_majority' THEN j.majority
-                    ELSE coalesce(p.previous, j.majority) END
+      ('1-URGENT', 4)) t(label, ord)) r ON r.label = q.predicted_label"""
+
+VIEWS["v_report_folds"] = """
+SELECT s.* EXCLUDE (first_pos), CAST(f.fold AS INTEGER) AS fold,
+  CASE WHEN pos < n_rows - (4 - fold) * (n_rows // 4) THEN 'train' ELSE 'validation' END AS role
+FROM (SELECT *, min(pos) OVER (PARTITION BY duplicate_group) AS first_pos FROM (
+  SELECT global_report_key, severity, creation_time, component, duplicate_group_id AS duplicate_group,
+    summary, description, row_number() OVER (ORDER BY creation_time, global_report_key) - 1 AS pos,
+    count(*) OVER () AS n_rows
+  FROM (SELECT *, row_number() OVER (PARTITION BY exact_text_hash ORDER BY creation_time, global_report_key) AS rn
+        FROM v_eligible) WHERE rn = 1)) s
+CROSS JOIN (SELECT unnest([1, 2, 3]) AS fold) f
+WHERE pos < n_rows - (3 - fold) * (n_rows // 4)
+  AND (pos < n_rows - (4 - fold) * (n_rows // 4) OR first_pos >= n_rows - (4 - fold) * (n_rows // 4))"""
+
+VIEWS["v_report_fold_predictions"] = """
+SELECT f.global_report_key, f.fold, m.model, f.severity AS true_label,
+  CASE m.model WHEN 'component_majority' THEN coalesce(j.majority, o.majority) ELSE o.majority END AS predicted_label
+FROM v_report_folds f
+CROSS JOIN (SELECT unnest(['component_majority', 'overall_majority']) AS model) m
+LEFT JOIN (SELECT fold, component, arg_min(severity, (-n, severity)) AS majority
+      FROM (SELECT fold, component, severity, count(*) AS n FROM v_report_folds WHERE role = 'train'
+            GROUP BY ALL) GROUP BY ALL) j ON f.fold = j.fold AND f.component = j.component
+JOIN (SELECT fold, arg_min(severity, (-n, severity)) AS majority
+      FROM (SELECT fold, severity, count(*) AS n FROM v_report_folds WHERE role = 'train'
+            GROUP BY ALL) GROUP BY ALL) o ON f.fold = o.fold
 WHERE f.role = 'validation'"""
 
 VIEWS["v_report_predictions"] = """

@@ -150,7 +150,7 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Out-of-fold predictions of two rule models over the three ticket folds."""
+    """Out-of-fold predictions of three rule models over the three ticket folds."""
     folds = ticket_folds(spark, sf_dir)
     train = (
         folds.filter(F.col("role") == "train")
@@ -158,6 +158,14 @@ def _predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
         .agg(F.count("*").alias("n"))
     )
     majority = majority_label(train, ["fold", "component"], "severity", "n")
+    by_project = (
+        folds.filter(F.col("role") == "train")
+        .groupBy("fold", "project", "severity")
+        .agg(F.count("*").alias("n"))
+    )
+    project_majority = majority_label(
+        by_project, ["fold", "project"], "severity", "n"
+    ).withColumnRenamed("majority", "project_majority")
     # previous ticket of the customer: neighbours in (customer, time, key) order
     ordered = with_position(
         tickets(spark, sf_dir).select("id", "seq", "customer", "creation_time", "severity"),
@@ -174,6 +182,7 @@ def _predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = (
         folds.filter(F.col("role") == "validation")
         .join(F.broadcast(majority), ["fold", "component"], "left")
+        .join(F.broadcast(project_majority), ["fold", "project"], "left")
         .join(previous, "id", "left")
     )
     models = F.array(
@@ -182,6 +191,9 @@ def _predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.lit("previous_ticket").alias("model"),
             F.coalesce("previous", "majority").alias("label"),
         ),
+        F.struct(
+            F.lit("project_majority").alias("model"), F.col("project_majority").alias("label")
+        ),
     )
     return rows.withColumn("_m", F.explode(models)).select(
         "id",
@@ -231,6 +243,58 @@ def _report_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def report_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three purged expanding folds over the deduplicated eligible reports."""
+    from triagemill.operators.duplicates import keep_earliest
+    from triagemill.operators.eligibility import eligible_reports
+
+    def build() -> DataFrame:
+        rows = keep_earliest(eligible_reports(core(spark, sf_dir))).select(
+            "global_report_key",
+            "severity",
+            "creation_time",
+            "component",
+            F.col("duplicate_group_id").alias("duplicate_group"),
+        )
+        positioned = with_position(rows, ["creation_time", "global_report_key"])
+        return expanding_folds(positioned, 3)
+
+    return remember(spark, sf_dir, "report_folds", build)
+
+
+def report_fold_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Majority class of the component, and of all training rows, per report fold."""
+    folds = report_folds(spark, sf_dir)
+    train = (
+        folds.filter(F.col("role") == "train")
+        .groupBy("fold", "component", "severity")
+        .agg(F.count("*").alias("n"))
+    )
+    totals = train.groupBy("fold", "severity").agg(F.sum("n").alias("n"))
+    overall = majority_label(totals, ["fold"], "severity", "n").withColumnRenamed(
+        "majority", "overall"
+    )
+    local = majority_label(train, ["fold", "component"], "severity", "n")
+    models = F.array(
+        F.struct(F.lit("component_majority").alias("model"),
+                 F.coalesce("majority", "overall").alias("label")),
+        F.struct(F.lit("overall_majority").alias("model"), F.col("overall").alias("label")),
+    )
+    return (
+        folds.filter(F.col("role") == "validation")
+        .join(local, ["fold", "component"], "left")
+        .join(F.broadcast(overall), "fold")
+        .withColumn("_m", F.explode(models))
+        .select(
+            "global_report_key",
+            "fold",
+            F.col("_m.model").alias("model"),
+            F.col("severity").alias("true_label"),
+            F.col("_m.label").alias("predicted_label"),
+        )
+    )
+
+
 def probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remember(spark, sf_dir, "probabilities", lambda: _probabilities(spark, sf_dir))
 
