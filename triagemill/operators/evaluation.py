@@ -689,3 +689,26 @@ def with_length_bucket(df: DataFrame, summary: str, description: str, sep: str)
         "text_length_group",
         length_bucket(F.length(joined(F.col(summary), F.col(description), sep))),
     )
+
+
+def monotonicity_audit(scored: DataFrame, keys: list[str], size: int) -> DataFrame:
+    """Rows whose raw probabilities rise, and how far the projection moves them."""
+    from triagemill.functions.ordinal import project_monotonic
+
+    q = F.col("q")
+    moved = F.zip_with(q, project_monotonic(q, size), lambda a, b: F.abs(a - b))
+    rises = F.exists(
+        F.zip_with(
+            F.slice(q, 1, size - 1), F.slice(q, 2, size - 1), lambda a, b: b - a
+        ),
+        lambda d: d > 1e-12,
+    )
+    per_row = scored.select(*keys, moved.alias("_moved"), rises.alias("_rises"))
+    total = F.aggregate("_moved", F.lit(0.0), lambda acc, x: acc + x)
+    return per_row.groupBy(*keys).agg(
+        F.count("*").alias("rows"),
+        F.count_if("_rises").alias("violating_rows"),
+        F.avg(F.col("_rises").cast("double")).alias("violation_rate"),
+        F.avg(total / size).alias("mean_absolute_correction"),
+        F.max(F.array_max("_moved")).alias("maximum_absolute_correction"),
+    )

@@ -3,6 +3,7 @@
 from triagemill.plans import (  # noqa: F401
     audit_queries,
     duplicate_queries,
+    evaluation_queries,
     label_queries,
     source_queries,
     split_queries,
