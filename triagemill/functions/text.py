@@ -307,6 +307,19 @@ def _char_grams(words: Column, n: int) -> Column:
     return F.flatten(F.transform(words, of_word))
 
 
+def char_ngrams(col: Column, low: int, high: int) -> Column:
+    """Character n-grams of the whole text with runs of blanks collapsed."""
+    flat = collapse(F.lower(text_or_empty(col)))
+    return F.concat(
+        *[
+            F.when(F.length(flat) >= n, _char_grams(F.array(flat), n)).otherwise(
+                F.array().cast("array<string>")
+            )
+            for n in range(low, high + 1)
+        ]
+    )
+
+
 def _at_least(words: Column, n: int) -> Column:
     return F.filter(words, lambda word: F.length(word) >= n)
 

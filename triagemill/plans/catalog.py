@@ -5,6 +5,7 @@ from triagemill.plans import (  # noqa: F401
     duplicate_queries,
     evaluation_queries,
     label_queries,
+    model_queries,
     source_queries,
     split_queries,
     text_queries,

@@ -449,24 +449,22 @@ def mod15(spark, sf_dir):
     f"SELECT id, {', '.join(f'round(p[{i + 1}], 6) + 0.0 AS p{i}' for i in range(5))} FROM {DECODED}",
 )
 def mod16(spark, sf_dir):
-    df = views.probabilities(spark, sf_dir).withColumn(
-        "p", O.class_probabilities(O.project_monotonic(F.col("q"), 4))
-    )
+    df = views.probabilities(spark, sf_dir).withColumn("m", O.project_monotonic(F.col("q"), 4))
+    df = df.withColumn("p", O.class_probabilities(F.col("m")))
     return rounded(df.select("id", *[F.col("p")[i].alias(f"p{i}") for i in range(5)]))
 
 
 @query(
     "mod17",
     f"""SELECT id, len(list_filter(raw, lambda x: x >= 0.5)) AS hard,
-  list_position(list_transform(p, lambda x: round(x, 12)), list_max(list_transform(p, lambda x: round(x, 12)))) - 1 AS argmax,
+  CAST(list_position(list_transform(p, lambda x: round(x, 12)), list_max(list_transform(p, lambda x: round(x, 12)))) - 1 AS BIGINT) AS argmax,
   CAST(least(greatest(floor(p[2] + 2 * p[3] + 3 * p[4] + 4 * p[5] + 0.5), 0), 4) AS BIGINT) AS expected
 FROM {DECODED}""",
 )
 def mod17(spark, sf_dir):
-    p = F.transform(
-        O.class_probabilities(O.project_monotonic(F.col("q"), 4)), lambda x: F.round(x, 12)
-    )
-    df = views.probabilities(spark, sf_dir).withColumn("p", p)
+    df = views.probabilities(spark, sf_dir).withColumn("m", O.project_monotonic(F.col("q"), 4))
+    p = F.transform(O.class_probabilities(F.col("m")), lambda x: F.round(x, 12))
+    df = df.withColumn("p", p)
     return df.select(
         "id",
         O.decode_hard(F.col("q")).cast("bigint").alias("hard"),

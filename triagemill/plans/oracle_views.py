@@ -129,15 +129,18 @@ FROM (
 JOIN (SELECT * FROM (VALUES ('5-LOW', 0), ('4-NOT SPECIFIED', 1), ('3-MEDIUM', 2), ('2-HIGH', 3),
       ('1-URGENT', 4)) t(label, ord)) r ON r.label = q.predicted_label"""
 
+VIEWS["v_report_docs"] = """
+SELECT global_report_key, source_project, severity, creation_time, component,
+  duplicate_group_id AS duplicate_group, summary, description,
+  row_number() OVER (ORDER BY creation_time, global_report_key) - 1 AS pos, count(*) OVER () AS n_rows
+FROM (SELECT *, row_number() OVER (PARTITION BY exact_text_hash ORDER BY creation_time, global_report_key) AS rn
+      FROM v_eligible) WHERE rn = 1"""
+
 VIEWS["v_report_folds"] = """
 SELECT s.* EXCLUDE (first_pos), CAST(f.fold AS INTEGER) AS fold,
   CASE WHEN pos < n_rows - (4 - fold) * (n_rows // 4) THEN 'train' ELSE 'validation' END AS role
-FROM (SELECT *, min(pos) OVER (PARTITION BY duplicate_group) AS first_pos FROM (
-  SELECT global_report_key, severity, creation_time, component, duplicate_group_id AS duplicate_group,
-    summary, description, row_number() OVER (ORDER BY creation_time, global_report_key) - 1 AS pos,
-    count(*) OVER () AS n_rows
-  FROM (SELECT *, row_number() OVER (PARTITION BY exact_text_hash ORDER BY creation_time, global_report_key) AS rn
-        FROM v_eligible) WHERE rn = 1)) s
+FROM (SELECT * EXCLUDE (summary, description), min(pos) OVER (PARTITION BY duplicate_group) AS first_pos
+      FROM v_report_docs) s
 CROSS JOIN (SELECT unnest([1, 2, 3]) AS fold) f
 WHERE pos < n_rows - (3 - fold) * (n_rows // 4)
   AND (pos < n_rows - (4 - fold) * (n_rows // 4) OR first_pos >= n_rows - (4 - fold) * (n_rows // 4))"""

@@ -243,19 +243,31 @@ def _report_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def report_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three purged expanding folds over the deduplicated eligible reports."""
+def report_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Deduplicated eligible reports with their texts: the modelling view."""
     from triagemill.operators.duplicates import keep_earliest
     from triagemill.operators.eligibility import eligible_reports
 
     def build() -> DataFrame:
-        rows = keep_earliest(eligible_reports(core(spark, sf_dir))).select(
+        return keep_earliest(eligible_reports(core(spark, sf_dir))).select(
             "global_report_key",
+            "source_project",
             "severity",
             "creation_time",
             "component",
             F.col("duplicate_group_id").alias("duplicate_group"),
+            "summary",
+            "description",
         )
+
+    return remember(spark, sf_dir, "report_docs", build)
+
+
+def report_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three purged expanding folds over the modelling view, without its texts."""
+
+    def build() -> DataFrame:
+        rows = report_docs(spark, sf_dir).drop("summary", "description")
         positioned = with_position(rows, ["creation_time", "global_report_key"])
         return expanding_folds(positioned, 3)
 
