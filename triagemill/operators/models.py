@@ -22,7 +22,8 @@ from triagemill.constants import HIERARCHIES, LABELS
 from triagemill.functions.labels import invert, lookup
 
 MAX_ITER = 2000
-FIT_THREADS = 4
+FIT_THREADS = 8
+ROWS_PER_TASK = 5_000
 
 
 def in_parallel(tasks: list, threads: int = FIT_THREADS) -> list:
@@ -209,16 +210,24 @@ def validate_weights(weights: dict[str, float], labels: list[str]) -> dict[str,
     return {x: float(weights[x]) for x in labels}
 
 
-def _resolve_weights(train: DataFrame, label: str, scheme) -> dict[str, float]:
-    """Label -> weight; one row per label comes to the driver."""
+def _resolve_weights(
+    train: DataFrame, label: str, scheme
+) -> tuple[dict[str, float], dict[str, int]]:
+    """Label -> weight and label -> rows; one row per label comes to the driver."""
     rows = class_weights(train, label).collect()
     if len(rows) < 2:
         raise ValueError("Every node requires at least two training classes")
+    counts = {r["label"]: r["n"] for r in rows}
     if isinstance(scheme, dict):
-        return scheme
+        return scheme, counts
     if scheme is None:
-        return {r["label"]: 1.0 for r in rows}
-    return {r["label"]: r[scheme] for r in rows}
+        return {x: 1.0 for x in counts}, counts
+    return {r["label"]: r[scheme] for r in rows}, counts
+
+
+def sized_for_fit(rows: DataFrame, n: int) -> DataFrame:
+    """Fewer tasks per iteration for small inputs; large ones keep their partitions."""
+    return rows.coalesce(max(1, -(-n // ROWS_PER_TASK)))
 
 
 # ---- Spark ML fits -----------------------------------------------------------------------
@@ -229,6 +238,8 @@ class Spec:
     family: str
     c: float = 1.0
     weighting: object = "balanced"
+    # relative improvement of the objective at which a fit stops
+    tolerance: float = 1e-6
 
     @property
     def name(self) -> str:
@@ -296,28 +307,31 @@ def fit_classifier(train: DataFrame, spec: Spec, label: str = "label") -> Fitted
     The penalty is scaled so that the objective equals C times the summed weighted loss plus
     half the squared norm.
     """
-    weights = _resolve_weights(train, label, spec.weighting)
+    weights, counts = _resolve_weights(train, label, spec.weighting)
     labels = sorted(weights)
     position = {x: float(i) for i, x in enumerate(labels)}
-    weighted = train.select(
-        "features",
-        lookup(F.col(label), position).alias("_y"),
-        lookup(F.col(label), {x: float(weights[x]) for x in labels}).alias("_w"),
+    weighted = sized_for_fit(
+        train.select(
+            "features",
+            lookup(F.col(label), position).alias("_y"),
+            lookup(F.col(label), {x: float(weights[x]) for x in labels}).alias("_w"),
+        ),
+        sum(counts.values()),
     ).persist()
     try:
         if spec.family == "LogisticRegression":
-            total = weighted.agg(F.sum("_w")).first()[0]
+            total = sum(weights[x] * counts[x] for x in labels)
             family = "binomial" if len(labels) == 2 else "multinomial"
             model = LogisticRegression(
                 featuresCol="features", labelCol="_y", weightCol="_w", family=family,
                 regParam=1.0 / (spec.c * total), elasticNetParam=0.0, standardization=False,
-                maxIter=MAX_ITER, tol=1e-6,
+                maxIter=MAX_ITER, tol=spec.tolerance,
             ).fit(weighted)
             return Fitted(labels, [model], spec.family)
         if spec.family != "LinearSVC":
             raise ValueError(f"Unsupported model: {spec.family}")
         targets = labels[1:] if len(labels) == 2 else labels
-        models = []
+        tasks = []
         for target in targets:
             # only the positive class carries its weight in a one-vs-rest fit
             y = (F.col("_y") == position[target]).cast("double")
@@ -328,15 +342,15 @@ def fit_classifier(train: DataFrame, spec: Spec, label: str = "label") -> Fitted
                 .otherwise(F.lit(float(weights[labels[0]]) if len(labels) == 2 else 1.0))
                 .alias("_w"),
             )
-            total = part.agg(F.sum("_w")).first()[0]
-            models.append(
-                LinearSVC(
-                    featuresCol="features", labelCol="_y", weightCol="_w",
-                    regParam=1.0 / (spec.c * total), standardization=False, maxIter=200,
-                    tol=1e-5,
-                ).fit(part)
+            rest = sum(counts.values()) - counts[target]
+            other = weights[labels[0]] if len(labels) == 2 else 1.0
+            total = weights[target] * counts[target] + other * rest
+            svc = LinearSVC(
+                featuresCol="features", labelCol="_y", weightCol="_w",
+                regParam=1.0 / (spec.c * total), standardization=False, maxIter=200, tol=spec.tolerance,
             )
-        return Fitted(labels, models, spec.family)
+            tasks.append(lambda svc=svc, part=part: svc.fit(part))
+        return Fitted(labels, in_parallel(tasks), spec.family)
     finally:
         weighted.unpersist()
 
@@ -347,7 +361,7 @@ def fit_ridge(train: DataFrame, rank: str, alpha: float = 1.0):
     return LinearRegression(
         featuresCol="features", labelCol=rank, regParam=alpha * (facts["s"] or 1.0) / facts["n"],
         elasticNetParam=0.0, standardization=False, solver="l-bfgs", maxIter=MAX_ITER, tol=1e-9,
-    ).fit(train)
+    ).fit(sized_for_fit(train, facts["n"]))
 
 
 def _side(rows: DataFrame, fold, role: str) -> DataFrame:

@@ -91,18 +91,29 @@ def weighted(spark, sf_dir):
     )
 
 
-def vectors(spark, sf_dir):
-    """Assembled word (1,2) vectors of the three folds, shared by the iterative models."""
-    key = (spark.sparkContext.applicationId, sf_dir, "vectors")
+def unigram_branches():
+    return X.variant_branches("summary_description", "word_1_1")
+
+
+def unigram_table(spark, sf_dir) -> X.FeatureTable:
+    """Assembled unigram vectors of the three folds, shared by the iterative models."""
+    key = (spark.sparkContext.applicationId, sf_dir, "unigram_table")
     if key not in views._memo:
-        vocab = vocabulary(spark, sf_dir)
-        size = vocab.agg(F.max("idx")).first()[0] + 1
-        views._memo[key] = X.assemble(
-            weighted(spark, sf_dir), members(spark, sf_dir), KEY, None, size
+        views._memo[key] = X.build_features(
+            views.report_docs(spark, sf_dir), members(spark, sf_dir), KEY, unigram_branches(),
+            FOLDS,
         )
     return views._memo[key]
 
 
+def vectors(spark, sf_dir):
+    return unigram_table(spark, sf_dir).rows
+
+
+def logistic(weighting="balanced") -> M.Spec:
+    return M.Spec("LogisticRegression", 1.0, weighting, 1e-5)
+
+
 def scored(predictions, keys, labels=LABELS):
     return rounded(E.metrics(predictions, keys, labels))
 
@@ -279,17 +290,14 @@ def mod2(spark, sf_dir):
 @query("mod3")
 def mod3(spark, sf_dir):
     """Balanced logistic regression, out of fold."""
-    out = M.evaluate_folds(
-        vectors(spark, sf_dir), FOLDS, M.Spec("LogisticRegression", 1.0, "balanced"), KEY
-    )
-    return rounded(out)
+    return rounded(M.evaluate_folds(vectors(spark, sf_dir), FOLDS, logistic(), KEY))
 
 
 @query("mod4")
 def mod4(spark, sf_dir):
     """Linear one-vs-rest support vector machines, out of fold."""
     out = M.evaluate_folds(
-        vectors(spark, sf_dir), FOLDS, M.Spec("LinearSVC", 0.5, "balanced"), KEY
+        vectors(spark, sf_dir), FOLDS, M.Spec("LinearSVC", 0.5, "balanced", 1e-5), KEY
     )
     return rounded(out)
 
@@ -418,7 +426,7 @@ def _flat(spark, sf_dir, branches, spec, fold_members, folds, tag):
 def mod9(spark, sf_dir):
     """Ablation over inputs, and the chronological learning curve, with logistic regression."""
     m = members(spark, sf_dir)
-    spec = M.Spec("LogisticRegression", 1.0, "balanced")
+    spec = logistic()
     parts = [
         _flat(
             spark, sf_dir, X.variant_branches(i, "word_1_1"), spec, m, FOLDS, f"input={i}"
@@ -451,7 +459,7 @@ def mod10(spark, sf_dir):
     return rounded(
         nested_selection(
             docs, outer_rows, inner, 3, "s6", ["F0", "F2"],
-            [M.Spec("LogisticRegression", 1.0, w) for w in (None, "balanced")],
+            [M.Spec("LogisticRegression", 1.0, "balanced", 1e-4)],
         )
     )
 
@@ -558,7 +566,7 @@ def mod11(spark, sf_dir):
 @query("mod12")
 def mod12(spark, sf_dir):
     """Two-level hierarchy: hard, soft and oracle routing, out of fold."""
-    spec = M.Spec("LogisticRegression", 1.0, "balanced")
+    spec = logistic()
     out = M.evaluate_hierarchy(vectors(spark, sf_dir), FOLDS, "hierarchy_a", spec, KEY)
     return rounded(out)
 
@@ -638,7 +646,7 @@ def mod13(spark, sf_dir):
 def mod14(spark, sf_dir):
     """Cumulative ordinal model: raw, projected and decoded, out of fold."""
     k = len(ORDERED_LABELS)
-    spec = M.Spec("LogisticRegression", 1.0, "balanced")
+    spec = logistic()
     raw = M.evaluate_ordinal(vectors(spark, sf_dir), FOLDS, k, spec, KEY)
     fitted = raw.withColumn("m", O.project_monotonic(F.col("q"), k - 1))
     decoded = fitted.withColumn("p", O.class_probabilities(F.col("m")))
@@ -682,7 +690,7 @@ def mod18(spark, sf_dir):
     folds = S.expanding_folds(positioned, 3, group=None).select("vec_id", "fold", "role")
     table = materialize(folds.join(rows, "vec_id"), "unit-vectors")
     parts = [
-        M.evaluate_folds(table, FOLDS, M.Spec(family, 1.0, "balanced"), "vec_id").withColumn(
+        M.evaluate_folds(table, FOLDS, M.Spec(family, 1.0, "balanced", 1e-5), "vec_id").withColumn(
             "classifier", F.lit(family)
         )
         for family in ("LogisticRegression", "LinearSVC")
@@ -747,9 +755,10 @@ def stored_model(spark, sf_dir) -> str:
     key = (spark.sparkContext.applicationId, sf_dir, "stored_model")
     if key not in views._memo:
         train = vectors(spark, sf_dir).filter((F.col("fold") == 3) & (F.col("role") == "train"))
-        model = M.fit_classifier(train, M.Spec("LogisticRegression", 1.0, "balanced"))
+        model = M.fit_classifier(train, logistic())
         path = new_table_path(spark, "model")
-        M.save_linear(model, vocabulary(spark, sf_dir).filter(F.col("fold") == 3), path)
+        vocab = unigram_table(spark, sf_dir).vocabulary
+        M.save_linear(model, vocab.filter(F.col("fold") == 3), path)
         views._memo[key] = path
     return views._memo[key]
 
@@ -773,18 +782,16 @@ def mod22(spark, sf_dir):
         .select(KEY)
     )
     docs = views.report_docs(spark, sf_dir).join(held, KEY, "left_semi")
-    return M.score_linear(docs, KEY, word_branches(), terms, labels)
+    return M.score_linear(docs, KEY, unigram_branches(), terms, labels)
 
 
 @query("mod23")
 def mod23(spark, sf_dir):
-    """Label words masked in every branch, same configuration, refitted."""
-    m = members(spark, sf_dir)
-    spec = M.Spec("LogisticRegression", 1.0, "balanced")
+    """Label words masked in every branch, same configuration, refitted on the last fold."""
+    m = members(spark, sf_dir).filter(F.col("fold") == 3)
+    spec = M.Spec("LogisticRegression", 1.0, "balanced", 1e-4)
     parts = [
-        _flat(spark, sf_dir, X.set_branches("F1", mask), spec, m, FOLDS, f"mask={mask}")
+        _flat(spark, sf_dir, X.set_branches("F1", mask), spec, m, [3], f"mask={mask}")
         for mask in (False, True)
     ]
     return rounded(M.union_all(parts))
-
-
