@@ -79,9 +79,14 @@ def keep_earliest(df: DataFrame, text_hash: str = "exact_text_hash") -> DataFram
 
 
 def removal_log(df: DataFrame, text_hash: str = "exact_text_hash") -> DataFrame:
-    """One row per removed later copy with the row retained in its place."""
+    """One row per removed later copy with the row retained in its place.
+
+    Only keys, times, labels and hashes take part. They are written once so that texts are
+    hashed once.
+    """
+    narrow = df.select("global_report_key", "creation_time", "severity", text_hash)
     return (
-        _with_retained(df, text_hash)
+        _with_retained(materialize(narrow, "text-hashes"), text_hash)
         .filter(F.col("global_report_key") != F.col("_first.global_report_key"))
         .select(
             F.col("global_report_key").alias("removed_report_key"),

@@ -10,6 +10,7 @@ from triagemill.operators.eligibility import eligible_reports
 from triagemill.operators.splits import mark_purged_test
 from triagemill.plans.registry import query, rounded
 from triagemill.plans.text_queries import COMBINED, tagged_sql
+from triagemill.session import materialize
 from triagemill.sources import views
 
 
@@ -54,7 +55,12 @@ FROM v_eligible e JOIN ({CONFLICT_SQL}) c ON e.exact_text_hash = c.exact_text_ha
 )
 def dup3(spark, sf_dir):
     """Conflicting texts in review form: every member row with the facts of its group."""
-    rows = eligible_reports(views.core(spark, sf_dir))
+    rows = materialize(
+        eligible_reports(views.core(spark, sf_dir)).select(
+            "global_report_key", "severity", "creation_time", "exact_text_hash"
+        ),
+        "text-hashes",
+    )
     return rounded(
         D.conflict_members(rows).select(
             "exact_text_hash",

@@ -59,7 +59,7 @@ def tagged_sql(summary: str = "summary", description: str = "description", mask=
 
 @query("txt1", f"SELECT page_id, sha256({clean_sql(decoded_sql('html'))}) AS text_hash FROM pages")
 def txt1(spark, sf_dir):
-    pages = views.table(spark, sf_dir, "pages")
+    pages = views.spread(views.table(spark, sf_dir, "pages"), "page_id")
     return pages.select("page_id", F.sha2(X.clean_text(F.col("html")), 256).alias("text_hash"))
 
 
@@ -185,7 +185,7 @@ def flags_sql(text: str) -> str:
     f" SELECT 'report-' || issue_id AS id, {flags_sql(COMBINED)} FROM v_reports",
 )
 def txt7(spark, sf_dir):
-    pages = views.table(spark, sf_dir, "pages").select(
+    pages = views.spread(views.table(spark, sf_dir, "pages"), "page_id").select(
         F.concat(F.lit("page-"), "page_id").alias("id"), F.col("html").alias("text")
     )
     reports = views.reports(spark, sf_dir).select(

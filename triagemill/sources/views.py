@@ -33,8 +33,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return configure(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Deal rows out by key when a scan yields fewer tasks than there are cores.
+
+    Text work is CPU-bound, and a file with one row group is one task however large the
+    cluster. Scans that already have enough splits are left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+
+
 def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"), "doc_id")
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
     rows = docs.select("doc_id", "text", "lang", "source").join(labels, "doc_id", "left")
     doc = F.col("doc_id")
