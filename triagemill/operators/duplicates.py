@@ -55,7 +55,10 @@ def _retained(df: DataFrame, text_hash: str) -> DataFrame:
 
 
 def _with_retained(df: DataFrame, text_hash: str) -> DataFrame:
-    repeated = _retained(df, text_hash).filter(F.col("_copies") > 1)
+    # written once: the join reads the groups several times, and they come from whole texts
+    repeated = materialize(
+        _retained(df, text_hash).filter(F.col("_copies") > 1), "repeated-texts"
+    )
     return attach_facts(
         df.withColumn("_hash", F.col(text_hash)),
         repeated,
@@ -136,7 +139,8 @@ def label_conflicts(df: DataFrame, labels: list[str] = LABELS) -> DataFrame:
 
 def conflict_members(df: DataFrame, labels: list[str] = LABELS) -> DataFrame:
     """Every row of a conflicting text, one line each, with the facts of its group."""
-    facts = label_conflicts(df, labels).withColumnRenamed("exact_text_hash", "_hash")
+    conflicts = label_conflicts(df, labels).withColumnRenamed("exact_text_hash", "_hash")
+    facts = materialize(conflicts, "conflicts")
     return attach_facts(
         df.withColumn("_hash", F.col("exact_text_hash")),
         facts,
@@ -402,6 +406,7 @@ def repeated_rows(df: DataFrame, group: str, key: str) -> DataFrame:
         .agg(F.count("*").alias("_copies"))
         .filter(F.col("_copies") > 1)
     )
+    facts = materialize(facts, "repeated-groups")
     return attach_facts(df, facts, group, "_copies", F.col(key), "inner").withColumnRenamed(
         "_copies", "group_rows"
     )

@@ -606,11 +606,12 @@ def precision_recall_curve(scored: DataFrame, actual: Column, score: Column) ->
     by_score = scored.groupBy(score.alias("threshold")).agg(
         F.count_if(actual).alias("_p"), F.count_if(~actual).alias("_n")
     )
-    bucketed = by_score.withColumn("_bucket", F.floor(F.col("threshold") * 4096).cast("bigint"))
+    # margins are clamped, so that there are at most 65,537 buckets whatever the scores are
+    clamped = F.least(F.greatest(F.col("threshold"), F.lit(-8.0)), F.lit(8.0))
+    bucketed = by_score.withColumn("_bucket", F.floor(clamped * 4096).cast("bigint"))
     totals = bucketed.groupBy("_bucket").agg(
         F.sum("_p").alias("_bp"), F.sum("_n").alias("_bn")
     )
-    # at most 4097 buckets for probabilities
     descending = Window.orderBy(F.desc("_bucket"))
     starts = totals.select(
         "_bucket",

@@ -219,6 +219,7 @@ def dup10_rows(spark, sf_dir):
             "normalized_text_hash"
         ),
     )
+    df = materialize(df, "normalized-hashes")
     return D.repeated_rows(df, "normalized_text_hash", "issue_id")
 
 

@@ -617,18 +617,19 @@ def mod13(spark, sf_dir):
         "label", "predicted_label"
     )
     ids = test.select("id", "component", "project", F.col("grp").alias("true_grp"))
-    children = ids.select("id", "project").join(F.broadcast(child), "project").select(
+    # no broadcast hints: the planner broadcasts these tables when their size allows it
+    children = ids.select("id", "project").join(child, "project").select(
         "id", "grp", "predicted_label"
     )
     hard = M.hard_route(
-        ids.join(F.broadcast(level1), "component").select("id", "grp"), children, ["id"]
+        ids.join(level1, "component").select("id", "grp"), children, ["id"]
     )
     oracle = M.hard_route(
         ids.select("id", F.col("true_grp").alias("grp")), children, ["id"]
     )
     soft = M.soft_route(
-        ids.join(F.broadcast(groups), "component").select("id", "grp", "group_score"),
-        ids.select("id", "project").join(F.broadcast(labels), "project").select(
+        ids.join(groups, "component").select("id", "grp", "group_score"),
+        ids.select("id", "project").join(labels, "project").select(
             "id", "grp", "label", "child_score"
         ),
         ["id"],

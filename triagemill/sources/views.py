@@ -191,8 +191,8 @@ def _predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).select("id", "previous")
     rows = (
         folds.filter(F.col("role") == "validation")
-        .join(F.broadcast(majority), ["fold", "component"], "left")
-        .join(F.broadcast(project_majority), ["fold", "project"], "left")
+        .join(majority, ["fold", "component"], "left")
+        .join(project_majority, ["fold", "project"], "left")
         .join(previous, "id", "left")
     )
     models = F.array(
@@ -333,7 +333,7 @@ def _probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
         .agg(*[F.avg((F.col("rank") > t).cast("double")).alias(f"r{t}") for t in range(4)])
     )
     swap = F.col("seq") % 6 == 0
-    return split.join(F.broadcast(rates), "component").select(
+    return split.join(rates, "component").select(
         "id",
         "seq",
         "component",
