@@ -62,3 +62,88 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     frames, lengths = write_ids(documents(spark, sf_dir), tokenizer_path(), end_id=2)
     return read_ids(frames, lengths, with_ids=False)
+
+
+OP5_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, md5('mix-1' || coalesce(doc_id::VARCHAR, '')) AS ord,
+         coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
+         coalesce('=' || source, '~') AS src
+  FROM documents),
+s AS (SELECT src, source, sum(size)::BIGINT AS source_size FROM d GROUP BY ALL),
+w AS (
+  SELECT *, row_number() OVER (ORDER BY source IS NULL, source) - 1 AS no FROM s),
+w2 AS (
+  SELECT *, ([3, 1, 2])[no % 3 + 1]::BIGINT AS weight, 2 * source_size AS cap,
+         (sum(source_size) OVER ())::BIGINT * 1.5::DOUBLE AS total FROM w),
+w3 AS (SELECT *, cap::DOUBLE / weight AS ratio FROM w2),
+w4 AS (
+  SELECT *, (total - (sum(cap) OVER (ORDER BY ratio, no) - cap)::BIGINT)::DOUBLE
+            / (sum(weight) OVER (ORDER BY ratio, no ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::BIGINT
+            AS level FROM w3),
+w5 AS (
+  SELECT *, CASE WHEN ratio > level
+                 THEN weight * arg_min(level, [ratio, no::DOUBLE]) FILTER (ratio > level) OVER ()
+                 ELSE cap::DOUBLE END AS target FROM w4),
+p1 AS (
+  SELECT *, floor((sum(target) OVER ()) / 16 + 0.5)::BIGINT AS seats_all,
+         sum(target) OVER () AS votes FROM w5),
+q1 AS (
+  SELECT src, count(*) AS seats FROM (
+    SELECT src, row_number() OVER (ORDER BY q DESC, no) AS rk, seats_all FROM (
+      SELECT src, no, seats_all, target / (2 * unnest(range(0, (target * seats_all / votes)::BIGINT + 3)) + 1) AS q
+      FROM p1 WHERE votes > 0) u) r
+  WHERE rk <= seats_all GROUP BY src),
+f AS (
+  SELECT p1.src, source_size, target, coalesce(seats, 0) AS seats,
+         greatest(least(ceil(source_size / 65536.0), 4096), 1)::BIGINT AS shards
+  FROM p1 LEFT JOIN q1 USING (src)),
+ds AS (
+  SELECT d.*, f.source_size, f.target, f.seats AS src_seats,
+         ('0x' || substr(ord, 1, 8))::BIGINT % shards AS shard
+  FROM d JOIN f USING (src)),
+sh AS (SELECT src, shard, src_seats, sum(size)::BIGINT AS words FROM ds GROUP BY ALL),
+p2 AS (SELECT *, (sum(words) OVER (PARTITION BY src))::DOUBLE AS votes FROM sh),
+q2 AS (
+  SELECT src, shard, count(*) AS seats FROM (
+    SELECT src, shard, src_seats,
+           row_number() OVER (PARTITION BY src ORDER BY q DESC, shard) AS rk FROM (
+      SELECT src, shard, src_seats,
+             words::DOUBLE / (2 * unnest(range(0, (words * src_seats / votes)::BIGINT + 3)) + 1) AS q
+      FROM p2 WHERE votes > 0) u) r
+  WHERE rk <= src_seats GROUP BY ALL),
+b AS (
+  SELECT sh.src, sh.shard, ceil(words / 16.0)::BIGINT AS blocks,
+         least(coalesce(seats, 0), 2 * ceil(words / 16.0)::BIGINT) AS quota,
+         md5('mix-1' || sh.src || '/' || sh.shard) AS mark
+  FROM sh LEFT JOIN q2 USING (src, shard)),
+b2 AS (
+  SELECT *, ([2147483647, 2147483629, 2147483587, 2147483579])[('0x' || substr(mark, 1, 8))::BIGINT % 4 + 1] AS prime,
+         ('0x' || substr(mark, 9, 8))::BIGINT AS turn, greatest(blocks, 1) AS safe FROM b),
+x AS (
+  SELECT ds.*, (sum(size) OVER (PARTITION BY src, shard ORDER BY ord, doc_id, size
+                ROWS UNBOUNDED PRECEDING))::BIGINT - size AS st FROM ds)
+SELECT doc_id, size, source_size, target,
+       (quota // safe * size + CASE WHEN size = 0 THEN 0 ELSE coalesce(list_sum(list_transform(
+          range(st // 16, (st + size - 1) // 16 + 1),
+          lambda k: CASE WHEN (k * prime + turn) % safe < quota % safe
+                         THEN least(st + size, (k + 1) * 16) - greatest(st, k * 16) ELSE 0 END)), 0) END)::BIGINT AS taken
+FROM x JOIN b2 USING (src, shard)
+"""
+
+
+@query("op5_source_mix", OP5_SQL)
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that a mix by source weights takes of every document."""
+    from triagemill.llm.mixing import mix
+
+    return mix(documents(spark, sf_dir))
+
+
+@query("op4_toxicity")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every whole text, learnt from three quarters of the labels."""
+    from triagemill.llm.toxicity import fit_toxicity, score_toxicity
+
+    docs = documents(spark, sf_dir)
+    return score_toxicity(docs, fit_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
