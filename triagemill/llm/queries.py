@@ -147,3 +147,15 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = documents(spark, sf_dir)
     return score_toxicity(docs, fit_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+PII_KEY = "corpus-pseudonyms-1"
+
+
+@query("op9_pii_pseudonyms")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts of all documents with keyed pseudonyms, and matches by kind."""
+    from triagemill.llm.pii import pseudonymize
+
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return pseudonymize(docs, PII_KEY).select("doc_id", "text", "pii_counts.*")
