@@ -27,12 +27,22 @@ def lib_ids(text):
     return LIB.encode(text or "", add_special_tokens=False).ids
 
 
-@settings(max_examples=300, deadline=None)
-@given(st.text(alphabet=" \n\tab'sé1.<|endoftxt> \u0085\x1c-日🙂", max_size=60))
-def test_pieces_give_the_ids_of_the_whole(text):
+@settings(max_examples=500, deadline=None)
+@given(st.text(alphabet=" \n\tab'sé1.<|endoftxt> \u0085\x1c\xa0ǅ²-–’日🙂", max_size=60))
+def test_ids_are_those_of_the_library(text):
+    assert encoder(PATH).ids(text) == lib_ids(text)
+
+
+def test_every_latin_character():
     enc = encoder(PATH)
-    assert np.frombuffer(enc.encode(text), enc.dtype).tolist() == lib_ids(text)
-    assert enc.count(text) == len(lib_ids(text))
+    for code in [*range(0x24F + 1), *range(0x2010, 0x2028), *range(0x2030, 0x205F)]:
+        for text in (f"a{chr(code)}b", f" {chr(code)} 1{chr(code)}{chr(code)} ", f"{chr(code)}'s\n"):
+            assert enc.ids(text) == lib_ids(text), hex(code)
+
+
+def test_special_strings():
+    for text in ["a <|endoftext|> b<|endoftext|>c", "x\n<|endoftext|>", "it's\nwe'll go\n", "<|endo ftext|>"]:
+        assert encoder(PATH).ids(text) == lib_ids(text)
 
 
 @settings(max_examples=200, deadline=None)

@@ -42,7 +42,7 @@ def token_counts(
                 found = [
                     count_spliced(enc.tokenizer, t, chunk, overlap)
                     if len(t) > chunk
-                    else (enc.count(t), 0, 0)
+                    else (len(enc.ids(t)), 0, 0)
                     for t in texts
                 ]
                 n_tokens, n_splices, n_widened = zip(*found)
