@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from triagemill.session import configure
 
@@ -159,3 +160,12 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = documents(spark, sf_dir).select("doc_id", "text")
     return pseudonymize(docs, PII_KEY).select("doc_id", "text", "pii_counts.*")
+
+
+@query("op6_nearest_neighbours")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten nearest rows of every hundredth embedding among all others."""
+    from triagemill.llm.neighbours import nearest_neighbours
+
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return nearest_neighbours(rows, F.col("vec_id") % 100 == 0)

@@ -17,7 +17,7 @@ BUCKET_BITS = 20
 MAX_ROWS_PER_CLASS = 6_000
 MAX_FEATURES = 8_192
 SMOOTHING = 1.0
-REG_PARAM = 3e-3
+REG_PARAM = 1e-3
 THRESHOLD = 0.3
 _HELD_OUT = 2
 
