@@ -169,3 +169,52 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     return nearest_neighbours(rows, F.col("vec_id") % 100 == 0)
+
+
+OP3_SQL = r"""
+WITH w AS (
+  SELECT doc_id, coalesce(text, '') AS t,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+h AS (SELECT doc_id, list_transform(ws, lambda x: ('0x' || substr(md5(x), 1, 8))::BIGINT) AS hs FROM w),
+g AS (
+  SELECT doc_id, list_concat(
+    list_transform(hs, lambda x: x % 8192),
+    list_transform(range(1, len(hs)), lambda i: (hs[i] * 1000003 + hs[i + 1]) % 8192)) AS gs FROM h),
+e AS (SELECT doc_id, unnest(gs) AS b FROM g),
+q AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 1),
+c AS (
+  SELECT b, count(*) AS r, count(q.doc_id) AS t FROM e LEFT JOIN q USING (doc_id) GROUP BY b),
+z AS (SELECT sum(r) + 8192 AS rs, sum(t) + 8192 AS ts FROM c),
+k AS (SELECT b, ln(t + 1) - ln(r + 1) + (SELECT ln(rs) - ln(ts) FROM z) AS v FROM c),
+sc AS (SELECT doc_id, avg(v) AS score FROM e JOIN k USING (b) GROUP BY doc_id),
+f AS (
+  SELECT doc_id, i, array_to_string(ws[i:i + 4], ' ') AS s
+  FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 3)) AS i FROM w WHERE len(ws) >= 5)),
+rp AS (
+  SELECT doc_id, count(DISTINCT i + j) AS n
+  FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, s) AS n FROM f), range(5) AS o(j)
+  WHERE n > 1 GROUP BY doc_id),
+l AS (
+  SELECT doc_id, list_filter(string_split(t, chr(10)),
+         lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM w),
+m AS (
+  SELECT doc_id, len(ws)::BIGINT AS n_words,
+         length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars,
+         (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+         (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines,
+         coalesce(n, 0)::BIGINT AS n_repeat_words, coalesce(score, 0.0) AS score
+  FROM w JOIN l USING (doc_id) LEFT JOIN rp USING (doc_id) LEFT JOIN sc USING (doc_id))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, score,
+       n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+       NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND score >= -0.05 AS kept
+FROM m
+"""
+
+
+@query("op3_quality_rules", OP3_SQL)
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base measures and n-gram likelihood verdict of every whole text."""
+    from triagemill.llm.quality import quality_rules, ratio_weights
+
+    docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality_rules(docs, ratio_weights(docs, labels.filter("quality = 1")))
