@@ -218,3 +218,11 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
     return quality_rules(docs, ratio_weights(docs, labels.filter("quality = 1")))
+
+
+@query("op1_ngram_jaccard_join")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class, links and copies of every document at a similarity of 0.8 or more."""
+    from triagemill.llm.jaccard import jaccard_join
+
+    return jaccard_join(documents(spark, sf_dir))
