@@ -5,17 +5,64 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from triagemill.llm.jaccard import keep_first
+from triagemill.llm.mixing import apply_mix
+from triagemill.llm.packing import pack
+from triagemill.llm.pii import pseudonymize
+from triagemill.llm.queries import PII_KEY, tokenizer_path
+from triagemill.llm.toxicity import drop_toxic, fit_toxicity
+from triagemill.session import configure, materialize
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
-STAGES: list[tuple[str, Stage]] = []
+
+def _measured(docs: DataFrame) -> DataFrame:
+    """Bring ``n_chars`` in line with a changed text."""
+    if "n_chars" not in docs.columns:
+        return docs
+    return docs.withColumn("n_chars", F.length("text").cast("long"))
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, fitted on three quarters of the labels, doesn't reject."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return drop_toxic(docs, fit_toxicity(docs, labels))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest doc_id of each class of linked texts and copies."""
+    return keep_first(docs)
+
+
+def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, personal data replaced by keyed pseudonyms."""
+    return _measured(pseudonymize(docs, PII_KEY).drop("pii_counts"))
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix: documents of sources over their share are cut or left out, others repeat."""
+    return _measured(apply_mix(docs))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents in sequences of 2048 ids."""
+    return pack(docs, tokenizer_path(), end_id=1, window=2048)
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", toxicity),
+    ("near_duplicates", near_duplicates),
+    ("pii", pii),
+    ("mixing", mixing),
+    ("packing", packing),
+]
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply all stages to ``documents``."""
-    from triagemill.session import configure, materialize
-
     docs = configure(spark).read.parquet(f"{sf_dir}/documents.parquet")
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
