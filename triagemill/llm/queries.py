@@ -226,3 +226,11 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     from triagemill.llm.jaccard import jaccard_join
 
     return jaccard_join(documents(spark, sf_dir))
+
+
+@query("op2_suffix_array_dedup")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document that 50-byte strings of earlier documents cover."""
+    from triagemill.llm.suffixes import remove_repeats
+
+    return remove_repeats(documents(spark, sf_dir))
