@@ -181,3 +181,43 @@ def test_coverage_gate_and_inner_fallback(spark):
     inner = S.inner_folds(placed, "label", ["a", "b"], "duplicate_group")
     roles = {r["role"]: r["count"] for r in inner.groupBy("role").count().collect()}
     assert roles == {"train": 6, "validation": 2}
+
+
+def nullable_rows(spark):
+    return spark.range(40).select(
+        F.col("id").alias("seq"),
+        F.when(F.col("id") % 3 != 0, (F.col("id") % 7).cast("string")).alias("g"),
+        F.when(F.col("id") % 5 != 0, (F.col("id") % 2).cast("string")).alias("label"),
+        (F.col("id") % 4).cast("string").alias("project"),
+    )
+
+
+def test_rows_without_a_group_stay(spark):
+    rows = nullable_rows(spark)
+    placed = with_position(rows, ["seq"])
+    groups = {r["seq"]: r["g"] for r in rows.collect()}
+    first = {}
+    for i in sorted(groups):
+        first.setdefault(groups[i] if groups[i] is not None else ("own", i), i)
+    for fold in (1, 2, 3):
+        start, stop = 40 - (4 - fold) * 10, 40 - (3 - fold) * 10
+        want = {(i, "train") for i in range(start)} | {
+            (i, "validation")
+            for i in range(start, stop)
+            if first[groups[i] if groups[i] is not None else ("own", i)] >= start
+        }
+        got = S.expanding_folds(placed, 3, "g").filter(F.col("fold") == fold)
+        assert {(r["seq"], r["role"]) for r in got.collect()} == want
+    assert S.leave_one_project_out(rows, "project", "g").filter("g is null and not purged").count() == 14
+    assert S.leave_one_project_out(rows, "project", "g").count() == 40
+    split = placed.withColumn("partition", F.when(F.col("pos") < 30, "development").otherwise("test"))
+    marked = S.mark_purged_test(split, "g")
+    assert marked.count() == 40 and marked.filter("g is null and purged").count() == 0
+
+
+def test_a_null_scope_is_a_scope(spark):
+    rows = nullable_rows(spark)
+    assert with_position(rows, ["seq"], scope="label").count() == 40
+    held = S.stratified_holdout(rows, "seq", "label").filter("label is null")
+    assert held.filter("partition = 'development'").count() == 6 and held.count() == 8
+    assert S.stratified_folds(rows, "seq", "label").count() == 40

@@ -221,3 +221,48 @@ def test_soft_routing_prefers_the_fixed_order_on_ties(spark):
     )
     row = M.soft_route(groups, children, ["id"], ["blocker", "critical", "major"]).first()
     assert row["predicted_label"] == "blocker"
+
+
+def test_missing_predictions_are_misses(spark):
+    from triagemill.operators.evaluation import class_metrics, metrics
+
+    rows = spark.createDataFrame(
+        [(1, "a", "a"), (1, "a", None), (1, "b", "b"), (1, None, "b"), (2, "a", None)],
+        "k int, true_label string, predicted_label string",
+    )
+    by_label = {(r["k"], r["label"]): r for r in class_metrics(rows, ["k"], ["a", "b"]).collect()}
+    assert len(by_label) == 4
+    assert (by_label[1, "a"]["support"], by_label[1, "a"]["predicted"]) == (2, 1)
+    assert (by_label[1, "b"]["support"], by_label[1, "b"]["predicted"]) == (1, 2)
+    facts = {r["k"]: r for r in metrics(rows, ["k"], ["a", "b"]).collect()}
+    assert (facts[1]["rows"], facts[1]["accuracy"]) == (4, 0.5)
+    assert (facts[2]["rows"], facts[2]["accuracy"]) == (1, 0.0)
+
+
+def test_vocabulary_ties_go_to_the_smaller_term(spark):
+    import random
+
+    from triagemill.operators.features import fit_vocabulary, variant_branches
+
+    rng = random.Random(3)
+    rows = {(str(d), f"t{rng.randrange(60):02d}") for d in range(40) for _ in range(12)}
+    branches = variant_branches("summary_description", "word_1_1")
+    import dataclasses
+
+    branches = [dataclasses.replace(b, config=dataclasses.replace(b.config, max_features=17, min_df=2)) for b in branches]
+    counts = spark.createDataFrame(
+        [(d, b.name, t, 1) for d, t in rows for b in branches], "key string, branch string, term string, tf long"
+    )
+    members = spark.createDataFrame(
+        [(str(d), f, "train") for d in range(40) for f in (1, 2) if f == 2 or d < 20], "key string, fold int, role string"
+    )
+    got = fit_vocabulary(counts, members, "key", branches, [1, 2]).collect()
+    for f, limit in ((1, 20), (2, 40)):
+        for b in branches:
+            df = {}
+            for d, t in rows:
+                if int(d) < limit:
+                    df[t] = df.get(t, 0) + 1
+            usable = [t for t in df if df[t] >= 2 and df[t] <= b.config.max_df * limit]
+            want = sorted(usable, key=lambda t: (-df[t], t))[:17]
+            assert {r["term"] for r in got if r["fold"] == f and r["branch"] == b.name} == set(want)

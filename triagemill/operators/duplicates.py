@@ -381,7 +381,10 @@ def cross_project_overlap(core: DataFrame) -> DataFrame:
 
 
 def fold_crossings(folds: DataFrame, groups: list[str]) -> DataFrame:
-    """Per fold and group column: groups on both the train and the validation side."""
+    """Per fold and group column: groups on both the train and the validation side.
+
+    Rows without a group belong to none.
+    """
     kinds = F.explode(
         F.array(
             *[F.struct(F.lit(g).alias("kind"), F.col(g).alias("value")) for g in groups]
@@ -389,6 +392,7 @@ def fold_crossings(folds: DataFrame, groups: list[str]) -> DataFrame:
     )
     return (
         folds.select("fold", "role", kinds.alias("k"))
+        .filter(F.col("k.value").isNotNull())
         .groupBy("fold", F.col("k.kind").alias("kind"), F.col("k.value").alias("value"))
         .agg(
             F.max((F.col("role") == "train").cast("int")).alias("_t"),
@@ -400,9 +404,10 @@ def fold_crossings(folds: DataFrame, groups: list[str]) -> DataFrame:
 
 
 def repeated_rows(df: DataFrame, group: str, key: str) -> DataFrame:
-    """Rows whose ``group`` occurs more than once."""
+    """Rows whose ``group`` occurs more than once; rows without a group are none of them."""
     facts = (
-        df.groupBy(F.col(group).alias(group))
+        df.filter(F.col(group).isNotNull())
+        .groupBy(F.col(group).alias(group))
         .agg(F.count("*").alias("_copies"))
         .filter(F.col("_copies") > 1)
     )

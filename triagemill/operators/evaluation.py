@@ -23,10 +23,9 @@ def ratio(num: Column, den: Column) -> Column:
 def _cells(
     preds: DataFrame, keys: list[str], labels: list[str], true: str, predicted: str
 ) -> DataFrame:
-    """Observed cells per key, as one map per key (at most labels x labels entries)."""
-    return (
-        preds.groupBy(*keys, F.col(true).alias("t"), F.col(predicted).alias("p"))
-        .agg(F.count("*").alias("n"))
+    """Observed (true, predicted) pairs and their rows, per key."""
+    return preds.groupBy(*keys, F.col(true).alias("t"), F.col(predicted).alias("p")).agg(
+        F.count("*").alias("n")
     )
 
 
@@ -80,8 +79,8 @@ def class_metrics(
 ) -> DataFrame:
     """Precision, recall, F1, support and predicted count per key and label.
 
-    Labels outside the fixed list still count: a row predicted as an unknown label is a miss
-    for its true label.
+    Labels outside the fixed list still count: a row predicted as an unknown label, or not at
+    all, is a miss for its true label.
     """
     cells = _cells(preds, keys, labels, true, predicted)
     sides = cells.select(
@@ -110,7 +109,12 @@ def class_metrics(
     )
     dense = per_label.groupBy(*keys).agg(
         F.map_from_entries(
-            F.collect_list(F.struct("label", F.struct("support", "predicted", "hits")))
+            F.collect_list(
+                F.when(
+                    F.col("label").isin(labels),
+                    F.struct("label", F.struct("support", "predicted", "hits")),
+                )
+            )
         ).alias("_map")
     ).withColumn("label", F.explode(F.array(*[F.lit(x) for x in labels])))
     cell = F.try_element_at("_map", F.col("label"))
@@ -150,10 +154,15 @@ def metrics(
     """
     per_label = class_metrics(preds, keys, labels, true, predicted)
     present = F.when(F.col("support") > 0, F.col("recall"))
-    # support of labels outside the list is part of accuracy's denominator
-    rows = preds.groupBy(*keys).agg(
-        F.count("*").alias("rows"),
-        F.avg((F.col(true) == F.col(predicted)).cast("double")).alias("accuracy"),
+    # labels outside the list and missing predictions are part of accuracy's denominator
+    hits = F.coalesce(F.sum(F.when(F.col("t") == F.col("p"), F.col("n"))), F.lit(0))
+    rows = (
+        _cells(preds, keys, labels, true, predicted)
+        .groupBy(*keys)
+        .agg(
+            F.coalesce(F.sum("n"), F.lit(0)).alias("rows"),
+            F.when(F.sum("n") > 0, hits / F.sum("n")).alias("accuracy"),
+        )
     )
     averaged = per_label.groupBy(*keys).agg(
         F.avg("precision").alias("macro_precision"),

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from triagemill.functions import text as X
-from triagemill.session import new_table_path
+from triagemill.session import materialize, new_table_path
 
 
 @dataclass(frozen=True)
@@ -79,9 +79,14 @@ def fit_vocabulary(
 ) -> DataFrame:
     """(fold, branch, term, idx, df, occurrences, idf) from training rows only.
 
-    ``members(key, fold, role)``. Ties at the size limit go to the smaller term.
+    ``members(key, fold, role)``. Ties at the size limit go to the smaller term. Terms are
+    counted once for all folds and branches and written; how many terms have each number of
+    occurrences then tells, per fold and branch, the number down to which all fit. Only terms
+    with exactly that number are ranked.
     """
-    train = members.filter(F.col("role") == "train").select(key, "fold")
+    train = members.filter((F.col("role") == "train") & F.col("fold").isin(list(folds))).select(
+        key, "fold"
+    )
     sizes = train.groupBy("fold").agg(F.count("*").alias("n_docs"))
     stats = (
         counts.join(train, key)
@@ -89,24 +94,43 @@ def fit_vocabulary(
         .agg(F.count("*").alias("df"), F.sum("tf").alias("occurrences"))
         .join(F.broadcast(sizes), "fold")
     )
-    kept = []
+    usable = F.lit(False)
+    room = F.lit(0)
     for b in branches:
-        c = b.config
-        usable = stats.filter(
-            (F.col("branch") == b.name)
+        c, own = b.config, F.col("branch") == b.name
+        usable = usable | (
+            own
             & (F.col("df") >= c.min_df)
             & (F.col("df") <= F.lit(float(c.max_df)) * F.col("n_docs"))
         )
-        # a sort-limit per fold keeps at most max_features rows per task
-        for fold in folds:
-            kept.append(
-                usable.filter(F.col("fold") == fold)
-                .orderBy(F.desc("occurrences"), "term")
-                .limit(c.max_features)
-            )
-    vocabulary = kept[0]
-    for part in kept[1:]:
-        vocabulary = vocabulary.unionByName(part)
+        room = F.when(own, F.lit(int(c.max_features))).otherwise(room)
+    stats = materialize(stats.filter(usable).withColumn("_room", room), "term-stats")
+    level = Window.partitionBy("fold", "branch").orderBy(F.desc("occurrences"))
+    levels = (
+        stats.groupBy("fold", "branch", "occurrences", "_room")
+        .agg(F.count("*").alias("_n"))
+        .withColumn("_until", F.sum("_n").over(level))
+        .filter(F.col("_until") - F.col("_n") < F.col("_room"))
+        .groupBy("fold", "branch")
+        .agg(
+            F.min("occurrences").alias("_least"),
+            F.min_by(F.col("_room") - (F.col("_until") - F.col("_n")), "occurrences").alias("_left"),
+        )
+    )
+    # one row per fold and branch
+    ranked = stats.join(F.broadcast(levels), ["fold", "branch"]).filter(
+        F.col("occurrences") >= F.col("_least")
+    )
+    most = max(int(b.config.max_features) for b in branches)
+    tied = Window.partitionBy("fold", "branch").orderBy("term")
+    at_edge = (
+        ranked.filter(F.col("occurrences") == F.col("_least"))
+        .withColumn("_rank", F.row_number().over(tied))
+        .filter(F.col("_rank") <= most)
+        .filter(F.col("_rank") <= F.col("_left"))
+        .drop("_rank")
+    )
+    vocabulary = ranked.filter(F.col("occurrences") > F.col("_least")).unionByName(at_edge)
     idf = F.log((F.col("n_docs") + 1) / (F.col("df") + 1)) + 1
     # bounded by folds x branches x max_features rows
     index = F.row_number().over(Window.partitionBy("fold").orderBy("branch", "term")) - 1

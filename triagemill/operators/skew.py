@@ -19,7 +19,9 @@ def attach_facts(
 ) -> DataFrame:
     """Join ``facts`` (one row per ``key``) onto ``rows`` by the string column ``key``.
 
-    ``weight`` is the facts column that says how many rows carry the key, and ``spread`` an
+    A null key is a key: it meets the facts of the null key, if there are any. ``how="inner"``
+    drops rows whose key has no facts, so it is for lists of facts only; facts grouped from
+    ``rows`` themselves never lose a row. ``weight`` is the facts column that says how many rows carry the key, and ``spread`` an
     expression that differs between rows. Facts of hot keys are broadcast: fewer than
     ``HOT_SHARE`` keys can exceed the share, so that side has a fixed bound. Everything else
     is an ordinary shuffle join, in which rows of hot keys are dealt out by ``spread`` under
@@ -29,19 +31,18 @@ def attach_facts(
     share = facts.select(F.sum(weight).alias("_all_rows"))
     sized = facts.crossJoin(F.broadcast(share))
     is_hot = F.col(weight) * HOT_SHARE > F.col("_all_rows")
-    hot = sized.filter(is_hot).select(
-        F.col(key).alias("_hot_key"), F.struct(*payload).alias("_hot")
-    )
+    named = F.coalesce(F.concat(F.lit("="), F.col(key).cast("string")), F.lit("null"))
+    hot = sized.filter(is_hot).select(named.alias("_hot_key"), F.struct(*payload).alias("_hot"))
     cold = sized.filter(~is_hot).select(
-        F.col(key).alias("_cold_key"), F.struct(*payload).alias("_cold")
+        named.alias("_cold_key"), F.struct(*payload).alias("_cold")
     )
-    marked = rows.join(F.broadcast(hot), F.col(key) == F.col("_hot_key"), "left")
+    marked = rows.join(F.broadcast(hot), named == F.col("_hot_key"), "left")
     marked = marked.withColumn(
         "_join_key",
         F.when(
             F.col("_hot_key").isNotNull(),
             F.concat(F.lit("\x00"), F.xxhash64(spread).cast("string")),
-        ).otherwise(F.col(key)),
+        ).otherwise(named),
     )
     joined = marked.join(cold, F.col("_join_key") == F.col("_cold_key"), "left")
     both = F.coalesce(F.col("_hot"), F.col("_cold"))

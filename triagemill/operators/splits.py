@@ -82,17 +82,19 @@ def labels_only_in_test(split: DataFrame, label: str) -> DataFrame:
 
 
 def first_position_per_group(df: DataFrame, group: str) -> DataFrame:
-    return df.groupBy(F.col(group).alias(group)).agg(
+    return df.filter(F.col(group).isNotNull()).groupBy(F.col(group).alias(group)).agg(
         F.min("pos").alias("_first_pos"), F.count("*").alias("_group_rows")
     )
 
 
 def with_first_position(df: DataFrame, group: str) -> DataFrame:
-    """Add ``_first_pos``, the earliest position of the row's duplicate group."""
+    """Add ``_first_pos``, the earliest position of the row's duplicate group.
+
+    A row without a group is a group of its own.
+    """
     facts = first_position_per_group(df, group)
-    return attach_facts(df, facts, group, "_group_rows", F.col("pos"), "inner").drop(
-        "_group_rows"
-    )
+    marked = attach_facts(df, facts, group, "_group_rows", F.col("pos"), "left")
+    return marked.withColumn("_first_pos", F.coalesce("_first_pos", "pos")).drop("_group_rows")
 
 
 def purge_test(split: DataFrame, group: str, checked: bool = True) -> DataFrame:
@@ -105,9 +107,10 @@ def purge_test(split: DataFrame, group: str, checked: bool = True) -> DataFrame:
 
 
 def mark_purged_test(split: DataFrame, group: str) -> DataFrame:
-    """``purged`` is true for test rows of a group seen in development."""
+    """``purged`` is true for test rows of a group seen in development, never without a group."""
     dev_groups = (
-        split.groupBy(F.col(group).alias(group))
+        split.filter(F.col(group).isNotNull())
+        .groupBy(F.col(group).alias(group))
         .agg(
             F.max((F.col("partition") == "development").cast("int")).alias("_in_dev"),
             F.count("*").alias("_group_rows"),
@@ -269,15 +272,18 @@ def verify_fingerprints(actual: DataFrame, expected: DataFrame) -> None:
 def leave_one_project_out(df: DataFrame, project: str, group: str) -> DataFrame:
     """Each project is the test side once; groups shared with other projects are purged.
 
-    A group leaks into a project's test side exactly when it spans more than one project.
+    A group leaks into a project's test side exactly when it spans more than one project; a row
+    without a group is never purged.
     """
-    spans = df.groupBy(F.col(group).alias(group)).agg(
-        F.min(project).alias("_low"), F.max(project).alias("_high"), F.count("*").alias("_n")
-    )
-    marked = attach_facts(df, spans, group, "_n", F.struct(*df.columns), "inner")
-    return marked.withColumn("purged", F.col("_low") != F.col("_high")).drop(
-        "_low", "_high", "_n"
+    spans = (
+        df.filter(F.col(group).isNotNull())
+        .groupBy(F.col(group).alias(group))
+        .agg(F.min(project).alias("_low"), F.max(project).alias("_high"), F.count("*").alias("_n"))
     )
+    marked = attach_facts(df, spans, group, "_n", F.struct(*df.columns), "left")
+    return marked.withColumn(
+        "purged", F.coalesce(F.col("_low") != F.col("_high"), F.lit(False))
+    ).drop("_low", "_high", "_n")
 
 
 def shuffled_labels(df: DataFrame, key: str, label: str, seed: int = 42) -> DataFrame:

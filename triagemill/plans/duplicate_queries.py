@@ -181,8 +181,8 @@ def dup8(spark, sf_dir):
 
 @query(
     "dup9",
-    """SELECT id, partition, partition = 'test' AND duplicate_group IN
-  (SELECT duplicate_group FROM v_split WHERE partition = 'development') AS purged FROM v_split""",
+    """SELECT id, partition, partition = 'test' AND coalesce(duplicate_group IN
+  (SELECT duplicate_group FROM v_split WHERE partition = 'development' AND duplicate_group IS NOT NULL), false) AS purged FROM v_split""",
 )
 def dup9(spark, sf_dir):
     split = views.positioned_tickets(spark, sf_dir)

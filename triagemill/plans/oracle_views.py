@@ -91,7 +91,8 @@ SELECT CAST(o_orderkey AS VARCHAR) AS id, o_orderkey AS seq, o_custkey AS custom
   CASE o_orderpriority WHEN '5-LOW' THEN 0 WHEN '4-NOT SPECIFIED' THEN 1 WHEN '3-MEDIUM' THEN 2
        WHEN '2-HIGH' THEN 3 WHEN '1-URGENT' THEN 4 END AS rank,
   o_orderdate AS creation_time,
-  CAST(o_custkey AS VARCHAR) || '-' || CAST(o_orderkey % 40 AS VARCHAR) AS duplicate_group
+  CASE WHEN o_orderkey % 11 <> 0
+       THEN CAST(o_custkey AS VARCHAR) || '-' || CAST(o_orderkey % 40 AS VARCHAR) END AS duplicate_group
 FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey"""
 
 VIEWS["v_split"] = """
@@ -102,7 +103,7 @@ FROM (SELECT *, row_number() OVER (ORDER BY creation_time, seq) - 1 AS pos, coun
 VIEWS["v_folds"] = """
 SELECT s.* EXCLUDE (first_pos), CAST(f.fold AS INTEGER) AS fold,
   CASE WHEN pos < n_rows - (4 - fold) * (n_rows // 4) THEN 'train' ELSE 'validation' END AS role
-FROM (SELECT *, min(pos) OVER (PARTITION BY duplicate_group) AS first_pos FROM v_split) s
+FROM (SELECT *, min(pos) OVER (PARTITION BY coalesce(duplicate_group, 'own:' || id)) AS first_pos FROM v_split) s
 CROSS JOIN (SELECT unnest([1, 2, 3]) AS fold) f
 WHERE pos < n_rows - (3 - fold) * (n_rows // 4)
   AND (pos < n_rows - (4 - fold) * (n_rows // 4) OR first_pos >= n_rows - (4 - fold) * (n_rows // 4))"""

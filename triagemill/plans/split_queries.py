@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from triagemill.constants import TICKET_LABELS
 from triagemill.operators import splits as S
+from triagemill.operators.models import union_all
 from triagemill.operators.positions import with_position
 from triagemill.plans.oracle_views import digest
 from triagemill.plans.registry import query, rounded
@@ -77,25 +78,25 @@ def spl6(spark, sf_dir):
 
 @query(
     "spl7",
-    """WITH t AS (SELECT *, min(pos) OVER (PARTITION BY duplicate_group) AS first_pos FROM (
-  SELECT id, severity, duplicate_group, pos, count(*) OVER () AS n FROM v_folds WHERE fold = 3 AND role = 'train'))
-SELECT id, CAST(fold AS BIGINT) AS fold, CASE WHEN pos < n - (3 - fold) * (n // 3) THEN 'train' ELSE 'validation' END AS role
+    """WITH t AS (SELECT *, min(pos) OVER (PARTITION BY outer_fold, coalesce(duplicate_group, 'own:' || id)) AS first_pos FROM (
+  SELECT fold AS outer_fold, id, severity, duplicate_group, pos, count(*) OVER (PARTITION BY fold) AS n FROM v_folds WHERE role = 'train'))
+SELECT CAST(outer_fold AS BIGINT) AS outer_fold, id, CAST(fold AS BIGINT) AS fold,
+  CASE WHEN pos < n - (3 - fold) * (n // 3) THEN 'train' ELSE 'validation' END AS role
 FROM t CROSS JOIN (SELECT unnest([1, 2]) AS fold)
 WHERE pos < n - (2 - fold) * (n // 3) AND (pos < n - (3 - fold) * (n // 3) OR first_pos >= n - (3 - fold) * (n // 3))""",
 )
 def spl7(spark, sf_dir):
-    """Inner folds inside the training side of the last outer fold."""
-    folds = views.ticket_folds(spark, sf_dir)
-    train = folds.filter((F.col("fold") == 3) & (F.col("role") == "train"))
-    size = train.count()
-    base = train.select("id", "severity", "duplicate_group", "pos").withColumn(
-        "n_rows", F.lit(size)
-    )
-    return rounded(
-        S.inner_folds(base, "severity", TICKET_LABELS, "duplicate_group").select(
-            "id", "fold", "role"
+    """Inner folds inside the training side of every outer fold."""
+    train = views.ticket_folds(spark, sf_dir).filter(F.col("role") == "train")
+    sizes = {r["fold"]: r["count"] for r in train.groupBy("fold").count().collect()}
+    parts = []
+    for outer, size in sorted(sizes.items()):
+        base = train.filter(F.col("fold") == outer).select(
+            "id", "severity", "duplicate_group", "pos", F.lit(size).alias("n_rows")
         )
-    )
+        inner = S.inner_folds(base, "severity", TICKET_LABELS, "duplicate_group")
+        parts.append(inner.select(F.lit(outer).alias("outer_fold"), "id", "fold", "role"))
+    return rounded(union_all(parts))
 
 
 @query(
@@ -116,7 +117,7 @@ FROM (SELECT id, row_number() OVER (PARTITION BY project ORDER BY creation_time,
   count(*) OVER (PARTITION BY project) AS n FROM v_tickets)
 UNION ALL SELECT 'pooled', id, partition FROM v_split
 UNION ALL SELECT 'leave_one_project_out', id, CASE WHEN min(project) OVER g <> max(project) OVER g THEN 'purged' ELSE 'test' END
-FROM v_tickets WINDOW g AS (PARTITION BY component || '-' || (seq % 4000))""",
+FROM v_tickets WINDOW g AS (PARTITION BY CASE WHEN seq % 11 <> 0 THEN component || '-' || (seq % 4000) ELSE 'own:' || id END)""",
 )
 def spl9(spark, sf_dir):
     """Three evaluation designs. For the last, groups are made to span projects."""
@@ -135,7 +136,10 @@ def spl9(spark, sf_dir):
     shared = tickets.select(
         "id",
         "project",
-        F.concat("component", F.lit("-"), (F.col("seq") % 4000).cast("string")).alias("g"),
+        F.when(
+            F.col("seq") % 11 != 0,
+            F.concat("component", F.lit("-"), (F.col("seq") % 4000).cast("string")),
+        ).alias("g"),
     )
     leave_out = S.leave_one_project_out(shared, "project", "g").select(
         F.lit("leave_one_project_out").alias("design"),

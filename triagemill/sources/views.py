@@ -119,10 +119,14 @@ def tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.col("o_orderpriority").alias("severity"),
             label_to_rank(F.col("o_orderpriority"), TICKET_LABELS).alias("rank"),
             F.col("o_orderdate").cast("timestamp").alias("creation_time"),
-            F.concat(
-                F.col("o_custkey").cast("string"),
-                F.lit("-"),
-                (F.col("o_orderkey") % 40).cast("string"),
+            # every eleventh ticket is in no group
+            F.when(
+                F.col("o_orderkey") % 11 != 0,
+                F.concat(
+                    F.col("o_custkey").cast("string"),
+                    F.lit("-"),
+                    (F.col("o_orderkey") % 40).cast("string"),
+                ),
             ).alias("duplicate_group"),
         )
     )
