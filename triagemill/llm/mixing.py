@@ -237,19 +237,24 @@ def apply_mix(docs: DataFrame, text: str = "text", block: int = BLOCK_WORDS, **o
     words = F.regexp_extract_all(F.col(text), F.lit(r"[\x20\x09-\x0D]*" + _WORD), F.lit(0))
     first = F.col("_start")
 
-    def cut(b: Column) -> Column:
+    def cut(own_words: Column, b: Column) -> Column:
         low = F.greatest(b * block, first) - first
         high = F.least((b + 1) * block, first + F.col("_size")) - first
-        return F.array_join(F.slice(F.col("_words"), (low + 1).cast("int"), (high - low).cast("int")), "")
+        part = F.slice(own_words, (low + 1).cast("int"), (high - low).cast("int"))
+        return F.array_join(part, "")
 
     partial = (F.size("_some") > 0) & ~all_chosen
-    part_text = F.when(partial, F.ltrim(F.array_join(F.transform("_some", cut), "")))
+    # the words are bound to a variable, so that they are cut out once and not for each block
+    joined = F.transform(
+        F.array(words),
+        lambda w: F.array_join(F.transform("_some", lambda b: cut(w, b)), ""),
+    )
+    part_text = F.when(partial, F.ltrim(F.element_at(joined, 1)))
     texts = F.concat(
         F.array_repeat(F.col(text), F.col("_times").cast("int")),
         F.when(partial, F.array(part_text)).otherwise(F.array().cast("array<string>")),
     )
-    out = placed.withColumn("_words", F.when(partial, words)).withColumn("_texts", texts)
-    exploded = out.withColumn("_text", F.explode("_texts"))
+    exploded = placed.withColumn("_text", F.explode(texts))
     return exploded.select(
         *[F.col("_text").alias(c) if c == text else F.col(c) for c in columns]
     )
