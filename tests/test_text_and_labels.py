@@ -98,3 +98,18 @@ def test_redaction_orders(spark):
     long = "x" * 5 + " me@x.org"
     assert one(spark, X.redact(F.col("t"), 10), t=long) == "xxxxx [EMA"
     assert one(spark, X.cut_then_redact(F.col("t"), 8), t=long) == "xxxxx me"
+
+
+def test_digits_and_boundaries_are_unicode(spark):
+    from pyspark.sql import functions as F
+
+    from triagemill.functions import text as X
+
+    rows = ["bug ٣٣٣", "x²", "ébug 123", "bug 123é", "a 1", None]
+    df = spark.createDataFrame([(t,) for t in rows], "t string")
+    got = df.select(
+        F.coalesce(F.col("t").rlike(X.ISSUE_ID), F.lit(False)).alias("issue"),
+        F.coalesce(F.regexp_count("t", F.lit(X.DIGIT)), F.lit(0)).alias("digits"),
+    ).collect()
+    assert [r["issue"] for r in got] == [True, False, False, False, False, False]
+    assert [r["digits"] for r in got] == [3, 1, 3, 3, 1, 0]

@@ -134,6 +134,5 @@ INELIGIBLE_PREDICTORS = [
 LABEL_WORDS = ["blocker", "critical", "major", "normal", "minor", "trivial", "severity"]
 
 # fixed values: decision thresholds
-BASELINE_MACRO_F1 = 0.2262765
 PRIMARY_THRESHOLD = 0.2463
 SECONDARY_FLOOR = 0.2163

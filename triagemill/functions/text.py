@@ -30,7 +30,7 @@ WORD = r"[\p{L}\p{N}_]"
 URL = rf"(?i)(https?://{NON_SPACE}+|www\.{NON_SPACE}+)"
 URL_MARK = r"(?i)(https?://|www\.)"
 EMAIL_UNICODE = r"(?U)\b[\w.+-]+@[\w-]+(?:\.[\w-]+)+\b"
-EMAIL_ASCII = r"(?i)\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}\b"
+EMAIL_ASCII = r"(?iU)\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}\b"
 EMAIL_LOOSE = rf"{NON_SPACE}*@{NON_SPACE}*"
 HTML_TAG = r"<[^>]+>"
 HTML_ENTITY = r"(?U)&\w+;"
@@ -40,14 +40,23 @@ STACK_LINE = (
     r"Traceback \(most recent call last\):)"
 )
 CODE_MARK = rf"(?m)(```|Traceback \(|Exception in thread|^{SPACE}*at{SPACE}+{NON_SPACE}+)"
-ISSUE_ID = rf"(?i)\b(?:bug{SPACE}*#?|issue{SPACE}*#?|bz{SPACE}*#?)\d{{3,}}\b"
-BUG_REFERENCE = rf"(?i)\b(?:bug|issue|bz){SPACE}*#?{SPACE}*\d+\b"
-LONG_HEX = r"(?i)\b(?:0x)?[0-9a-f]{10,}\b"
-LABEL_TERM = r"(?i)\b(blocker|critical|major|normal|minor|trivial|severity)\b"
+ISSUE_ID = rf"(?iU)\b(?:bug{SPACE}*#?|issue{SPACE}*#?|bz{SPACE}*#?)\d{{3,}}\b"
+BUG_REFERENCE = rf"(?iU)\b(?:bug|issue|bz){SPACE}*#?{SPACE}*\d+\b"
+LONG_HEX = r"(?iU)\b(?:0x)?[0-9a-f]{10,}\b"
+LABEL_TERM = r"(?iU)\b(blocker|critical|major|normal|minor|trivial|severity)\b"
 STACK_FRAME = rf"(?i)(?:^|\n){SPACE}*at{SPACE}+[\p{{L}}\p{{N}}_.$]+\([^\n]+\)"
 CODE_LINE = rf"(?i)([{{}};]|(?:^|\n){SPACE}*(?:public|private|class|def|if|for)\b)"
 LINE_BREAK = r"\r\n|[\n\r\x{0b}\x{0c}\x{1c}-\x{1e}\x{85}\x{2028}\x{2029}]"
 REPEATED = r"(.)\1{3,}"
+# fixed value: decimal digits, and the other characters that count as digits
+DIGIT = (
+    r"[\p{Nd}"
+    r"\x{b2}-\x{b3}\x{b9}\x{1369}-\x{1371}\x{19da}\x{2070}\x{2074}-\x{2079}"
+    r"\x{2080}-\x{2089}\x{2460}-\x{2468}\x{2474}-\x{247c}\x{2488}-\x{2490}\x{24ea}"
+    r"\x{24f5}-\x{24fd}\x{24ff}\x{2776}-\x{277e}\x{2780}-\x{2788}\x{278a}-\x{2792}"
+    r"\x{10a40}-\x{10a43}\x{10e60}-\x{10e68}\x{11052}-\x{1105a}\x{1f100}-\x{1f10a}"
+    r"]"
+)
 
 
 def text_or_empty(col: Column) -> Column:
@@ -242,7 +251,7 @@ def structural_features(summary: Column, description: Column) -> dict[str, Colum
         (F.size(lines) > 1) & (F.element_at(lines, -1) == ""),
         F.slice(lines, F.lit(1), F.size(lines) - 1),
     ).otherwise(lines)
-    digits = F.regexp_count(text, F.lit(r"\p{Nd}"))
+    digits = F.regexp_count(text, F.lit(DIGIT))
     upper = F.regexp_count(text, F.lit(r"\p{Lu}"))
 
     def flag(pattern: str) -> Column:

@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from triagemill.constants import LABELS
-from triagemill.functions.labels import normalize_label
 from triagemill.functions.text import (
     is_blank,
     normalized_text_hash,
@@ -161,14 +160,12 @@ def one_hop_group(df: DataFrame, key: str, link: str) -> DataFrame:
     )
 
 
-def connected_groups(
-    df: DataFrame, key: str, link: str, max_rounds: int = 60
-) -> DataFrame:
+def connected_groups(df: DataFrame, key: str, link: str) -> DataFrame:
     """(key, duplicate_group) with the smallest member of the connected component as label.
 
     Targets missing from the table still join their sources. Each round points every node at
     the smallest neighbour seen from either side and then shortcuts through it, so chains
-    shrink geometrically. A hub with very many links is only ever reduced by ``min``.
+    shrink geometrically; it ends when the links repeat. A hub with very many links is only ever reduced by ``min``.
     """
     target = strip(text_or_empty(F.col(link)))
     own = F.col(key).cast("string")
@@ -179,14 +176,12 @@ def connected_groups(
     )
     star = materialize(edges, "links")
     digest = _edge_digest(star)
-    for _ in range(max_rounds):
+    while True:
         star = materialize(_small_star(_large_star(star)), "links")
         latest = _edge_digest(star)
         if latest == digest:
             break
         digest = latest
-    else:
-        raise RuntimeError("Connected components did not converge")
     nodes = df.select(own.alias("key")).distinct()
     return nodes.join(star.withColumnRenamed("v", "key"), "key", "left").select(
         "key", F.coalesce("u", "key").alias("duplicate_group")
@@ -421,7 +416,3 @@ def link_counts(core: DataFrame) -> DataFrame:
     return core.groupBy("source_project").agg(
         F.count_if(~is_blank(F.col("dupe_of"))).alias("dupe_of_relationships")
     )
-
-
-def normalized_labels(df: DataFrame) -> DataFrame:
-    return df.withColumn("severity", normalize_label(F.col("severity")))

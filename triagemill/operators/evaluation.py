@@ -66,10 +66,6 @@ def confusion(
     return dense.withColumn("normalized", ratio(F.col("count"), total))
 
 
-def confusion_matrix(cells: DataFrame, keys: list[str], labels: list[str], value: str = "count"):
-    return cells.groupBy(*keys, "true_label").pivot("predicted_label", labels).agg(F.first(value))
-
-
 def class_metrics(
     preds: DataFrame,
     keys: list[str],
@@ -692,15 +688,6 @@ def predicted_distribution(preds: DataFrame, keys: list[str], labels: list[str])
     )
 
 
-def with_length_bucket(df: DataFrame, summary: str, description: str, sep: str) -> DataFrame:
-    from triagemill.functions.text import joined
-
-    return df.withColumn(
-        "text_length_group",
-        length_bucket(F.length(joined(F.col(summary), F.col(description), sep))),
-    )
-
-
 def monotonicity_audit(scored: DataFrame, keys: list[str], size: int) -> DataFrame:
     """Rows whose raw probabilities rise, and how far the projection moves them."""
     from triagemill.functions.ordinal import project_monotonic

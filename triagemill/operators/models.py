@@ -347,7 +347,7 @@ def fit_classifier(train: DataFrame, spec: Spec, label: str = "label") -> Fitted
             total = weights[target] * counts[target] + other * rest
             svc = LinearSVC(
                 featuresCol="features", labelCol="_y", weightCol="_w",
-                regParam=1.0 / (spec.c * total), standardization=False, maxIter=200, tol=spec.tolerance,
+                regParam=1.0 / (spec.c * total), standardization=False, maxIter=MAX_ITER, tol=spec.tolerance,
             )
             tasks.append(lambda svc=svc, part=part: svc.fit(part))
         return Fitted(labels, in_parallel(tasks), spec.family)

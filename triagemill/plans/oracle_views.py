@@ -175,11 +175,6 @@ FROM v_split s JOIN (
     avg((rank > 2)::INTEGER) AS r2, avg((rank > 3)::INTEGER) AS r3
   FROM v_split WHERE partition = 'development' GROUP BY component) r ON s.component = r.component"""
 
-VIEWS["v_events"] = """
-SELECT CAST(event_id AS VARCHAR) AS id, event_id AS seq, event_type AS severity, ts AS creation_time,
-  value, CAST(user_id AS VARCHAR) || '-' || CAST(event_id % 200 AS VARCHAR) AS duplicate_group
-FROM events"""
-
 
 def with_views(body: str) -> str:
     """Prepend the definitions of the views that ``body`` uses, dependencies first."""

@@ -17,6 +17,7 @@ URL_SQL = f"(?i)(https?://{NWS}+|www\\.{NWS}+)"
 EMAIL_W_SQL = r"\b[\w.+-]+@[\w-]+(?:\.[\w-]+)+\b"
 EMAIL_A_SQL = r"(?i)\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}\b"
 COMBINED = "summary || chr(10) || description"
+AUDIT_WORDS = [*LABEL_WORDS, "the", "of", "and"]
 
 
 def decoded_sql(x: str) -> str:
@@ -330,14 +331,14 @@ def txt12(spark, sf_dir):
     " UNION ALL ".join(
         f"SELECT '{w}' AS term, '{f}' AS field, severity AS true_severity, count(*) AS reports FROM v_eligible"
         rf" WHERE regexp_matches({f}, '(?i)\b{w}\b') GROUP BY severity"
-        for w in ["the", "of", "and"]
+        for w in AUDIT_WORDS
         for f in ["summary", "description"]
     ),
 )
 def txt13(spark, sf_dir):
-    """The texts hold no label words, so three common words stand in for them."""
+    """Label words, and three common words, as the texts hold few of the former."""
     rows = eligible_reports(views.core(spark, sf_dir))
-    return audits.label_word_audit(rows, ["the", "of", "and"])
+    return audits.label_word_audit(rows, AUDIT_WORDS)
 
 
 @query(

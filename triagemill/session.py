@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -23,11 +24,14 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder for written intermediate tables, as the cluster names it."""
+    """Folder for written intermediate tables, as the cluster names it.
+
+    Only a single local process may do without; it gets a temporary folder.
+    """
     path = spark.conf.get(_CHECKPOINT_DIR, None)
     if path:
         return path.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise RuntimeError(f"{_CHECKPOINT_DIR} must name a shared folder on a cluster")
     path = tempfile.mkdtemp(prefix="spark-triagemill-")
     spark.conf.set(_CHECKPOINT_DIR, path)

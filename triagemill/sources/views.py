@@ -351,19 +351,3 @@ def _probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.col("r3"),
         ).alias("q"),
     )
-
-
-def event_stream_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = table(spark, sf_dir, "events")
-    return events.select(
-        F.col("event_id").cast("string").alias("id"),
-        F.col("event_id").alias("seq"),
-        F.col("event_type").alias("severity"),
-        F.col("ts").cast("timestamp").alias("creation_time"),
-        "value",
-        F.concat(
-            F.col("user_id").cast("string"),
-            F.lit("-"),
-            (F.col("event_id") % 200).cast("string"),
-        ).alias("duplicate_group"),
-    )
