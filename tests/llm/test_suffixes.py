@@ -7,7 +7,7 @@ import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from triagemill.llm.suffixes import first_owners, remove_repeats, suffix_array, window_runs
+from triagemill.llm.suffixes import _alike, first_owners, remove_repeats, suffix_array, window_runs
 from triagemill.llm.queries import QUERIES
 from tests.llm.conftest import SF
 
@@ -72,6 +72,21 @@ def test_runs_cover_every_window():
     assert seen == {(i, p) for i, b in enumerate(texts) for p in range(len(b) - 49)}
 
 
+def test_pieces_with_a_common_window_are_grouped():
+    rng = random.Random(6)
+    texts = [bytes(rng.choice(b"abcdefgh ") for _ in range(rng.randrange(60, 200))) for _ in range(30)]
+    texts += [texts[i % 30][: rng.randrange(60)] + texts[(i + 7) % 30] + texts[i % 30][5:80] for i in range(60)]
+    text, start, windows, name = window_runs(texts)
+    pieces, holders = {}, {}
+    for t, s, w, h in zip(text.tolist(), start.tolist(), windows.tolist(), name.tolist()):
+        pieces.setdefault((h, texts[t][s : s + w + 49]), len(pieces))
+    group = _alike(np.array([h for h, _ in pieces], np.uint64), [p for _, p in pieces])
+    for (_, p), i in pieces.items():
+        for x in range(len(p) - 49):
+            holders.setdefault(p[x : x + 50], set()).add(int(group[i]))
+    assert all(len(g) == 1 for g in holders.values()) and len(set(group.tolist())) > 30
+
+
 def test_whole_table(spark, documents):
     assert got(QUERIES["op2_suffix_array_dedup"](spark, SF)) == brute([(r["doc_id"], r["text"]) for r in documents.collect()])
 

@@ -3,8 +3,9 @@
 1. The least hash of the 18-byte strings in a 50-byte window names the window. Equal windows have
    equal names, so only runs of windows whose name occurs in two different texts can hold a
    repeated string. Names are brought together in packed buckets, and the rest is left behind.
-2. The bytes of the remaining runs meet in the bucket of their name. Where different pieces share
-   a name, they are joined by separators and sorted as suffixes: Lyndon-prefix groups in descending
+2. The bytes of the remaining runs meet in the bucket of their name. A window that two different
+   pieces share reaches 16 bytes beyond the named string on one side at least; pieces connected
+   by such agreement are joined by separators and sorted as suffixes: Lyndon-prefix groups in descending
    order with previous-smaller pointers, then each group's order, without recursion. Neighbours in
    this order that agree in 50 bytes are one string, whose first document is the smallest.
 3. Windows with an earlier first document are joined into spans, spans meet their texts.
@@ -24,7 +25,8 @@ from triagemill.session import materialize
 
 LENGTH = 50
 NAME_BYTES = 18
-BUCKET_BYTES = 48 << 20
+CONTEXT = 16
+BUCKET_BYTES = 16 << 20
 _SLICE = 1 << 20
 _BASE = 0xD6E8FEB86659FD93
 
@@ -128,6 +130,23 @@ def first_owners(pieces: list[bytes], owners: np.ndarray, length: int) -> list[n
 # --- names of windows -----------------------------------------------------------------------
 
 
+def _rolled(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the ``NAME_BYTES`` and of the ``CONTEXT`` bytes that start at each position."""
+    power = lambda n: np.uint64(pow(_BASE, n, 1 << 64))
+    h = (data.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    h ^= h >> np.uint64(31)
+    width, ends = 1, None
+    while width < CONTEXT:  # a power of two
+        h = h[:-width] * power(width) + h[width:]
+        width *= 2
+        if width == NAME_BYTES - CONTEXT:
+            ends = h
+    names = h[: len(data) - NAME_BYTES + 1] * power(NAME_BYTES - CONTEXT)
+    names = names + ends[CONTEXT : CONTEXT + len(names)]
+    names = (names ^ (names >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return names ^ (names >> np.uint64(32)), h
+
+
 def window_runs(texts: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, ...]:
     """Runs of windows with one name: (text number, start, windows, name) arrays."""
     data = np.frombuffer(b"".join(texts), np.uint8)
@@ -135,21 +154,7 @@ def window_runs(texts: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, .
     if len(data) < length:
         empty = np.empty(0, np.int64)
         return empty, empty, empty, empty.astype(np.uint64)
-    power = lambda n: np.uint64(pow(_BASE, n, 1 << 64))
-    h = (data.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-    h ^= h >> np.uint64(31)
-    parts, done, width = None, 0, 1  # binary expansion of NAME_BYTES, rolled up from single bytes
-    while True:
-        if NAME_BYTES & width:
-            parts = h if parts is None else parts[: len(h) - done] * power(width) + h[done:]
-            done += width
-        if 2 * width > NAME_BYTES:
-            break
-        h = h[:-width] * power(width) + h[width:]
-        width *= 2
-    names = parts[: len(data) - NAME_BYTES + 1]
-    names = (names ^ (names >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    names ^= names >> np.uint64(32)
+    names, _ = _rolled(data)
     span, width = length - NAME_BYTES + 1, 1
     while 2 * width <= span:
         names = np.minimum(names[:-width], names[width:])
@@ -311,6 +316,45 @@ def _pieces(n_buckets: int, length: int):
     return pieces
 
 
+def _alike(names: np.ndarray, pieces: list[bytes]) -> np.ndarray:
+    """Group number of each piece: pieces that may share a window are in one group.
+
+    Around each occurrence of the named string, the bytes before and those after it link all
+    pieces that have the same there.
+    """
+    data = np.frombuffer(b"".join(pieces), np.uint8)
+    sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+    ends = np.cumsum(sizes)
+    named, context = _rolled(data)
+    owner = np.repeat(np.arange(len(pieces)), sizes)
+    at = np.flatnonzero(named == names[owner[: len(named)]])
+    piece = owner[at]
+    at, piece = at[at + NAME_BYTES <= ends[piece]], piece[at + NAME_BYTES <= ends[piece]]
+    left = at - CONTEXT >= (ends - sizes)[piece]
+    right = at + NAME_BYTES + CONTEXT <= ends[piece]
+    keys = np.concatenate(
+        [
+            context[at[left] - CONTEXT] ^ (names[piece[left]] << np.uint64(1)),
+            ~context[at[right] + NAME_BYTES] ^ (names[piece[right]] << np.uint64(1)),
+        ]
+    )
+    holder = np.concatenate([piece[left], piece[right]])
+    order = np.argsort(keys, kind="stable")
+    keys, holder = keys[order], holder[order]
+    same = np.flatnonzero(keys[1:] == keys[:-1])
+    a, b = holder[same], holder[same + 1]
+    low = np.arange(len(pieces))
+    while True:
+        least = np.minimum(low[a], low[b])
+        now = low.copy()
+        np.minimum.at(now, low[a], least)
+        np.minimum.at(now, low[b], least)
+        now = now[now]
+        if (now == low).all():
+            return low
+        low = now
+
+
 def _spans(length: int):
     """Spans of windows whose first document is not their own, packed by document."""
 
@@ -333,14 +377,15 @@ def _spans(length: int):
         seen = np.concatenate(seen)
         owner = np.full(len(known), np.iinfo(np.int64).max)
         np.minimum.at(owner, seen[:, 0], seen[:, 1])
-        lanes: dict[int, list[tuple[int, bytes]]] = {}
-        for (h, piece), i in known.items():
-            lanes.setdefault(h, []).append((i, piece))
+        pieces = [p for _, p in known]
+        group = _alike(np.array([h for h, _ in known], np.uint64), pieces)
+        lanes: dict[int, list[int]] = {}
+        for i, g in enumerate(group.tolist()):
+            lanes.setdefault(g, []).append(i)
         first: list = [None] * len(known)
         for lane in lanes.values():
-            numbers = [i for i, _ in lane]
-            found = first_owners([p for _, p in lane], owner[numbers], length)
-            for i, own in zip(numbers, found):
+            found = first_owners([pieces[i] for i in lane], owner[lane], length)
+            for i, own in zip(lane, found):
                 first[i] = own
         windows = np.fromiter(map(len, first), np.int64, len(first))
         begin = np.cumsum(windows) - windows
