@@ -611,9 +611,10 @@ def precision_recall_curve(scored: DataFrame, actual: Column, score: Column) ->
     by_score = scored.groupBy(score.alias("threshold")).agg(
         F.count_if(actual).alias("_p"), F.count_if(~actual).alias("_n")
     )
-    # margins are clamped, so that there are at most 65,537 buckets whatever the scores are
-    clamped = F.least(F.greatest(F.col("threshold"), F.lit(-8.0)), F.lit(8.0))
-    bucketed = by_score.withColumn("_bucket", F.floor(clamped * 4096).cast("bigint"))
+    # x / (1 + |x|) keeps the order and maps any score into (-1, 1): 65,537 buckets at most, and
+    # large margins still spread over many of them
+    squashed = F.col("threshold") / (1 + F.abs("threshold"))
+    bucketed = by_score.withColumn("_bucket", F.floor(squashed * 32_768).cast("bigint"))
     totals = bucketed.groupBy("_bucket").agg(
         F.sum("_p").alias("_bp"), F.sum("_n").alias("_bn")
     )
