@@ -19,13 +19,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from triagemill.llm.packing import with_global_start
-from triagemill.llm.tokens import encoder, text_slices
-from triagemill.session import materialize
+from triagemill.llm.packing import tokenized, with_global_start
+from triagemill.llm.tokens import encoder
+from triagemill.session import materialize, new_table_path
 
 MAX_BITS = 18
 STEP = 256
@@ -151,23 +150,23 @@ def decode_frame(frame: bytes, table: tuple[np.ndarray, np.ndarray]) -> list[np.
 # --- the operator ---------------------------------------------------------------------------
 
 
-def id_counts(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
-    """id, n over all texts of ``docs`` (key, text), each followed by ``end_id``."""
+def id_counts(stored: DataFrame, dtype: np.dtype) -> DataFrame:
+    """id, n over all rows of ``tokenized`` data."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(tokenizer)
-        total = np.zeros(max(enc.vocab_size, end_id + 1), np.int64)
+        total = np.zeros(1, np.int64)
         for batch in batches:
-            for _, texts in text_slices(batch):
-                ids = np.frombuffer(b"".join(map(enc.encode, texts)), enc.dtype)
-                total += np.bincount(ids, minlength=len(total))
-                total[end_id] += len(texts)
+            for raw in batch.column(0):
+                own = np.bincount(np.frombuffer(raw.as_buffer(), dtype), minlength=len(total))
+                own[: len(total)] += total
+                total = own
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays(
             [pa.array(seen.astype(np.int32)), pa.array(total[seen])], names=["id", "n"]
         )
 
-    return docs.mapInArrow(count, "id int, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    counted = stored.select("ids").mapInArrow(count, "id int, n long")
+    return counted.groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def code_book(counts: DataFrame, max_bits: int = MAX_BITS) -> np.ndarray:
@@ -185,60 +184,59 @@ def write_ids(
 ) -> tuple[DataFrame, np.ndarray]:
     """Write all texts' ids as frames in ascending ``key`` order; the table and its code book.
 
-    A first pass counts ids over all texts. Then texts are range-partitioned by key, so a file
-    is one range and memory is bounded by a frame or the longest text. Rows: part (number of
-    the file), part_start (ids before the frame in its file), n_ids, doc_ids (array), frame.
-    They are stored through Spark's writer in the shared folder, which commits whole tasks only.
-    Null texts count as empty and hold ``end_id``; null keys come first; rows with equal keys
-    are each written; other columns are ignored; an empty table gives no frame.
+    Texts are range-partitioned by key and tokenized once, so a file is one range; their ids are
+    stored, counted, and encoded in stored order. Memory is bounded by a frame or the longest
+    text. Rows: part (number of the file), part_start (ids before the frame in its file), n_ids,
+    doc_ids (array), frame. All is stored through Spark's writer in the shared folder, which
+    commits whole tasks only. Null texts count as empty and hold ``end_id``; null keys come first;
+    rows with equal keys are each written; other columns are ignored; an empty table gives no
+    frame.
     """
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    lengths = code_book(id_counts(rows, tokenizer, end_id))
-    kind = rows.schema["doc_id"].dataType
+    in_order = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    spark, path = docs.sparkSession, new_table_path(docs.sparkSession, "ids")
+    ids = tokenized(in_order, tokenizer, end_id)
+    ids.write.option("compression", "zstd").parquet(path)
+    stored = spark.read.schema(ids.schema).parquet(path)
+    dtype = encoder(tokenizer).dtype
+    lengths = code_book(id_counts(stored, dtype))
+    kind = rows.schema["doc_id"].dataType.simpleString()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, codes = encoder(tokenizer), canonical_codes(lengths)
-        end, start = np.array([end_id], enc.dtype).tobytes(), 0
-        part = TaskContext.get().partitionId()
+        codes = canonical_codes(lengths)
+        part, start, held = None, 0, 0  # of the frame that is being filled
         own: list[np.ndarray] = []
-        own_keys: list = []
-        key_type = None
+        keys: list = []
+        key_type = pa.null()
 
         def frame() -> pa.RecordBatch:
-            nonlocal start, own, own_keys
-            size = sum(map(len, own))
-            row = {
-                "part": pa.array([part], pa.int32()),
-                "part_start": pa.array([start], pa.int64()),
-                "n_ids": pa.array([size], pa.int64()),
-                "doc_ids": pa.array([own_keys], pa.list_(key_type)),
-                "frame": pa.array([encode_frame(own, lengths, codes)], pa.binary()),
-            }
-            start, own, own_keys = start + size, [], []
-            return pa.RecordBatch.from_pydict(row)
-
-        held = 0
+            return pa.RecordBatch.from_arrays(
+                [
+                    pa.array([part], pa.int32()),
+                    pa.array([start], pa.int64()),
+                    pa.array([held], pa.int64()),
+                    pa.array([keys], pa.list_(key_type)),
+                    pa.array([encode_frame(own, lengths, codes)], pa.binary()),
+                ],
+                names=["part", "part_start", "n_ids", "doc_ids", "frame"],
+            )
+
         for batch in batches:
-            key_type = batch.schema.field(0).type
-            for keys, texts in text_slices(batch):
-                for k, t in zip(keys, texts):
-                    own.append(np.frombuffer(enc.encode(t) + end, enc.dtype))
-                    own_keys.append(k)
-                    held += len(own[-1])
-                    if held >= FRAME_IDS:
-                        held = 0
-                        yield frame()
+            key_type = batch.schema.field(2).type
+            for row_part, row_start, row_key, raw in zip(*(c.to_pylist() for c in batch.columns)):
+                if own and (held >= FRAME_IDS or (row_part, row_start) != (part, start + held)):
+                    yield frame()
+                    own, keys = [], []
+                if not own:
+                    part, start, held = row_part, row_start, 0
+                own.append(np.frombuffer(raw, dtype))
+                keys.append(row_key)
+                held += len(own[-1])
         if own:
             yield frame()
 
-    frames = (
-        rows.repartitionByRange("doc_id")
-        .sortWithinPartitions("doc_id")
-        .mapInArrow(
-            encode,
-            f"part int, part_start long, n_ids long, doc_ids array<{kind.simpleString()}>, "
-            "frame binary",
-        )
+    frames = stored.select("part", "part_start", "doc_id", "ids").mapInArrow(
+        encode, f"part int, part_start long, n_ids long, doc_ids array<{kind}>, frame binary"
     )
     return materialize(frames, "frames"), lengths
 
