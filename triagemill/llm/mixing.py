@@ -117,6 +117,7 @@ def place(
         F.col(source).cast("string").alias("source"),
         F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit("~")).alias("_src"),
         F.md5(F.concat(F.lit(seed), F.coalesce(F.col(key).cast("string"), F.lit("")))).alias("_order"),
+        F.xxhash64(F.col(text).cast("string")).alias("_tie"),  # rows that repeat a key
     )
     narrow = materialize(measured.drop("_row"), "mix-sizes")
     sizes = narrow.groupBy("_src", "source").agg(
@@ -158,7 +159,7 @@ def place(
         .select("_src", "_shard", "_blocks", "_quota", "_prime", "_turn")
     )
     dealt = materialize(dealt, "mix-shards")
-    stream = Window.partitionBy("_src", "_shard").orderBy("_order", "_row", "_size")
+    stream = Window.partitionBy("_src", "_shard").orderBy("_order", "_size", "_tie")
     before = F.sum("_size").over(stream.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_size")
     placed = sharded(measured).withColumn("_start", before).join(dealt, ["_src", "_shard"])
     own = ["_size", "_source_size", "_target", "_start", "_blocks", "_quota", "_prime", "_turn"]
