@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from triagemill.functions.labels import lookup
-from triagemill.functions.text import length_bucket
 
 
 def ratio(num: Column, den: Column) -> Column:
