@@ -7,7 +7,6 @@ import pytest
 
 from triagemill.llm import jaccard
 from triagemill.llm.jaccard import jaccard_join, keep_first, least_matches, shingle_sets
-from tests.llm.conftest import SF
 
 
 def runs(text):
