@@ -27,6 +27,7 @@ LENGTH = 50
 NAME_BYTES = 18
 CONTEXT = 16
 BUCKET_BYTES = 16 << 20
+LEAST_BUCKETS = 48  # tasks that small inputs are dealt to
 _SLICE = 1 << 20
 _BASE = 0xD6E8FEB86659FD93
 
@@ -483,7 +484,7 @@ def remove_repeats(
         "texts",
     )
     total = narrow.agg(F.sum("_n")).first()[0] or 0
-    n_buckets = max(12, -(-total // BUCKET_BYTES))
+    n_buckets = max(LEAST_BUCKETS, -(-total // BUCKET_BYTES))
     wide = rows.filter(F.col("key").isNotNull() & (F.octet_length("text") >= length))
     names = wide.mapInArrow(
         _names(n_buckets, length),
