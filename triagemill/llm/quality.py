@@ -22,22 +22,27 @@ def words(text: Column) -> Column:
     )
 
 
-def with_gram_buckets(df: DataFrame, text: str, out: str, buckets: int = BUCKETS) -> DataFrame:
-    """Add ``out``: buckets of a text's words and of its pairs of neighbouring words."""
-    numbered = df.withColumn(
-        "_hashes",
-        F.transform(
-            words(F.col(text)), lambda w: F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("long")
+def _let(value: Column, body) -> Column:
+    """Evaluate ``value`` once for several uses in ``body``."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _beside(a: Column, b: Column, distance: int, join) -> Column:
+    """``join`` of each element of ``a`` and the one of ``b`` that stands ``distance`` behind it."""
+    n = F.greatest(F.size(b) - distance, F.lit(0))
+    return F.zip_with(F.slice(a, F.lit(1), n), F.slice(b, F.lit(distance + 1), n), join)
+
+
+def gram_buckets(own_words: Column, buckets: int = BUCKETS) -> Column:
+    """Buckets of a text's words and of its pairs of neighbouring words."""
+    hashes = F.transform(own_words, lambda w: F.crc32(w.cast("binary")))
+    return _let(
+        hashes,
+        lambda h: F.concat(
+            F.transform(h, lambda x: x % buckets),
+            _beside(h, h, 1, lambda x, y: (x * _MIX + y) % buckets),
         ),
     )
-    n_pairs = F.greatest(F.size("_hashes") - 1, F.lit(0))
-    pairs = F.zip_with(
-        F.slice("_hashes", F.lit(1), n_pairs),
-        F.slice("_hashes", F.lit(2), n_pairs),
-        lambda a, b: (a * _MIX + b) % buckets,
-    )
-    single = F.transform("_hashes", lambda h: h % buckets)
-    return numbered.withColumn(out, F.concat(single, pairs)).drop("_hashes")
 
 
 def ratio_weights(
@@ -56,8 +61,9 @@ def ratio_weights(
     marks = trusted.select(F.col(key).alias("_mark")).distinct()
     rows = docs.select(F.col(key).alias("_key"), F.col(text).cast("string").alias("_text"))
     rows = rows.join(marks, F.col("_key") == F.col("_mark"), "left")
-    grams = with_gram_buckets(rows, "_text", "_grams", buckets).select(
-        F.col("_mark").isNotNull().cast("long").alias("target"), F.explode("_grams").alias("bucket")
+    grams = rows.select(
+        F.col("_mark").isNotNull().cast("long").alias("target"),
+        F.explode(gram_buckets(words(F.col("_text")), buckets)).alias("bucket"),
     )
     counted = grams.groupBy("bucket").agg(F.sum("target").alias("t"), F.count("*").alias("r"))
     target, raw = [1] * buckets, [1] * buckets
@@ -68,36 +74,47 @@ def ratio_weights(
     return [math.log(t) - math.log(r) + shift for t, r in zip(target, raw)]
 
 
-def base_measures(df: DataFrame, text: str) -> DataFrame:
-    """Add n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed."""
-    own = F.coalesce(F.col(text), F.lit(""))
-    lines = F.filter(F.split(own, "\n", -1), lambda x: x.rlike(_WORD))
-    gram = lambda i: F.struct(
-        F.xxhash64(*[F.get("_words", i + j) for j in range(5)]).alias("h"), i.alias("i")
-    )
-    spots = F.when(
-        F.size("_words") >= 5,
-        F.array_sort(F.transform(F.sequence(F.lit(0), F.size("_words") - 5), gram)),
-    )
-    beside = lambda x, i: (
-        F.coalesce(F.get("_spots", i - 1)["h"] == x["h"], F.lit(False))
-        | F.coalesce(F.get("_spots", i + 1)["h"] == x["h"], F.lit(False))
+def _covered(windows: Column) -> Column:
+    """Words in windows whose hash occurs again: equal hashes are neighbours once sorted."""
+    spots = F.array_sort(
+        F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i")))
     )
-    starts = F.array_sort(F.transform(F.filter("_spots", beside), lambda x: x["i"]))
-    covered = F.aggregate(
-        starts,
+
+    def starts(s: Column) -> Column:
+        same = lambda x, i: F.coalesce(F.get(s, i)["h"] == x["h"], F.lit(False))
+        again = F.filter(s, lambda x, i: same(x, i - 1) | same(x, i + 1))
+        return F.array_sort(F.transform(again, lambda x: x["i"]))
+
+    return F.aggregate(
+        _let(spots, starts),
         F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("n")),
         lambda s, x: F.struct(
             (x + 5).alias("end"), (s["n"] + x + 5 - F.greatest(x, s["end"])).alias("n")
         ),
-    )["n"]
+        lambda s: s["n"],
+    )
+
+
+def base_measures(df: DataFrame, text: str) -> DataFrame:
+    """Add _words, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed."""
+    own = F.coalesce(F.col(text), F.lit(""))
+    lines = F.filter(F.split(own, "\n", -1), lambda x: x.rlike(_WORD))
+    # hashes of one, two, four and five words that start at each word
+    pair = lambda x, y: F.xxhash64(x, y)
+    windows = _let(
+        F.transform(F.col("_words"), lambda w: F.xxhash64(w)),
+        lambda one: _let(
+            _beside(one, one, 1, pair),
+            lambda two: _beside(_beside(two, two, 2, pair), one, 4, pair),
+        ),
+    )
     return (
         df.withColumn("_words", words(F.col(text)))
         .withColumn("_lines", lines)
-        .withColumn("_spots", spots)
+        .withColumn("_windows", windows)
         .withColumn("n_words", F.size("_words").cast("long"))
         .withColumn(
-            "word_chars", F.length(F.regexp_replace(own, r"[\x20\x09-\x0D]+", "")).cast("long")
+            "word_chars", F.length(F.array_join("_words", "")).cast("long")
         )
         .withColumn(
             "n_symbols", (F.length(own) - F.length(F.translate(own, "#*$%&|<>", ""))).cast("long")
@@ -105,12 +122,18 @@ def base_measures(df: DataFrame, text: str) -> DataFrame:
         .withColumn(
             "n_dup_lines", (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long")
         )
-        .withColumn("n_repeat_words", F.coalesce(covered, F.lit(0).cast("long")))
+        .withColumn(
+            "n_repeat_words",
+            F.when(
+                F.size(F.array_distinct("_windows")) < F.size("_windows"),
+                _covered(F.col("_windows")),
+            ).otherwise(F.lit(0).cast("long")),
+        )
         .withColumn(
             "base_failed",
             (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")),
         )
-        .drop("_words", "_lines", "_spots")
+        .drop("_lines", "_windows")
     )
 
 
@@ -131,13 +154,16 @@ def quality_rules(
     """
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("_text"))
     table = F.split(F.lit(",".join(map(repr, weights))), ",").cast("array<double>")
-    measured = base_measures(with_gram_buckets(rows, "_text", "_grams", len(weights)), "_text")
-    total = F.aggregate(
-        "_grams", F.lit(0.0), lambda s, g: s + F.get(table, g.cast("int"))
-    )
-    size = F.size("_grams")
+
+    def mean(grams: Column) -> Column:
+        total = F.aggregate(
+            grams, F.lit(0.0), lambda s, g: s + F.get(table, g.cast("int"))
+        )
+        return F.when(F.size(grams) > 0, total / F.size(grams)).otherwise(F.lit(0.0))
+
     return (
-        measured.withColumn("score", F.when(size > 0, total / size).otherwise(F.lit(0.0)))
+        base_measures(rows, "_text")
+        .withColumn("score", _let(gram_buckets(F.col("_words"), len(weights)), mean))
         .withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold))
-        .drop("_text", "_grams")
+        .drop("_text", "_words")
     )

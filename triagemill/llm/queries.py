@@ -175,7 +175,18 @@ OP3_SQL = r"""
 WITH w AS (
   SELECT doc_id, coalesce(text, '') AS t,
          regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
-h AS (SELECT doc_id, list_transform(ws, lambda x: ('0x' || substr(md5(x), 1, 8))::BIGINT) AS hs FROM w),
+tab AS (
+  SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)),
+         lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS tb),
+dw AS (SELECT DISTINCT unnest(ws) AS x FROM w),
+db AS (
+  SELECT x, list_transform(range(octet_length(encode(x))),
+         lambda i: ('0x' || substr(hex(encode(x)), 2 * i + 1, 2))::BIGINT) AS bs FROM dw),
+dc AS (
+  SELECT x, xor(list_reduce(list_prepend(4294967295::BIGINT, bs),
+         lambda c, b: xor(c >> 8, tb[(xor(c, b) & 255) + 1])), 4294967295) AS crc FROM db, tab),
+pw AS (SELECT doc_id, unnest(ws) AS x, generate_subscripts(ws, 1) AS i FROM w),
+h AS (SELECT doc_id, list(crc ORDER BY i) AS hs FROM pw JOIN dc USING (x) GROUP BY doc_id),
 g AS (
   SELECT doc_id, list_concat(
     list_transform(hs, lambda x: x % 8192),
@@ -220,7 +231,34 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(docs, ratio_weights(docs, labels.filter("quality = 1")))
 
 
-@query("op1_ngram_jaccard_join")
+OP1_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, coalesce(text, '') AS t,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+x AS (SELECT t, min(doc_id) AS rep, count(*) AS n_copies, any_value(ws) AS ws FROM w GROUP BY t),
+s AS (
+  SELECT DISTINCT rep, unnest(CASE
+    WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+    ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END) AS g
+  FROM x),
+z AS (SELECT rep, count(*) AS n FROM s GROUP BY rep),
+p AS (
+  SELECT a.rep AS a, b.rep AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.rep < b.rep
+  GROUP BY ALL),
+l AS (
+  SELECT a, b FROM p JOIN z za ON za.rep = a JOIN z zb ON zb.rep = b
+  WHERE c / (za.n + zb.n - c) >= 0.8),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+reach(node, seen) AS (
+  SELECT rep, rep FROM x UNION SELECT reach.node, e.b FROM reach JOIN e ON seen = e.a),
+c AS (SELECT node, min(seen) AS class_id FROM reach GROUP BY node)
+SELECT doc_id, class_id, coalesce(n_links, 0) AS n_links, n_copies
+FROM w JOIN x USING (t) JOIN c ON rep = node
+LEFT JOIN (SELECT a, count(*) AS n_links FROM e GROUP BY a) k ON k.a = rep
+"""
+
+
+@query("op1_ngram_jaccard_join", OP1_SQL)
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class, links and copies of every document at a similarity of 0.8 or more."""
     from triagemill.llm.jaccard import jaccard_join
@@ -228,7 +266,37 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(documents(spark, sf_dir))
 
 
-@query("op2_suffix_array_dedup")
+OP2_SQL = r"""
+WITH d AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n
+  FROM documents),
+seg AS (
+  SELECT doc_id, base, least(256, n - 49 - base) AS m, substr(h, 2 * base + 1, 610) AS hs
+  FROM (SELECT doc_id, h, n, unnest(range(0, n - 49, 256)) AS base FROM d WHERE n >= 50)),
+p AS (
+  SELECT doc_id, base + j AS i, substr(hs, 2 * j + 1, 100) AS s
+  FROM (SELECT doc_id, base, hs, unnest(range(0, m)) AS j FROM seg)),
+f AS (SELECT s, min(doc_id) AS first FROM p GROUP BY s),
+r AS (SELECT doc_id, i FROM p JOIN f USING (s) WHERE first < doc_id),
+g AS (
+  SELECT doc_id, i, sum(opens) OVER (PARTITION BY doc_id ORDER BY i) AS k
+  FROM (SELECT *, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 50 THEN 0 ELSE 1 END AS opens
+        FROM r)),
+sp AS (SELECT doc_id, min(i) AS a, max(i) + 50 AS b FROM g GROUP BY doc_id, k),
+gap AS (
+  SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS pb FROM sp),
+kept AS (
+  SELECT doc_id, string_agg(substr(h, 2 * pb + 1, 2 * (a - pb)), '' ORDER BY a)
+                 || substr(any_value(h), 2 * max(b) + 1) AS kh,
+         sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans
+  FROM gap JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(coalesce(kh, h))) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
+
+
+@query("op2_suffix_array_dedup", OP2_SQL)
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes of every document that 50-byte strings of earlier documents cover."""
     from triagemill.llm.suffixes import remove_repeats
