@@ -60,7 +60,8 @@ def ratio_weights(
     """
     marks = trusted.select(F.col(key).alias("_mark")).distinct()
     rows = docs.select(F.col(key).alias("_key"), F.col(text).cast("string").alias("_text"))
-    rows = rows.join(marks, F.col("_key") == F.col("_mark"), "left")
+    # both sides grow with the table, so small ones are joined in the same way
+    rows = rows.join(marks.hint("merge"), F.col("_key") == F.col("_mark"), "left")
     grams = rows.select(
         F.col("_mark").isNotNull().cast("long").alias("target"),
         F.explode(gram_buckets(words(F.col("_text")), buckets)).alias("bucket"),
