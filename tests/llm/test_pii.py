@@ -102,3 +102,46 @@ def test_whole_table_and_empty(spark, documents):
             assert m not in r["text"]
         same = re.sub(r"\S*[\d@]\S*", "", seen[r["doc_id"]]) == re.sub(r"\S*[\d@]\S*", "", r["text"])
         assert same
+
+
+def test_beside_other_numbers(spark):
+    """(text, kept before, the value, kept after): invalid joined numbers hide no valid one."""
+    cases = [
+        ("card", "", "4111 1111 1111 1111", " 12/25"), ("card", "", "4111111111111111", " 123"),
+        ("ssn", "1234 ", "123-45-6789", ""), ("phone", "", "555-223-4567", " 123"),
+        ("date", "12345 ", "2021-03-04", ""), ("card", "", "4111 1111 1111 1111", " 12"),
+        ("card", "1234 ", "4111 1111 1111 1111", ""), ("card", "+1 ", "4111 1111 1111 1111", ""),
+        ("phone", "1111 2222 3333 4445 ", "555 223 4567", ""), ("card", "45/45/", "3782 822463 10005", ""),
+        ("card", "2021-02-30 ", "4111-1111-1111-1111", ""), ("card", "", "3056 930902 5904", " 7"),
+    ]
+    got = run(spark, [a + v + b for _, a, v, b in cases])
+    for i, (kind, a, v, b) in enumerate(cases):
+        new = got[i]["text"]
+        assert new.startswith(a) and new.endswith(b), (cases[i], new)
+        own = new[len(a) : len(new) - len(b)]
+        assert own != v and re.sub(r"\d", "9", own) == re.sub(r"\d", "9", v), (cases[i], new)
+        assert got[i]["pii_counts"][kind] == 1 and sum(got[i]["pii_counts"]) == 1, cases[i]
+        if kind == "card":
+            assert luhn_ok(re.sub(r"\D", "", own))
+
+
+def test_unrelated_numbers_are_no_card(spark):
+    for t in ["41111 11111 11111 1", "411 1111 1111 11111", "4111 1111-1111 1111"]:
+        assert luhn_ok(re.sub(r"\D", "", t))
+        assert run(spark, [t])[0]["text"] == t
+
+
+def test_phone_stops_before_a_card(spark):
+    new = run(spark, ["+49 30 1234567 4111 1111 1111 1111"])[0]
+    assert (new["pii_counts"]["phone"], new["pii_counts"]["card"]) == (1, 1)
+
+
+def test_dates_are_those_of_the_calendar(spark):
+    tests = [f"{y:04}-{m:02}-{d:02}" for y in (1599, 1600, 1700, 1900, 2000, 2023, 2024, 9999) for m in range(0, 14) for d in range(0, 33)]
+    got = run(spark, tests)
+    for i, t in enumerate(tests):
+        try:
+            good = datetime.date.fromisoformat(t).year >= 1600
+        except ValueError:
+            good = False
+        assert got[i]["pii_counts"]["date"] == good, t

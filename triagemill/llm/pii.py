@@ -2,8 +2,10 @@
 
 Kinds, what makes a match valid, and the set that its pseudonym is drawn from:
 
-- card: 13 to 19 digits, single spaces or hyphens allowed between them, Luhn-valid. First digit
-  kept, the others permuted, check digit computed anew: another valid number of that length.
+- card: 13 to 19 digits, Luhn-valid, unbroken or with single spaces or single hyphens after each
+  four digits or in the groups 4-6-5, 4-6-4, 4-4-5 or 6-13. First digit kept, the others
+  permuted, check digit computed anew: another valid number of that length. Of two that start at
+  one place the longer counts.
 - ssn: ddd-dd-dddd with an area of 001-899 but 666, a group and a serial above zero. Permuted
   among all such numbers.
 - phone: NANP forms with area and exchange of 200-999, permuted among these; with +1 also the
@@ -16,7 +18,8 @@ Kinds, what makes a match valid, and the set that its pseudonym is drawn from:
 - secret: at least 32 hex digits given to a name such as token or key, as many digits of a keyed
   hash.
 
-Separators stay where they are. A match that is not valid stays as it is.
+Separators stay where they are. What is not valid stays as it is, and is no match: it hides no
+valid value that starts or ends inside it.
 """
 
 from __future__ import annotations
@@ -35,17 +38,47 @@ _SECRET = (
 )
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _IP = rf"(?<![\d.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\d)(?!\.\d)"
-_YMD = r"\d{4}([-/.])\d{2}\1\d{2}"
-_DMY = r"\d{2}([/.])\d{2}\2\d{4}"
+# what a date needs is looked for ahead of its shape, so the separators are any character there
+_YEAR = r"(?:1[6-9]|[2-9]\d)\d{2}"
+_LEAP = r"(?:(?:1[6-9]|[2-9]\d)(?:0[48]|[2468][048]|[13579][26])|(?:16|[2468][048]|[3579][26])00)"
+_D31, _D30, _D28 = r"(?:0[1-9]|[12]\d|3[01])", r"(?:0[1-9]|[12]\d|30)", r"(?:0[1-9]|1\d|2[0-8])"
+_M31, _M30 = r"(?:0[13578]|1[02])", r"(?:0[469]|11)"
+_MONTH_DAY = rf"(?:{_M31}.{_D31}|{_M30}.{_D30}|02.{_D28})"
+_DAY_MONTH = rf"(?:{_D31}.{_M31}|{_D30}.{_M30}|{_D28}.02)"
+_YMD = rf"(?={_YEAR}.{_MONTH_DAY}|{_LEAP}.02.29)\d{{4}}([-/.])\d{{2}}\1\d{{2}}"
+_DMY = (
+    rf"(?={_DAY_MONTH}.{_YEAR}|29.02.{_LEAP}|(?=../)(?:{_MONTH_DAY}.{_YEAR}|02.29.{_LEAP}))"
+    r"\d{2}([/.])\d{2}\2\d{4}"
+)
 _DATE = rf"(?<![\d/.-])(?:{_YMD}|{_DMY})(?!\d)(?![/.-]\d)"
-_SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
+_SSN = r"(?<![\d-])(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}(?![\d-])"
 _NANP = r"(?:\(\d{3}\)[ ]?|\d{3}[-. ])\d{3}[-. ]\d{4}"
-_PHONE = (
-    rf"(?:\+1[-. ]?{_NANP}|\+\d{{1,3}}(?:[-. ]?\(?\d{{1,4}}\)?){{2,5}}"
-    rf"|(?<![\d+.-]){_NANP})(?!\d)(?![-.]\d)"
+_ASSIGNED = r"(?:\([2-9]\d{2}\)[ ]?|[2-9]\d{2}[-. ])[2-9]\d{2}[-. ]\d{4}"
+_CARD_START, _NUMBER_END = r"(?<![\d.+-])", r"(?!\d)(?![-.]\d)"
+# groups of four, also with a short last one; a month or day before a slash is none
+_CARD_LONG = r"\d{4}(?<a>[ -])(?:\d{4}\k<a>){3}\d{1,3}(?!/\d)"
+_CARD = (
+    r"(?:\d{13,19}|\d{4}(?<b>[ -])(?:\d{4}\k<b>){2}(?:\d{4}|\d{1,3}(?!/\d))"
+    r"|\d{4}(?<c>[ -])\d{6}\k<c>\d{4,5}|\d{4}(?<d>[ -])\d{4}\k<d>\d{5}|\d{6}[ -]\d{13})"
 )
-_CARD = r"(?<![\d.+-])\d(?:[ -]?\d){12,18}(?!\d)(?![-.]\d)"
-_ANY = "|".join(f"(?:{p})" for p in (_EMAIL, _SECRET, _IP, _DATE, _SSN, _CARD, _PHONE))
+# written out, as Java must see how far a look-behind goes
+_EIGHT_TO_15 = r"[-. ()]{0,3}\d" * 8 + r"(?:[-. ()]{0,3}\d" * 7 + ")?" * 7
+
+
+def _phone_shape(no_group: str) -> str:
+    """A phone number none of whose groups after the first starts with ``no_group``.
+
+    What follows + is taken as a whole, then its digits are counted: no part of it is a number.
+    """
+    group = rf"(?:{no_group}[-. ]?\(?\d{{1,4}}\)?)"
+    return (
+        rf"(?:\+1[-. ]?{_NANP}{_NUMBER_END}|(?>\+\d{{1,3}}{group}{{2,5}}{_NUMBER_END})"
+        rf"(?<=\+{_EIGHT_TO_15}\)?)|(?<![\d+.-]){_ASSIGNED}{_NUMBER_END})"
+    )
+
+
+_BEFORE_CARD = "|".join(f"(?:{p})" for p in (_EMAIL, _SECRET, _IP, _DATE, _SSN))
+_NO_CARD = f"{_BEFORE_CARD}|{_phone_shape('')}"
 
 
 def _hash(key: str, *parts: Column) -> Column:
@@ -265,6 +298,41 @@ def _pseudonym(m: Column, key: str) -> Column:
     return chosen
 
 
+def _shapes(text: Column) -> Column:
+    """Pattern of all valid matches of ``text``: those of its cards that are Luhn-valid by name.
+
+    Cards are looked for at every place, also inside others, so that an invalid number hides
+    neither a card in it nor anything else.
+    """
+
+    def cards(shape: str) -> Column:
+        return F.regexp_extract_all(
+            text, F.lit(f"{_CARD_START}(?=({shape}){_NUMBER_END})"), F.lit(1)
+        )
+
+    distinct = F.array_distinct(F.concat(cards(_CARD_LONG), cards(_CARD)))
+    valid = F.filter(distinct, lambda c: _luhn(_digits(c)) == 0)
+    longest_first = F.reverse(
+        F.array_sort(F.transform(valid, lambda c: F.struct(F.length(c).alias("n"), c.alias("c"))))
+    )
+    tail = lambda c: F.when(c.rlike(r"[ -]\d{1,3}$"), r"(?!/\d)").otherwise("")
+    each = F.transform(longest_first, lambda x: F.concat(x["c"], tail(x["c"])))
+    before, after = _phone_shape("\0").split("\0")
+
+    def shapes(names: Column) -> Column:
+        card = F.concat(
+            F.lit(f"{_CARD_START}(?:"), F.array_join(names, "|"), F.lit(f"){_NUMBER_END}")
+        )
+        return F.when(F.size(names) == 0, F.lit(_NO_CARD)).otherwise(
+            F.concat(
+                F.lit(f"{_BEFORE_CARD}|"), card, F.lit(f"|{before}(?![-. ]?"), card,
+                F.lit(f"){after}"),
+            )
+        )
+
+    return _let(each, shapes)
+
+
 def pseudonymize(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """``docs`` with pseudonyms in ``text``, and ``pii_counts``: struct of a long for each kind.
 
@@ -276,7 +344,8 @@ def pseudonymize(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """
     own = F.col(text).cast("string")
     has_any = own.rlike("[0-9@]")
-    found = F.when(has_any, F.regexp_extract_all(own, F.lit(_ANY), F.lit(0)))
+    docs = docs.withColumn("_shapes", F.when(has_any, _shapes(own)))
+    found = F.when(has_any, F.regexp_extract_all(own, F.col("_shapes"), F.lit(0)))
     none = F.array().cast("array<string>")
     pattern = F.transform(
         F.coalesce(found, none),
@@ -290,7 +359,7 @@ def pseudonymize(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
         return F.size(own).cast("long").alias(kind)
 
     counts = F.struct(*map(count, KINDS))
-    gaps = F.split(own, _ANY, -1)
+    gaps = F.split(own, F.col("_shapes"), -1)
     new = F.transform("_made", lambda x: F.coalesce(x["made"]["new"], x["old"]))
     joined = F.array_join(
         F.zip_with(gaps, F.concat(new, F.array(F.lit(""))), lambda g, n: F.concat(g, n)), ""
@@ -300,7 +369,7 @@ def pseudonymize(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
         *[
             F.when(changed, joined).otherwise(own).alias(c) if c == text else F.col(c)
             for c in docs.columns
-            if c != "pii_counts"
+            if c not in ("pii_counts", "_shapes")
         ],
         "pii_counts",
     )
