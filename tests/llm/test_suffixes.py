@@ -2,12 +2,14 @@ from __future__ import annotations
 
 import hashlib
 import random
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from triagemill.llm.suffixes import _alike, first_owners, remove_repeats, suffix_array, window_runs
+from triagemill.llm.suffixes import _alike, _pieces, first_owners, remove_repeats, suffix_array, window_runs
 from triagemill.llm.queries import QUERIES
 from tests.llm.conftest import SF
 
@@ -107,3 +109,31 @@ def test_planted(spark):
     rows += [(200, passage[:49]), (201, passage[1:51]), (202, "é" * 400), (203, "é" * 30), (204, "yé" * 3000), (None, rows[0][1])]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert got(remove_repeats(df.repartition(5))) == brute(rows)
+
+
+def _shared_passage(n):
+    rng = random.Random(8)
+    letters = lambda k: "".join(rng.choice("abcdefgh ") for _ in range(k))
+    passage = letters(60)
+    return [(i, f"{letters(40)}{passage}{letters(rng.randrange(40, 60))}") for i in range(n)]
+
+
+def test_pieces_of_a_hot_name_are_dealt_out():
+    """No bucket holds more than a few windows of a passage that each text ends differently."""
+    texts = [t.encode() for _, t in _shared_passage(300)]
+    _, _, _, names = window_runs(texts)
+    name, n = Counter(names.tolist()).most_common(1)[0]
+    packed = np.array([name], np.uint64).tobytes()
+    largest = {}
+    for hot in ([], [packed]):
+        columns = [pa.array(texts, pa.binary()), pa.array(range(300)), pa.array(range(300)), pa.array([[packed]] * 300), pa.array([hot] * 300, pa.list_(pa.binary()))]
+        batch = pa.RecordBatch.from_arrays(columns, names=["text", "key", "digest", "names", "hot"])
+        sizes = {r["bucket"]: len(r["pieces"]) for b in _pieces(48, 50)([batch]) for r in b.to_pylist()}
+        largest[bool(hot)] = max(sizes.values()) / sum(sizes.values())
+    assert n == 300 and largest[False] == 1 and largest[True] < 0.1
+
+
+def test_hot_names(spark):
+    rows = _shared_passage(120) + [(500 + i, "y" * (60 + i)) for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert got(remove_repeats(df.repartition(3), hot_texts=20)) == brute(rows)

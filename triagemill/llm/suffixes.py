@@ -7,13 +7,16 @@
    pieces share reaches 16 bytes beyond the named string on one side at least; pieces connected
    by such agreement are joined by separators and sorted as suffixes: Lyndon-prefix groups in descending
    order with previous-smaller pointers, then each group's order, without recursion. Neighbours in
-   this order that agree in 50 bytes are one string, whose first document is the smallest.
+   this order that agree in 50 bytes are one string, whose first document is the smallest. The
+   runs of a name that more than ``HOT_TEXTS`` texts hold are cut into their windows, which are
+   dealt out by their own bytes: equal windows meet, and there is nothing to sort.
 3. Windows with an earlier first document are joined into spans, spans meet their texts.
 """
 
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,6 +30,7 @@ LENGTH = 50
 NAME_BYTES = 18
 CONTEXT = 16
 BUCKET_BYTES = 16 << 20
+HOT_TEXTS = 1 << 14  # texts with one name up to which its pieces are sorted together
 LEAST_BUCKETS = 48  # tasks that small inputs are dealt to
 _SLICE = 1 << 20
 _BASE = 0xD6E8FEB86659FD93
@@ -242,8 +246,15 @@ def _gathered(parts, most: int = 24 << 20):
         yield own
 
 
-def _repeated(table: pa.Table) -> pa.Table:
-    """Names that occur in two different texts, packed for the first document of each text."""
+def _repeated(hot_texts: int):
+    return lambda table: _names_in_two(table, hot_texts)
+
+
+def _names_in_two(table: pa.Table, hot_texts: int) -> pa.Table:
+    """Names that occur in two different texts, packed for the first document of each text.
+
+    ``hot`` repeats those that more than ``hot_texts`` texts hold.
+    """
     keys, digests, names = [], [], []
     for row in table.to_pylist():
         at = np.frombuffer(row["at"], np.int32)
@@ -258,10 +269,15 @@ def _repeated(table: pa.Table) -> pa.Table:
     first = new_name.copy()
     first[1:] |= digests[1:] != digests[:-1]
     number = np.cumsum(new_name) - 1
-    shared = np.bincount(number[first]) > 1
-    kept = np.flatnonzero(first & shared[number])
-    keys, digests, names = keys[kept], digests[kept], names[kept]
-    return _packed(keys, digests, {"names": names})
+    n_texts = np.bincount(number[first])[number]
+    kept = np.flatnonzero(first & (n_texts > 1))
+    keys, digests, names, hot = keys[kept], digests[kept], names[kept], n_texts[kept] > hot_texts
+    out = _packed(keys, digests, {"names": names, "hot": hot})
+    some = [
+        np.frombuffer(n, np.uint64)[np.frombuffer(h, bool)].tobytes()
+        for n, h in zip(out["names"].to_pylist(), out["hot"].to_pylist())
+    ]
+    return out.set_column(3, "hot", pa.array(some, pa.binary()))
 
 
 def _packed(keys: np.ndarray, digests: np.ndarray, values: dict[str, np.ndarray]) -> pa.Table:
@@ -282,7 +298,10 @@ def _packed(keys: np.ndarray, digests: np.ndarray, values: dict[str, np.ndarray]
 
 
 def _pieces(n_buckets: int, length: int):
-    """Bytes of the runs with a repeated name, packed by bucket; equal pieces once a pack."""
+    """Bytes of the runs with a repeated name, packed by bucket; equal pieces once a pack.
+
+    Buckets from ``n_buckets`` on hold the windows of hot names, each one a piece.
+    """
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _gathered(_batches(batches), 8 << 20):
@@ -291,6 +310,10 @@ def _pieces(n_buckets: int, length: int):
                 text, start, windows, name = window_runs(texts, length)
                 keys, digests = rows.column(1).to_pylist(), rows.column(2).to_pylist()
                 chosen = [np.frombuffer(b"".join(x), np.uint64) for x in rows.column(3).to_pylist()]
+                hot = [
+                    set(np.frombuffer(b"".join(x), np.uint64).tolist())
+                    for x in rows.column(4).to_pylist()
+                ]
                 bounds = np.searchsorted(text, np.arange(len(texts) + 1))
                 for i, wanted in enumerate(chosen):
                     own = np.arange(bounds[i], bounds[i + 1])
@@ -299,9 +322,17 @@ def _pieces(n_buckets: int, length: int):
                         _bucket(name[own], n_buckets).tolist(), start[own].tolist(),
                         windows[own].tolist(), name[own].tolist(),
                     ):
-                        known, seen = packs.setdefault(b, ({}, []))
-                        piece = (h, texts[i][s : s + w + length - 1])
-                        seen.append((known.setdefault(piece, len(known)), keys[i], digests[i], s))
+                        parts = [(b, s, texts[i][s : s + w + length - 1])]
+                        if h in hot[i]:
+                            windows_of = ((x, texts[i][x : x + length]) for x in range(s, s + w))
+                            parts = [
+                                (n_buckets + (zlib.crc32(p) + b) % n_buckets, x, p)
+                                for x, p in windows_of
+                            ]
+                        for to, x, p in parts:
+                            known, seen = packs.setdefault(to, ({}, []))
+                            own_number = known.setdefault((h, p), len(known))
+                            seen.append((own_number, keys[i], digests[i], x))
             for b, (known, seen) in packs.items():
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -356,7 +387,7 @@ def _alike(names: np.ndarray, pieces: list[bytes]) -> np.ndarray:
         low = now
 
 
-def _spans(length: int):
+def _spans(n_buckets: int, length: int):
     """Spans of windows whose first document is not their own, packed by document."""
 
     def spans(table: pa.Table) -> pa.Table:
@@ -379,11 +410,14 @@ def _spans(length: int):
         owner = np.full(len(known), np.iinfo(np.int64).max)
         np.minimum.at(owner, seen[:, 0], seen[:, 1])
         pieces = [p for _, p in known]
-        group = _alike(np.array([h for h, _ in known], np.uint64), pieces)
         lanes: dict[int, list[int]] = {}
-        for i, g in enumerate(group.tolist()):
-            lanes.setdefault(g, []).append(i)
         first: list = [None] * len(known)
+        if table["bucket"][0].as_py() >= n_buckets:
+            first = list(owner[:, None])
+        else:
+            group = _alike(np.array([h for h, _ in known], np.uint64), pieces)
+            for i, g in enumerate(group.tolist()):
+                lanes.setdefault(g, []).append(i)
         for lane in lanes.values():
             found = first_owners([pieces[i] for i in lane], owner[lane], length)
             for i, own in zip(lane, found):
@@ -457,7 +491,11 @@ def _without(text: memoryview, spans: list[bytes]) -> tuple[int, int, str]:
 
 
 def remove_repeats(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH
+    docs: DataFrame,
+    key: str = "doc_id",
+    text: str = "text",
+    length: int = LENGTH,
+    hot_texts: int = HOT_TEXTS,
 ) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row.
 
@@ -491,19 +529,24 @@ def remove_repeats(
         "bucket int, keys binary, digests binary, at binary, names binary",
     )
     repeated = names.groupBy("bucket").applyInArrow(
-        _repeated, "key long, digest long, names binary"
+        _repeated(hot_texts), "key long, digest long, names binary, hot binary"
+    )
+    repeated = repeated.groupBy("key", "digest").agg(
+        F.collect_list("names").alias("names"),
+        F.collect_list(F.when(F.octet_length("hot") > 0, F.col("hot"))).alias("hot"),
     )
-    repeated = repeated.groupBy("key", "digest").agg(F.collect_list("names").alias("names"))
     repeated = materialize(repeated, "names")
     dealt = rows.repartition("key")
-    chosen = dealt.join(repeated, ["key", "digest"]).select("text", "key", "digest", "names")
+    chosen = dealt.join(repeated, ["key", "digest"]).select(
+        "text", "key", "digest", "names", "hot"
+    )
     spans = (
         chosen.mapInArrow(
             _pieces(n_buckets, length),
             "bucket int, names binary, sizes binary, pieces binary, seen binary",
         )
         .groupBy("bucket")
-        .applyInArrow(_spans(length), "key long, digest long, spans binary")
+        .applyInArrow(_spans(n_buckets, length), "key long, digest long, spans binary")
     )
     first = narrow.groupBy("_md5").agg(F.min("key").alias("_first"))
     copies = narrow.join(first, "_md5").filter(
