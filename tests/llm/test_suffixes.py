@@ -137,3 +137,29 @@ def test_hot_names(spark):
     rows = _shared_passage(120) + [(500 + i, "y" * (60 + i)) for i in range(30)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert got(remove_repeats(df.repartition(3), hot_texts=20)) == brute(rows)
+
+
+def test_short_lengths_share_a_lane():
+    """Windows of 32 bytes with 7 bytes beyond the name on each side are still linked."""
+    rng = random.Random(9)
+    texts = [bytes(rng.choice(b"abcdefgh ") for _ in range(200)) for _ in range(20)]
+    texts += [texts[i][:50] + texts[i + 1][60 : 60 + 32 + i % 8] + texts[i + 2][50:90] for i in range(18)]
+    for length in (32, 40, 48):
+        text, start, windows, name = window_runs(texts, length)
+        pieces, holders = {}, {}
+        for t, s, w, h in zip(text.tolist(), start.tolist(), windows.tolist(), name.tolist()):
+            pieces.setdefault((h, texts[t][s : s + w + length - 1]), len(pieces))
+        group = _alike(np.array([h for h, _ in pieces], np.uint64), [p for _, p in pieces], length)
+        for (_, p), i in pieces.items():
+            for x in range(len(p) - length + 1):
+                holders.setdefault(p[x : x + length], set()).add(int(group[i]))
+        assert all(len(g) == 1 for g in holders.values())
+
+
+def test_length_32(spark):
+    rng = random.Random(10)
+    letters = lambda k: "".join(rng.choice("abcdefgh ") for _ in range(k))
+    shared = [letters(32 + i % 8) for i in range(20)]
+    rows = [(i, letters(30) + shared[i % 20] + letters(30)) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert got(remove_repeats(df, length=32)) == brute(rows, 32)

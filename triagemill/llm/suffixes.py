@@ -135,21 +135,23 @@ def first_owners(pieces: list[bytes], owners: np.ndarray, length: int) -> list[n
 # --- names of windows -----------------------------------------------------------------------
 
 
-def _rolled(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the ``NAME_BYTES`` and of the ``CONTEXT`` bytes that start at each position."""
+def _rolled(data: np.ndarray, near: int = CONTEXT) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the ``NAME_BYTES`` and of the ``near`` bytes that start at each position."""
     power = lambda n: np.uint64(pow(_BASE, n, 1 << 64))
     h = (data.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
     h ^= h >> np.uint64(31)
-    width, ends = 1, None
+    width, ends, context = 1, None, h
     while width < CONTEXT:  # a power of two
         h = h[:-width] * power(width) + h[width:]
         width *= 2
         if width == NAME_BYTES - CONTEXT:
             ends = h
+        if width == near:
+            context = h
     names = h[: len(data) - NAME_BYTES + 1] * power(NAME_BYTES - CONTEXT)
     names = names + ends[CONTEXT : CONTEXT + len(names)]
     names = (names ^ (names >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return names ^ (names >> np.uint64(32)), h
+    return names ^ (names >> np.uint64(32)), context
 
 
 def window_runs(texts: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, ...]:
@@ -348,7 +350,12 @@ def _pieces(n_buckets: int, length: int):
     return pieces
 
 
-def _alike(names: np.ndarray, pieces: list[bytes]) -> np.ndarray:
+def _context(length: int) -> int:
+    """Bytes beyond the named string that a shared window has on one side at least, by powers of two."""
+    return min(CONTEXT, 1 << (((length - NAME_BYTES + 1) // 2).bit_length() - 1))
+
+
+def _alike(names: np.ndarray, pieces: list[bytes], length: int = LENGTH) -> np.ndarray:
     """Group number of each piece: pieces that may share a window are in one group.
 
     Around each occurrence of the named string, the bytes before and those after it link all
@@ -357,16 +364,17 @@ def _alike(names: np.ndarray, pieces: list[bytes]) -> np.ndarray:
     data = np.frombuffer(b"".join(pieces), np.uint8)
     sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
     ends = np.cumsum(sizes)
-    named, context = _rolled(data)
+    near = _context(length)
+    named, context = _rolled(data, near)
     owner = np.repeat(np.arange(len(pieces)), sizes)
     at = np.flatnonzero(named == names[owner[: len(named)]])
     piece = owner[at]
     at, piece = at[at + NAME_BYTES <= ends[piece]], piece[at + NAME_BYTES <= ends[piece]]
-    left = at - CONTEXT >= (ends - sizes)[piece]
-    right = at + NAME_BYTES + CONTEXT <= ends[piece]
+    left = at - near >= (ends - sizes)[piece]
+    right = at + NAME_BYTES + near <= ends[piece]
     keys = np.concatenate(
         [
-            context[at[left] - CONTEXT] ^ (names[piece[left]] << np.uint64(1)),
+            context[at[left] - near] ^ (names[piece[left]] << np.uint64(1)),
             ~context[at[right] + NAME_BYTES] ^ (names[piece[right]] << np.uint64(1)),
         ]
     )
@@ -415,7 +423,7 @@ def _spans(n_buckets: int, length: int):
         if table["bucket"][0].as_py() >= n_buckets:
             first = list(owner[:, None])
         else:
-            group = _alike(np.array([h for h, _ in known], np.uint64), pieces)
+            group = _alike(np.array([h for h, _ in known], np.uint64), pieces, length)
             for i, g in enumerate(group.tolist()):
                 lanes.setdefault(g, []).append(i)
         for lane in lanes.values():
