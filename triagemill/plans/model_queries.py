@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from triagemill.constants import LABELS, ORDERED_LABELS, TICKET_LABELS
+from triagemill.constants import HIERARCHIES, LABELS, ORDERED_LABELS, TICKET_LABELS
 from triagemill.functions import ordinal as O
 from triagemill.functions.labels import label_to_rank, lookup, task_label
 from triagemill.operators import evaluation as E
@@ -188,19 +188,20 @@ def fea2(spark, sf_dir):
 
 @query("fea3")
 def fea3(spark, sf_dir):
-    """Feature sets F0 to F4 on the last fold: width and non-zeros per side."""
+    """Feature sets F0 to F4 on all folds: rows per side and width."""
     docs = views.report_docs(spark, sf_dir)
-    fold = members(spark, sf_dir).filter(F.col("fold") == 3)
+    m = members(spark, sf_dir)
     parts = []
     for name in X.FEATURE_SETS:
         table = X.build_features(
-            docs, fold, KEY, X.set_branches(name), [3], with_structure=name in ("F3", "F4")
+            docs, m, KEY, X.set_branches(name), FOLDS, with_structure=name in ("F3", "F4")
         )
         parts.append(
-            table.rows.groupBy("role")
+            table.rows.groupBy("fold", "role")
             .agg(F.count("*").alias("rows"))
             .select(
                 F.lit(name).alias("feature_set"),
+                "fold",
                 "role",
                 "rows",
                 F.lit(table.size).cast("bigint").alias("width"),
@@ -409,59 +410,74 @@ def mod8(spark, sf_dir):
     return scored(both, ["model", "fold"])
 
 
-def _flat(spark, sf_dir, branches, spec, fold_members, folds, tag):
+def _flat(spark, sf_dir, branches, specs, fold_members, folds):
+    """Metrics of every (tag, spec) of ``specs`` over one table of features."""
     table = X.build_features(views.report_docs(spark, sf_dir), fold_members, KEY, branches, folds)
-    out = M.evaluate_folds(table.rows, folds, spec, KEY)
-    return E.metrics(out, ["fold"], LABELS).select(
-        F.lit(tag).alias("candidate"),
-        "fold",
-        "macro_f1",
-        "balanced_accuracy",
-        "minimum_recall",
-        F.lit(table.size).cast("bigint").alias("feature_count"),
-    )
+    parts = [
+        E.metrics(M.evaluate_folds(table.rows, folds, spec, KEY), ["fold"], LABELS).select(
+            F.lit(tag).alias("candidate"),
+            "fold",
+            "macro_f1",
+            "balanced_accuracy",
+            "minimum_recall",
+            F.lit(table.size).cast("bigint").alias("feature_count"),
+        )
+        for tag, spec in specs
+    ]
+    return M.union_all(parts)
+
+
+FRACTIONS = (0.2, 0.4, 0.6, 0.8, 1.0)
 
 
 @query("mod9")
 def mod9(spark, sf_dir):
-    """Ablation over inputs, and the chronological learning curve, with logistic regression."""
+    """Ablation over inputs, features, weights and models, and the chronological learning curve."""
     m = members(spark, sf_dir)
-    spec = logistic()
-    parts = [
-        _flat(
-            spark, sf_dir, X.variant_branches(i, "word_1_1"), spec, m, FOLDS, f"input={i}"
-        )
-        for i in ("summary", "summary_description")
-    ]
+    spec, parts = logistic(), []
+    for i in X.INPUT_VARIANTS:
+        for f in X.FEATURE_VARIANTS:
+            specs = [(f"input={i}|features={f}", spec)]
+            if (i, f) == ("summary_description", "word_1_1"):
+                specs += [(f"model={s.name}", s) for s in M.study_specs()]
+            parts.append(_flat(spark, sf_dir, X.variant_branches(i, f), specs, m, FOLDS))
     base = views.report_docs(spark, sf_dir).drop("summary", "description")
     positioned = with_position(base, ["creation_time", KEY])
-    subset = S.learning_subsets(positioned, (0.6,)).drop("n_rows")
-    size = subset.count()
-    folds = S.expanding_folds(subset.withColumn("n_rows", F.lit(size)), 3).select(
-        KEY, "fold", "role", F.col("severity").alias("label")
-    )
-    parts.append(
-        _flat(
-            spark, sf_dir, X.variant_branches("summary_description", "word_1_1"), spec,
-            materialize(folds, "curve"), FOLDS, "fraction=0.6",
+    for fraction in FRACTIONS:
+        subset = S.learning_subsets(positioned, (fraction,)).drop("n_rows")
+        size = subset.count()
+        folds = S.expanding_folds(subset.withColumn("n_rows", F.lit(size)), 3).select(
+            KEY, "fold", "role", F.col("severity").alias("label")
+        )
+        parts.append(
+            _flat(
+                spark, sf_dir, unigram_branches(), [(f"fraction={fraction}", spec)],
+                materialize(folds, "curve"), FOLDS,
+            )
         )
-    )
     return rounded(M.union_all(parts))
 
 
+STUDY_TASKS = ["s6", "s3", "s2"]
+
+
 @query("mod10")
 def mod10(spark, sf_dir):
-    """Nested selection inside outer fold 3: candidates on inner folds, winner refitted."""
+    """Nested selection inside every outer fold: candidates on inner folds, winner refitted."""
     docs = views.report_docs(spark, sf_dir)
-    outer = views.report_folds(spark, sf_dir).filter(F.col("fold") == 3)
-    outer_rows = outer.select(KEY, "fold", "role", F.col("severity").alias("label"))
-    inner = nested_inner_folds(outer, "severity", LABELS)
-    return rounded(
-        nested_selection(
-            docs, outer_rows, inner, 3, "s6", ["F0", "F2"],
-            [M.Spec("LogisticRegression", 1.0, "balanced", 1e-4)],
-        )
-    )
+    parts = []
+    for fold in FOLDS:
+        outer = views.report_folds(spark, sf_dir).filter(F.col("fold") == fold)
+        outer_rows = outer.select(KEY, "fold", "role", F.col("severity").alias("label"))
+        inner = nested_inner_folds(outer, "severity", LABELS)
+        tables = {}  # features do not depend on the task
+        for task in STUDY_TASKS:
+            parts.append(
+                nested_selection(
+                    docs, outer_rows, inner, fold, task, X.FEATURE_SETS, M.study_specs(), tables
+                )
+            )
+    return rounded(M.union_all(parts))
 
 
 def nested_inner_folds(outer, label, labels):
@@ -476,20 +492,32 @@ def nested_inner_folds(outer, label, labels):
     )
 
 
-def nested_selection(docs, outer, inner, outer_fold, task, feature_sets, specs):
-    """Metrics of the candidate that wins on the inner folds, refitted on the outer fold."""
+def nested_selection(docs, outer, inner, outer_fold, task, feature_sets, specs, tables=None):
+    """Metrics of the candidate that wins on the inner folds, refitted on the outer fold.
+
+    ``tables`` keeps the features of this outer fold for its other tasks.
+    """
+    tables = {} if tables is None else tables
     labels = {"s6": LABELS, "s3": ["HIGH", "MEDIUM", "LOW"]}.get(
         task, ["HIGH_IMPACT", "LOWER_IMPACT"]
     )
     priority = labels[0]
-    mapped = inner.withColumn("label", task_label(F.col("label"), task))
+
+    def features(side, name, rows, numbers):
+        """Table of the features with the labels of the task."""
+        if (side, name) not in tables:
+            tables[side, name] = X.build_features(
+                docs, rows, KEY, X.set_branches(name), numbers, name in ("F3", "F4")
+            )
+        table = tables[side, name]
+        return table.rows.withColumn("label", task_label(F.col("label"), task)), table.size
+
     folds = sorted(r["fold"] for r in inner.select("fold").distinct().collect())
     parts = []
     for name in feature_sets:
-        structure = name in ("F3", "F4")
-        table = X.build_features(docs, mapped, KEY, X.set_branches(name), folds, structure)
+        rows, size = features("inner", name, inner, folds)
         for spec in specs:
-            out = M.evaluate_folds(table.rows, folds, spec, KEY)
+            out = M.evaluate_folds(rows, folds, spec, KEY)
             recall = E.class_metrics(out, ["fold"], labels).filter(F.col("label") == priority)
             parts.append(
                 E.metrics(out, ["fold"], labels)
@@ -501,20 +529,16 @@ def nested_selection(docs, outer, inner, outer_fold, task, feature_sets, specs):
                     "macro_f1",
                     "minimum_recall",
                     "priority",
-                    F.lit(table.size).alias("feature_count"),
+                    F.lit(size).alias("feature_count"),
                     F.lit(0.0).alias("runtime_seconds"),
                 )
             )
     results = materialize(M.union_all(parts), "candidates")
     ranked = M.rank_candidates(results, "priority", X.FEATURE_SETS)
     best = ranked.filter(F.col("candidate_rank") == 1).first()
-    chosen = next(s for s in specs if best["candidate"].endswith(s.name))
-    truth = outer.withColumn("label", task_label(F.col("label"), task))
-    structure = best["feature"] in ("F3", "F4")
-    table = X.build_features(
-        docs, truth, KEY, X.set_branches(best["feature"]), [outer_fold], structure
-    )
-    out = M.evaluate_folds(table.rows, [outer_fold], chosen, KEY)
+    chosen = next(s for s in specs if best["candidate"] == f"{best['feature']}|{s.name}")
+    rows, _ = features("outer", best["feature"], outer, [outer_fold])
+    out = M.evaluate_folds(rows, [outer_fold], chosen, KEY)
     return E.metrics(out, ["fold"], labels).select(
         F.lit(task).alias("task"),
         "fold",
@@ -565,10 +589,15 @@ def mod11(spark, sf_dir):
 
 @query("mod12")
 def mod12(spark, sf_dir):
-    """Two-level hierarchy: hard, soft and oracle routing, out of fold."""
+    """Both two-level hierarchies: hard, soft and oracle routing, out of fold."""
     spec = logistic()
-    out = M.evaluate_hierarchy(vectors(spark, sf_dir), FOLDS, "hierarchy_a", spec, KEY)
-    return rounded(out)
+    parts = [
+        M.evaluate_hierarchy(vectors(spark, sf_dir), FOLDS, name, spec, KEY).withColumn(
+            "hierarchy", F.lit(name)
+        )
+        for name in HIERARCHIES
+    ]
+    return rounded(M.union_all(parts))
 
 
 ROUTE_GROUPS = {"SEVERE": ["2-HIGH", "1-URGENT"], "NON_SEVERE": ["5-LOW", "4-NOT SPECIFIED", "3-MEDIUM"]}
@@ -751,15 +780,30 @@ def mod20(spark, sf_dir):
     return rounded(M.feature_overlap(top, "source_project", "term"))
 
 
+def report_holdout(spark, sf_dir):
+    """Development rows as the training side of fold 0, held-out rows as its validation side."""
+    def build():
+        rows = views.report_docs(spark, sf_dir).drop("summary", "description")
+        split = S.chronological_holdout(rows, "creation_time", KEY, "severity")
+        role = F.when(F.col("partition") == "development", "train").otherwise("validation")
+        return split.select(
+            KEY, F.lit(0).alias("fold"), role.alias("role"), F.col("severity").alias("label")
+        )
+
+    return views.remember(spark, sf_dir, "report_holdout", build)
+
+
 def stored_model(spark, sf_dir) -> str:
-    """Fit on all development rows of fold 3, store as tables, return the folder."""
+    """Fit on all development rows, store as tables, return the folder."""
     key = (spark.sparkContext.applicationId, sf_dir, "stored_model")
     if key not in views._memo:
-        train = vectors(spark, sf_dir).filter((F.col("fold") == 3) & (F.col("role") == "train"))
-        model = M.fit_classifier(train, logistic())
+        table = X.build_features(
+            views.report_docs(spark, sf_dir), report_holdout(spark, sf_dir), KEY,
+            unigram_branches(), [0],
+        )
+        model = M.fit_classifier(table.rows.filter(F.col("role") == "train"), logistic())
         path = new_table_path(spark, "model")
-        vocab = unigram_table(spark, sf_dir).vocabulary
-        M.save_linear(model, vocab.filter(F.col("fold") == 3), path)
+        M.save_linear(model, table.vocabulary, path)
         views._memo[key] = path
     return views._memo[key]
 
@@ -778,9 +822,7 @@ def mod22(spark, sf_dir):
     """Score all held-out reports with the stored model."""
     terms, labels = M.load_linear(spark, stored_model(spark, sf_dir))
     held = (
-        views.report_folds(spark, sf_dir)
-        .filter((F.col("fold") == 3) & (F.col("role") == "validation"))
-        .select(KEY)
+        report_holdout(spark, sf_dir).filter(F.col("role") == "validation").select(KEY)
     )
     docs = views.report_docs(spark, sf_dir).join(held, KEY, "left_semi")
     return M.score_linear(docs, KEY, unigram_branches(), terms, labels)
@@ -788,11 +830,11 @@ def mod22(spark, sf_dir):
 
 @query("mod23")
 def mod23(spark, sf_dir):
-    """Label words masked in every branch, same configuration, refitted on the last fold."""
-    m = members(spark, sf_dir).filter(F.col("fold") == 3)
+    """Label words masked in every branch, same configuration, refitted on every fold."""
+    m = members(spark, sf_dir)
     spec = M.Spec("LogisticRegression", 1.0, "balanced", 1e-4)
     parts = [
-        _flat(spark, sf_dir, X.set_branches("F1", mask), spec, m, [3], f"mask={mask}")
+        _flat(spark, sf_dir, X.set_branches("F1", mask), [(f"mask={mask}", spec)], m, FOLDS)
         for mask in (False, True)
     ]
     return rounded(M.union_all(parts))
