@@ -29,7 +29,7 @@ def canonical(pdf: pd.DataFrame) -> list[tuple]:
     for row in pdf.itertuples(index=False):
         out = []
         for v in row:
-            if v is None or v is pd.NaT or (isinstance(v, float) and math.isnan(v)):
+            if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, float) and math.isnan(v)):
                 out.append("NULL")
             elif isinstance(v, bool):
                 out.append(str(v))
