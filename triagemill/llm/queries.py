@@ -302,3 +302,54 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     from triagemill.llm.suffixes import remove_repeats
 
     return remove_repeats(documents(spark, sf_dir))
+
+
+CRC_TABLE_SQL = r"""tab AS (
+  SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)),
+         lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS tb)"""
+
+OP12_SQL = (
+    "WITH "
+    + CRC_TABLE_SQL
+    + r""",
+o AS (
+  SELECT conv_id, list(row(coalesce(role, ''), coalesce(text, ''))
+                       ORDER BY turn NULLS FIRST, role, text) AS ts
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+b AS (
+  SELECT conv_id, ts, list_transform(range(length(conv_id::VARCHAR)),
+         lambda i: ascii(substr(conv_id::VARCHAR, i + 1, 1))::BIGINT) AS bs FROM o),
+h AS (
+  SELECT conv_id, ts, xor(list_reduce(list_prepend(4294967295::BIGINT, bs),
+         lambda c, x: xor(c >> 8, tb[(xor(c, x) & 255) + 1])), 4294967295) % 9 AS h FROM b, tab),
+r AS (
+  SELECT h.conv_id, list_concat(coalesce(o.ts[1:h.h], []), h.ts[h.h + 1:]) AS ts
+  FROM h LEFT JOIN o ON o.conv_id = h.conv_id - h.conv_id % 5),
+p AS (SELECT conv_id, ts, unnest(range(0, len(ts) + 1)) AS depth FROM r),
+n AS (
+  SELECT ts[1:depth] AS node, depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+         coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (len(ts) = depth), '') AS ends
+  FROM p GROUP BY ALL),
+c AS (
+  SELECT node, depth, conv_id, n_convs, ends, node[1:depth - 1] AS up,
+         CASE WHEN depth > 0 THEN (n_convs - 1) * octet_length(encode(node[depth][2])) ELSE 0 END AS saved
+  FROM n),
+k AS (SELECT up, count(*) AS n_children FROM c WHERE depth > 0 GROUP BY up),
+f AS (SELECT c.*, coalesce(n_children, 0) AS n_children FROM c LEFT JOIN k ON k.up = c.node),
+a AS (
+  SELECT node[1:d] AS top, count(*) FILTER (n_children = 0) AS n_leaves, sum(saved) AS saved
+  FROM (SELECT *, unnest(range(0, depth + 1)) AS d FROM f) GROUP BY ALL)
+SELECT f.conv_id, f.depth, u.conv_id AS parent_conv_id, f.n_convs, f.n_children, a.n_leaves,
+       a.saved::BIGINT AS saved_tokens, sha256(f.ends) AS ends_sha256
+FROM f JOIN a ON a.top = f.node LEFT JOIN n u ON f.depth > 0 AND u.node = f.up
+"""
+)
+
+
+@query("op12_prefix_trie", OP12_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All nodes of the prefix trie of all rebuilt conversations."""
+    from triagemill.llm.tries import conversation_paths, forked_paths, prefix_trie
+
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return prefix_trie(forked_paths(conversation_paths(rows)))
