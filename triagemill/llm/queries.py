@@ -353,3 +353,11 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
     return prefix_trie(forked_paths(conversation_paths(rows)))
+
+
+@query("op11_whitening")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whitened leading components of all embeddings."""
+    from triagemill.llm.whitening import whiten
+
+    return whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
