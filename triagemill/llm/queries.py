@@ -361,3 +361,11 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     from triagemill.llm.whitening import whiten
 
     return whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+@query("op13_simhash_dedup")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document; links at 2 or fewer differing bits."""
+    from triagemill.llm.simhash import simhash_groups
+
+    return simhash_groups(documents(spark, sf_dir))
