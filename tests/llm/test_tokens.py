@@ -121,14 +121,17 @@ def test_packs_edge_rows(spark, edge_docs):
     assert doubled.count() == 2
 
 
-def test_huffman_edge_rows(edge_docs):
-    frames, lengths = write_ids(edge_docs, PATH, end_id=2)
-    got = read_ids(frames, lengths).collect()
+def test_huffman_edge_rows(spark, edge_docs, tmp_path):
+    path = write_ids(edge_docs, PATH, end_id=2, path=f"{tmp_path}/ids")
+    # a session that knows nothing but the folder
+    got = read_ids(spark.newSession(), path).collect()
     texts = {r["doc_id"]: r["text"] for r in edge_docs.collect()}
     assert len(got) == edge_docs.count()
     assert all(r["ids"] == lib_ids(texts[r["doc_id"]]) + [2] for r in got)
-    frames, lengths = write_ids(edge_docs.limit(0), PATH, end_id=2)
-    assert read_ids(frames, lengths).count() == 0
+    path = write_ids(edge_docs.limit(0), PATH, end_id=2)
+    assert read_ids(spark, path).count() == 0
+    nulls = edge_docs.selectExpr("cast(null as long) as doc_id", "text")
+    assert read_ids(spark, write_ids(nulls, PATH, end_id=2)).count() == edge_docs.count()
 
 
 @settings(max_examples=60, deadline=None)

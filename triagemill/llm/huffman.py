@@ -7,7 +7,8 @@ holds whole documents. Layout of a frame, all integers little-endian:
     u32 ids of each document | u64 bit offset of every ``step``-th id | payload
 
 Bits fill 64-bit words from the highest down. The code book is the length in bits of each id
-(u8, 0: id not in use); codes follow from the lengths in canonical order (length, then id).
+(u8, 0: id not in use), stored in a table beside the frames; codes follow from the lengths in
+canonical order (length, then id).
 Blocks between two checkpoints can be decoded on their own.
 """
 
@@ -19,12 +20,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from triagemill.llm.packing import tokenized, with_global_start
 from triagemill.llm.tokens import encoder
-from triagemill.session import materialize, new_table_path
+from triagemill.session import new_table_path
 
 MAX_BITS = 18
 STEP = 256
@@ -150,23 +151,21 @@ def decode_frame(frame: bytes, table: tuple[np.ndarray, np.ndarray]) -> list[np.
 # --- the operator ---------------------------------------------------------------------------
 
 
-def id_counts(stored: DataFrame, dtype: np.dtype) -> DataFrame:
-    """id, n over all rows of ``tokenized`` data."""
+def id_counts(counted: DataFrame) -> DataFrame:
+    """id, n over the count rows of ``tokenized`` data, one for each task that wrote some."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1, np.int64)
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for raw in batch.column(0):
-                own = np.bincount(np.frombuffer(raw.as_buffer(), dtype), minlength=len(total))
-                own[: len(total)] += total
-                total = own
-        seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(seen.astype(np.int32)), pa.array(total[seen])], names=["id", "n"]
-        )
-
-    counted = stored.select("ids").mapInArrow(count, "id int, n long")
-    return counted.groupBy("id").agg(F.sum("n").alias("n"))
+                total = np.frombuffer(raw.as_buffer(), "<i8")
+                seen = np.flatnonzero(total)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(seen.astype(np.int32)), pa.array(total[seen])], names=["id", "n"]
+                )
+
+    return counted.select("ids").mapInArrow(spread, "id int, n long").groupBy("id").agg(
+        F.sum("n").alias("n")
+    )
 
 
 def code_book(counts: DataFrame, max_bits: int = MAX_BITS) -> np.ndarray:
@@ -180,26 +179,37 @@ def code_book(counts: DataFrame, max_bits: int = MAX_BITS) -> np.ndarray:
 
 
 def write_ids(
-    docs: DataFrame, tokenizer: str, end_id: int, key: str = "doc_id", text: str = "text"
-) -> tuple[DataFrame, np.ndarray]:
-    """Write all texts' ids as frames in ascending ``key`` order; the table and its code book.
+    docs: DataFrame,
+    tokenizer: str,
+    end_id: int,
+    path: str | None = None,
+    key: str = "doc_id",
+    text: str = "text",
+) -> str:
+    """Write all texts' ids in ascending ``key`` order to the folder ``path``, and return it.
+
+    The folder, a new one among the intermediate tables if none is named, must not exist. It is all
+    that ``read_ids`` needs, in any session: ``frames``, a Parquet table with part (number of the
+    file), part_start (ids before the frame in its file), n_ids, doc_ids (array) and frame; and
+    ``book``, a table of one row with the code: max_bits, and lengths, a byte for each id from 0 on.
 
     Texts are range-partitioned by key and tokenized once, so a file is one range; their ids are
-    stored, counted, and encoded in stored order. Memory is bounded by a frame or the longest
-    text. Rows: part (number of the file), part_start (ids before the frame in its file), n_ids,
-    doc_ids (array), frame. All is stored through Spark's writer in the shared folder, which
-    commits whole tasks only. Null texts count as empty and hold ``end_id``; null keys come first;
-    rows with equal keys are each written; other columns are ignored; an empty table gives no
-    frame.
+    stored, counted on the way, and encoded in stored order. Memory is bounded by a frame or the
+    longest text. All is stored through Spark's writer, which commits whole tasks only. Null texts
+    count as empty and hold ``end_id``; null keys come first; rows with equal keys are each written;
+    other columns are ignored; an empty table gives no frame.
     """
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text"))
     in_order = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
-    spark, path = docs.sparkSession, new_table_path(docs.sparkSession, "ids")
-    ids = tokenized(in_order, tokenizer, end_id)
-    ids.write.option("compression", "zstd").parquet(path)
-    stored = spark.read.schema(ids.schema).parquet(path)
+    spark = docs.sparkSession
+    path = path or new_table_path(spark, "id-files")
+    ids = tokenized(in_order, tokenizer, end_id, counted=True)
+    ids_path = new_table_path(spark, "ids")
+    ids.write.option("compression", "zstd").parquet(ids_path)
+    every = spark.read.schema(ids.schema).parquet(ids_path)
+    stored = every.filter("n_ids is not null")
     dtype = encoder(tokenizer).dtype
-    lengths = code_book(id_counts(stored, dtype))
+    lengths = code_book(id_counts(every.filter("n_ids is null")))
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,16 +248,23 @@ def write_ids(
     frames = stored.select("part", "part_start", "doc_id", "ids").mapInArrow(
         encode, f"part int, part_start long, n_ids long, doc_ids array<{kind}>, frame binary"
     )
-    return materialize(frames, "frames"), lengths
+    frames.write.mode("errorifexists").parquet(f"{path}/frames")
+    book = spark.createDataFrame(
+        [(MAX_BITS, bytearray(lengths.tobytes()))], "max_bits int, lengths binary"
+    )
+    book.coalesce(1).write.mode("errorifexists").parquet(f"{path}/book")
+    return path
 
 
-def read_ids(
-    frames: DataFrame, lengths: np.ndarray, max_bits: int = MAX_BITS, with_ids: bool = True
-) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 (and ids) of each document, decoded from the frames.
+def read_ids(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 (and ids) of each document in the folder ``path``.
 
-    ``start`` counts the ids of all documents before it in the files' order.
+    ``start`` counts the ids of all documents before it in the files' order. The code is read from
+    the folder too: one row, of as many bytes as the vocabulary has ids.
     """
+    book = spark.read.parquet(f"{path}/book").first()
+    lengths, max_bits = np.frombuffer(bytes(book["lengths"]), np.uint8), book["max_bits"]
+    frames = spark.read.parquet(f"{path}/frames")
     kind = frames.schema["doc_ids"].dataType.elementType.simpleString()
     placed = with_global_start(frames)
 

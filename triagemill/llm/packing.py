@@ -16,21 +16,33 @@ from triagemill.session import materialize
 
 
 def tokenized(
-    docs: DataFrame, tokenizer: str, end_id: int, key: str = "doc_id", text: str = "text"
+    docs: DataFrame,
+    tokenizer: str,
+    end_id: int,
+    key: str = "doc_id",
+    text: str = "text",
+    counted: bool = False,
 ) -> DataFrame:
     """part, part_start, doc_id, n_ids, ids: each text's ids, then ``end_id``, as bytes.
 
     ``part`` is the task that made the row and ``part_start`` the ids of the rows before it
     there. Ids are little-endian, two bytes wide where the vocabulary allows it, else four.
+    ``counted`` adds a row for each task that had any, without ``n_ids``: its ``ids`` hold how often
+    each id occurs there, as little-endian longs from id 0 on.
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
         end, width = np.array([end_id], enc.dtype).tobytes(), enc.dtype.itemsize
         part, start = TaskContext.get().partitionId(), 0
+        total, kind = np.zeros(enc.vocab_size, np.int64), None
         for batch in batches:
+            kind = batch.schema.field(0).type
             for keys, texts in text_slices(batch):
                 ids = [enc.encode(t) + end for t in texts]
+                if counted:
+                    flat = np.frombuffer(b"".join(ids), enc.dtype)
+                    total += np.bincount(flat, minlength=len(total))
                 sizes = np.fromiter((len(x) // width for x in ids), np.int64, len(ids))
                 starts = start + np.cumsum(sizes) - sizes
                 start += int(sizes.sum())
@@ -44,6 +56,17 @@ def tokenized(
                     ],
                     names=["part", "part_start", "doc_id", "n_ids", "ids"],
                 )
+        if counted and start:
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([part], pa.int32()),
+                    pa.array([start]),
+                    pa.nulls(1, kind),
+                    pa.nulls(1, pa.int64()),
+                    pa.array([total.astype("<i8").tobytes()], pa.binary()),
+                ],
+                names=["part", "part_start", "doc_id", "n_ids", "ids"],
+            )
 
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()

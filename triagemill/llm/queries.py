@@ -58,11 +58,11 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op10_huffman_ids")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All ids written as Huffman-coded frames and read back."""
+    """All ids written as Huffman-coded frames with their code book, and read back from there."""
     from triagemill.llm.huffman import read_ids, write_ids
 
-    frames, lengths = write_ids(documents(spark, sf_dir), tokenizer_path(), end_id=2)
-    return read_ids(frames, lengths, with_ids=False)
+    path = write_ids(documents(spark, sf_dir), tokenizer_path(), end_id=2)
+    return read_ids(spark, path, with_ids=False)
 
 
 OP5_SQL = r"""

@@ -54,7 +54,9 @@ class TextEncoder:
 
     def encode(self, text: str) -> bytes:
         """Little-endian ids of ``text`` in ``dtype``."""
-        return np.array(self.ids(text), self.dtype).tobytes()
+        if _OTHER.search(text) or self._special.search(text):
+            return np.array(self.ids(text), self.dtype).tobytes()
+        return self._fast.encode_to_numpy(text, disallowed_special=()).astype(self.dtype).tobytes()
 
 
 def _byte_of_letter() -> dict[str, int]:
