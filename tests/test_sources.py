@@ -1,5 +1,8 @@
 from __future__ import annotations
 
+import csv
+import io
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -27,6 +30,66 @@ def test_scan_keeps_zeros_newlines_and_strips_bom(spark, tmp_path):
     assert "comments" not in rows[0].asDict()
 
 
+def hard_table(n):
+    """Records with newlines, doubled quotes, separators and empty fields in quotes."""
+    odd = ["plain", 'a "quoted" word', "two\nlines", 'x,"y"\n\n",z"', "", '"', "\r\nafter a return", "é 日本\n" * 3]
+    return [[f"u{i}", f"{i:05d}", "P", "C", odd[i % 8], odd[(i * 5 + 3) % 8] * (1 + i % 3), "Major", "2024-01-01", "", ""] for i in range(n)]
+
+
+@pytest.mark.parametrize("size", ["7", "64", "1000", "134217728"])
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_records_across_byte_ranges(spark, tmp_path, size, end):
+    """Ranges that cut quoted newlines anywhere, or lie within one field as a whole, change nothing."""
+    rows = hard_table(60)
+    rows[9][5] = "\n".join(f'line "{k}"' for k in range(200))
+    text = io.StringIO(newline="")
+    out = csv.writer(text, lineterminator=end)
+    out.writerow(HEADER.strip().removeprefix("\ufeff").split(","))
+    out.writerows(rows)
+    path = tmp_path / "beta +dataset issues.csv"
+    path.write_bytes(("\ufeff" + text.getvalue() + end).encode())
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        # a range must hold the header
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(max(200, int(size))))
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        got = exports.scan_exports(spark, [str(path)]).collect()
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    found = sorted((r["issue_url"], r["issue_id"], r["summary"], r["description"], r["source_file"]) for r in got)
+    assert found == sorted((r[0], r[1], r[4], r[5], "beta +dataset issues.csv") for r in rows)
+
+
+def test_many_files_are_one_scan(spark, tmp_path):
+    """Headers of all files come from one job; different orders of columns meet in one plan."""
+    orders = ["ID,Summary,Description,Severity,Creation time\n", "Severity,Creation time,ID,Extra,Summary,Description\n"]
+    for i in range(30):
+        values = f'{i},s{i},"d\n{i}",Major,2024\n' if i % 2 == 0 else f'Minor,2023,{i},x,s{i},"d,{i}"\n'
+        write(tmp_path, f"p{i}_issues.csv", orders[i % 2] + values * 2)
+    sources = exports.resolve_sources(spark, glob=f"{tmp_path}/*_issues.csv")
+    scanned = exports.scan_exports(spark, sources)
+    plan = scanned._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("text") <= 4 and len(exports.open_exports(spark, sources).headers) == 2
+    got = sorted((r["issue_id"], r["summary"], r["description"], r["severity"], r["source_file"]) for r in scanned.collect())
+    want = [(str(i), f"s{i}", f"d\n{i}" if i % 2 == 0 else f"d,{i}", "Major" if i % 2 == 0 else "Minor", f"p{i}_issues.csv") for i in range(30)] * 2
+    assert got == sorted(want)
+    probed = exports.probe_exports(spark, sources).collect()
+    assert len(probed) == 30 and {(len(r["column_names"]), r["sample_rows_read"]) for r in probed} == {(5, 2), (6, 2)}
+
+
+def test_probe_counts_rows_that_parse(spark, tmp_path):
+    head = "ID,Summary,Description,Severity,Creation time\n"
+    paths = [write(tmp_path, n, head + t) for n, t in (("a.csv", ""), ("b.csv", "1,s,d,M,t\n"), ("c.csv", "1,s,d,M,t,more\n2,s,d,M,t\n3,s,d,M,t\n"))]
+    got = {r["source_file"]: r["sample_rows_read"] for r in exports.probe_exports(spark, paths).collect()}
+    assert got == {"a.csv": 0, "b.csv": 1, "c.csv": 1}
+    assert exports.scan_exports(spark, paths[:1]).count() == 0
+    with pytest.raises(FileNotFoundError):
+        exports.scan_exports(spark, [str(tmp_path / "absent.csv")])
+    with pytest.raises(FileNotFoundError):
+        exports.scan_exports(spark, [write(tmp_path, "empty.csv", "\n")])
+
+
 def test_malformed_row_fails(spark, tmp_path):
     text = HEADER + "u1,1,P,C,s,d,Major,2024-01-01,,c,extra,more\n"
     path = write(tmp_path, "bad.csv", text)

@@ -377,10 +377,15 @@ SELECT r.source_project,
 FROM r JOIN probe USING (source_project) GROUP BY 1""",
 )
 def sch4(spark, sf_dir):
+    """Audit of every project's headers; two rows of its written exports are parsed."""
+    folder = new_table_path(spark, "exports")
+    raw = raw_export(spark, sf_dir).repartition("source_project")
+    exports.write_csv(raw, folder, by="source_project")
+    sources = exports.resolve_sources(spark, glob=f"{folder}/source_project=*")
     probe = (
-        views.reports(spark, sf_dir)
-        .groupBy("source_project")
-        .agg(F.least(F.count("*"), F.lit(2)).alias("sample_rows_read"))
+        exports.probe_exports(spark, sources)
+        .groupBy(F.regexp_replace("source_file", "^source_project=", "").alias("source_project"))
+        .agg(F.least(F.sum("sample_rows_read"), F.lit(2)).alias("sample_rows_read"))
     )
     return schema.audit_schemas(source_names(spark, sf_dir), schema.alias_table(spark), probe)
 
