@@ -197,3 +197,21 @@ def test_resume_and_guard(spark):
     core.unchanged_guard(before, before)
     with pytest.raises(ValueError):
         core.unchanged_guard(before, changed)
+
+
+def test_delta_against_a_stored_build(spark):
+    schema = "p string, k string, a string"
+    path = new_table_path(spark, "build")
+    old = [("x", "1", "a"), ("x", "2", "b"), ("x", "2", "b"), ("y", "1", "a"), (None, "1", "a"), ("z", "1", "a"), ("w", None, "a")]
+    new = [("x", "2", "b"), ("x", "2", "c"), ("x", "3", "d"), ("y", "1", "a"), (None, "1", "A"), ("v", "1", "a"), ("w", None, "a")]
+    args = ("p", "k", ["k", "a"], "config")
+    delta = lambda rows, config="config": {
+        r[0]: tuple(r[1:]) for r in core.build_delta(spark.createDataFrame(rows, schema), path, *args[:3], config).collect()
+    }
+    assert set(delta(new).values()) == {("built", n, 0, 0, 0) for n in (1, 2)}
+    core.store_build(spark.createDataFrame(old, schema), path, *args)
+    same = ("skipped_unchanged", 0, 0, 0, 1)
+    want = {"x": ("changed", 1, 1, 1, 0), "y": same, None: ("changed", 0, 1, 0, 0), "z": ("lost", 0, 0, 1, 0), "v": ("built", 1, 0, 0, 0), "w": same}
+    assert delta(new) == want
+    assert delta(old[::-1]) == {p: ("skipped_unchanged", 0, 0, 0, 2 if p == "x" else 1) for p in ("x", "y", None, "z", "w")}
+    assert {v[0] for v in delta(old, "other").values()} == {"rebuilt"}

@@ -11,6 +11,7 @@ from triagemill.plans.registry import query, rounded
 from triagemill.session import new_table_path
 from triagemill.sources import exports, schema, views
 from triagemill.sources.core import (
+    build_delta,
     changed_sources,
     config_fingerprint,
     contract_facts,
@@ -19,6 +20,7 @@ from triagemill.sources.core import (
     provenance,
     read_core,
     source_fingerprints,
+    store_build,
     unchanged_guard,
     write_core,
     write_once,
@@ -177,6 +179,42 @@ def src5(spark, sf_dir):
     return changed_sources(current, known_manifest(current), config_fingerprint())
 
 
+DELTA_SQL = """
+WITH e AS (SELECT source_project, issue_id, severity FROM v_reports
+  WHERE NOT (source_project < 'src10' AND doc_key % 13 = 1) AND source_project <> 'src18'),
+c AS (SELECT source_project, issue_id, CASE WHEN source_project < 'src10' AND doc_key % 10 = 3 THEN severity || '!' ELSE severity END AS severity
+  FROM v_reports WHERE NOT (source_project < 'src10' AND doc_key % 17 = 5) AND source_project <> 'src19'),
+j AS (SELECT coalesce(c.source_project, e.source_project) AS source_project, c.issue_id AS now_id, e.issue_id AS old_id,
+  c.severity AS now_severity, e.severity AS old_severity FROM c FULL JOIN e ON c.source_project = e.source_project AND c.issue_id = e.issue_id)
+SELECT source_project, CASE WHEN count(old_id) = 0 THEN 'built' WHEN count(now_id) = 0 THEN 'lost'
+  WHEN source_project = 'src12' THEN 'resumed' WHEN source_project = 'src13' THEN 'rebuilt'
+  WHEN count(*) FILTER (now_id IS NULL OR old_id IS NULL OR now_severity <> old_severity) > 0 THEN 'changed'
+  ELSE 'skipped_unchanged' END AS resume_status,
+  count(*) FILTER (old_id IS NULL) AS added, count(*) FILTER (now_severity <> old_severity) AS changed,
+  count(*) FILTER (now_id IS NULL) AS lost, count(*) FILTER (now_severity = old_severity) AS same
+FROM j GROUP BY source_project"""
+
+
+@query("src5_delta", DELTA_SQL)
+def src5_delta(spark, sf_dir):
+    """Rows added, changed and lost since a stored earlier build, some of it incomplete or outdated."""
+    rows = views.reports(spark, sf_dir)
+    project, doc = F.col("source_project"), F.col("doc_key")
+    early = project < "src10"
+    earlier = rows.filter(~(early & (doc % 13 == 1)) & (project != "src18"))
+    path = new_table_path(spark, "build")
+    store_build(
+        earlier, path, "source_project", "issue_id", FINGERPRINT_COLUMNS,
+        F.when(project == "src13", "older").otherwise(config_fingerprint()),
+        F.when(project == "src12", "incomplete").otherwise("complete"),
+    )
+    edited = F.when(early & (doc % 10 == 3), F.concat("severity", F.lit("!"))).otherwise(F.col("severity"))
+    current = rows.filter(~(early & (doc % 17 == 5)) & (project != "src19")).withColumn("severity", edited)
+    return build_delta(
+        current, path, "source_project", "issue_id", FINGERPRINT_COLUMNS, config_fingerprint()
+    )
+
+
 LABEL_TABLE_SQL = f"SELECT {norm('severity')} AS severity, count(*) AS count FROM v_core GROUP BY 1"
 
 

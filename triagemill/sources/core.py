@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,6 +18,7 @@ from triagemill.constants import (
 )
 from triagemill.functions.labels import normalize_label
 from triagemill.functions.text import exact_text_hash, strip, text_or_empty
+from triagemill.session import materialize
 
 _BOOLEAN = {c for c in CORE_COLUMNS if c.startswith(("has_", "is_"))}
 CORE_SCHEMA = T.StructType(
@@ -234,6 +236,121 @@ def changed_sources(
     )
 
 
+def _row_states(raw: DataFrame, project: str, key: str, columns: list[str]) -> DataFrame:
+    """source_project, row_key, state: what a key holds, however often and in whatever order."""
+    return (
+        raw.select(
+            F.col(project).alias("source_project"),
+            F.col(key).cast("string").alias("row_key"),
+            row_digest(columns).cast("decimal(38,0)").alias("_digest"),
+        )
+        .groupBy("source_project", "row_key")
+        .agg(F.concat_ws(":", F.count("*"), F.sum("_digest")).alias("state"))
+    )
+
+
+def _project_states(states: DataFrame) -> DataFrame:
+    digest = F.xxhash64("row_key", "state").cast("decimal(38,0)")
+    return states.groupBy("source_project").agg(
+        F.count("*").alias("keys"), F.concat_ws(":", F.count("*"), F.sum(digest)).alias("content_state")
+    )
+
+
+def store_build(
+    raw: DataFrame,
+    path: str,
+    project: str,
+    key: str,
+    columns: list[str],
+    config_fp: Column | str,
+    status: Column | str = "complete",
+) -> None:
+    """Write what ``build_delta`` compares a later state with: row states, then the projects' states.
+
+    The second table is written last: a build that was broken off has none and counts as no build.
+    """
+    _row_states(raw, project, key, columns).write.mode("errorifexists").parquet(f"{path}/rows")
+    states = raw.sparkSession.read.parquet(f"{path}/rows")
+    as_column = lambda x: F.lit(x) if isinstance(x, str) else x
+    _project_states(states).select(
+        "*",
+        as_column(config_fp).alias("configuration_fingerprint"),
+        as_column(status).alias("completion_status"),
+    ).write.mode("errorifexists").parquet(f"{path}/projects")
+
+
+def build_delta(
+    raw: DataFrame, path: str, project: str, key: str, columns: list[str], config_fp: str
+) -> DataFrame:
+    """What a build has to do about every project, against the build stored under ``path``.
+
+    ``resume_status``: 'built' (new), 'lost', 'resumed' (the stored build of it is incomplete),
+    'rebuilt' (other configuration), 'changed' or 'skipped_unchanged'; and the keys that were added,
+    changed, lost or stayed the same. Projects whose state is unchanged are settled by their sums;
+    only the rows of the others meet. Null projects are one project.
+    """
+    spark = raw.sparkSession
+    now = materialize(_row_states(raw, project, key, columns), "row-states")
+    try:
+        known = spark.read.parquet(f"{path}/projects")
+        before = spark.read.parquet(f"{path}/rows")
+    except AnalysisException:
+        known = _project_states(now.limit(0)).select(
+            "*", F.lit("").alias("configuration_fingerprint"), F.lit("").alias("completion_status")
+        )
+        before = now.limit(0)
+    n, k = _project_states(now).alias("n"), known.alias("k")
+    both = n.join(k, F.col("n.source_project").eqNullSafe(F.col("k.source_project")), "full_outer")
+    status = (
+        F.when(F.col("k.keys").isNull(), "built")
+        .when(F.col("n.keys").isNull(), "lost")
+        .when(F.col("k.completion_status") != "complete", "resumed")
+        .when(F.col("k.configuration_fingerprint") != config_fp, "rebuilt")
+        .when(F.col("n.content_state") != F.col("k.content_state"), "changed")
+        .otherwise("skipped_unchanged")
+    )
+    # a row for each project
+    decided = materialize(
+        both.select(
+            F.coalesce("n.source_project", "k.source_project").alias("source_project"),
+            status.alias("resume_status"),
+            F.coalesce("n.keys", "k.keys").alias("keys"),
+        ),
+        "decisions",
+    )
+    open_ = decided.filter("resume_status <> 'skipped_unchanged'").select(
+        F.col("source_project").alias("_project")
+    )
+
+    def touched(states: DataFrame) -> DataFrame:
+        return states.join(open_, F.col("source_project").eqNullSafe(F.col("_project")), "left_semi")
+
+    a, b = touched(now).alias("a"), touched(before).alias("b")
+    same_key = F.col("a.source_project").eqNullSafe(F.col("b.source_project")) & F.col(
+        "a.row_key"
+    ).eqNullSafe(F.col("b.row_key"))
+    left, right = F.col("a.state"), F.col("b.state")
+    rows = a.join(b, same_key, "full_outer").groupBy(
+        F.coalesce("a.source_project", "b.source_project").alias("_project")
+    )
+    counted = rows.agg(
+        F.count_if(right.isNull()).alias("added"),
+        F.count_if(left.isNotNull() & right.isNotNull() & (left != right)).alias("changed"),
+        F.count_if(left.isNull()).alias("lost"),
+        F.count_if(left == right).alias("same"),
+    )
+    skipped = F.col("resume_status") == "skipped_unchanged"
+    zero = F.lit(0).cast("long")
+    return decided.join(
+        counted, F.col("source_project").eqNullSafe(F.col("_project")), "left"
+    ).select(
+        "source_project",
+        "resume_status",
+        *[F.coalesce(c, zero).alias(c) for c in ("added", "changed", "lost")],
+        F.when(skipped, F.col("keys")).otherwise(F.coalesce("same", zero)).alias("same"),
+    )
+
+
 def unchanged_guard(before: DataFrame, after: DataFrame) -> None:
     """Refuse when a source changed between two fingerprint tables."""
     columns = ["source_project", "content_fingerprint"]
