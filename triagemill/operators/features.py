@@ -173,8 +173,9 @@ def weighted_terms(
 def assemble(
     weighted: DataFrame, members: DataFrame, key: str, dense: DataFrame | None, size: int,
     tag: str = "features",
-) -> DataFrame:
-    """One ML vector per (fold, row), written once because several fits read it.
+) -> tuple[DataFrame, DataFrame]:
+    """One ML vector per (fold, row), written once because several fits read it; and the same rows
+    with the vectors as plain structs.
 
     ``dense(key, fold, entries)`` adds (idx, w) pairs that are not term weights. The vector
     is written as its plain struct and read back under the vector type, so no row passes
@@ -206,7 +207,7 @@ def assemble(
         [f if f.name != "features" else T.StructField("features", VectorUDT())
          for f in table.schema.fields]
     )
-    return spark.read.schema(schema).parquet(path)
+    return spark.read.schema(schema).parquet(path), spark.read.schema(table.schema).parquet(path)
 
 
 # fixed values: vectorizer settings of the study variants
@@ -307,6 +308,7 @@ class FeatureTable:
     rows: DataFrame
     vocabulary: DataFrame
     size: int
+    plain: DataFrame
 
 
 def build_features(
@@ -331,7 +333,8 @@ def build_features(
         scaled = scaled_structure(docs, members, key)
         dense = dense_entries(scaled, key, terms)
         size = terms + len(scaled.columns) - 2
-    return FeatureTable(assemble(weighted, members, key, dense, size), vocabulary, size)
+    rows, plain = assemble(weighted, members, key, dense, size)
+    return FeatureTable(rows, vocabulary, size, plain)
 
 
 def dimension_estimate(weighted: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import functions as F
 
 from triagemill.constants import HIERARCHIES, LABELS, ORDERED_LABELS, TICKET_LABELS
@@ -9,6 +11,7 @@ from triagemill.functions import ordinal as O
 from triagemill.functions.labels import label_to_rank, lookup, task_label
 from triagemill.operators import evaluation as E
 from triagemill.operators import features as X
+from triagemill.operators import linear as N
 from triagemill.operators import models as M
 from triagemill.operators import splits as S
 from triagemill.operators.positions import with_position
@@ -288,19 +291,80 @@ def mod2(spark, sf_dir):
     return rounded(naive_bayes(spark, sf_dir))
 
 
+FLAT_TARGET = tuple((x, x) for x in LABELS)
+
+
+def word_vectors(spark, sf_dir):
+    """Assembled unigram and bigram vectors of the three folds, shared by the flat models."""
+    key = (spark.sparkContext.applicationId, sf_dir, "word_table")
+    if key not in views._memo:
+        views._memo[key] = X.build_features(
+            views.report_docs(spark, sf_dir), members(spark, sf_dir), KEY, word_branches(), FOLDS
+        )
+    return views._memo[key]
+
+
+FLAT_MODELS = {
+    "mod3": N.Candidate("LogisticRegression|C=1.0|weight=balanced", "LogisticRegression", 1.0, "balanced", FLAT_TARGET),
+    "mod4": N.Candidate("LinearSVC|C=0.5|weight=balanced", "LinearSVC", 0.5, "balanced", FLAT_TARGET),
+}
+
+
+def flat_bank(spark, sf_dir) -> N.Bank:
+    """Both flat models of every fold, fitted together."""
+    key = (spark.sparkContext.applicationId, sf_dir, "flat_bank")
+    if key not in views._memo:
+        table = word_vectors(spark, sf_dir)
+        views._memo[key] = N.fit_bank(table.plain, table.size, list(FLAT_MODELS.values()), KEY)
+    return views._memo[key]
+
+
+def _flat_predictions(spark, sf_dir, name):
+    predicted = flat_bank(spark, sf_dir).predict(KEY)
+    return predicted.filter(F.col("candidate") == FLAT_MODELS[name].name).drop("candidate")
+
+
 @query("mod3")
 def mod3(spark, sf_dir):
-    """Balanced logistic regression, out of fold."""
-    return rounded(M.evaluate_folds(vectors(spark, sf_dir), FOLDS, logistic(), KEY))
+    """Balanced multinomial logistic regression on words and pairs of words, out of fold."""
+    return rounded(_flat_predictions(spark, sf_dir, "mod3"))
 
 
 @query("mod4")
 def mod4(spark, sf_dir):
-    """Linear one-vs-rest support vector machines, out of fold."""
-    out = M.evaluate_folds(
-        vectors(spark, sf_dir), FOLDS, M.Spec("LinearSVC", 0.5, "balanced", 1e-5), KEY
+    """One-vs-rest support vector machines with squared hinge loss, out of fold."""
+    return rounded(_flat_predictions(spark, sf_dir, "mod4"))
+
+
+@query(
+    "mod_optima",
+    f"""SELECT model, CAST(fold AS BIGINT) AS fold, count(*) FILTER (role = 'train') AS train_rows,
+  count(*) FILTER (role = 'validation') AS scored_rows, count(DISTINCT severity) FILTER (role = 'train') AS classes,
+  true AS converged FROM v_report_folds CROSS JOIN (SELECT unnest(['mod3', 'mod4']) AS model) GROUP BY ALL""",
+)
+def mod_optima(spark, sf_dir):
+    """Rows and classes of both flat models, and whether the gradient over all rows is zero."""
+    bank = flat_bank(spark, sf_dir)
+    name_of = {c.name: m for m, c in FLAT_MODELS.items()}
+    facts = spark.createDataFrame(
+        [
+            (name_of[model.candidate.name], f, len(model.classes), bank.fits[f, i].converged)
+            for f, own in bank.models.items()
+            for i, model in enumerate(own)
+        ],
+        "model string, fold long, classes long, converged boolean",
+    )
+    train = (
+        bank.blocks.filter("role = 'train'")
+        .groupBy(F.col("fold").cast("long").alias("fold"))
+        .agg(F.sum(F.size("labels")).alias("train_rows"))
+    )
+    scored_rows = (
+        bank.predict(KEY)
+        .groupBy(lookup(F.col("candidate"), name_of).alias("model"), F.col("fold").cast("long").alias("fold"))
+        .agg(F.count("*").alias("scored_rows"))
     )
-    return rounded(out)
+    return facts.join(train, "fold").join(scored_rows, ["model", "fold"])
 
 
 @query("mod5")
@@ -428,56 +492,260 @@ def _flat(spark, sf_dir, branches, specs, fold_members, folds):
 
 
 FRACTIONS = (0.2, 0.4, 0.6, 0.8, 1.0)
+STUDY_COLUMNS = ["macro_f1", "balanced_accuracy", "minimum_recall"]
+
+
+def bank_results(spark, bank: N.Bank, labels, size: int, stage: str):
+    """Metrics of every candidate and fold, with the gradient of its fit and its measured seconds.
+
+    ``runtime_seconds``: time that tasks took for the candidate's steps and scores in that fold.
+    """
+    facts = spark.createDataFrame(
+        [(c, f, g, t) for c, f, g, _, t, _ in bank.facts()],
+        "candidate string, fold int, gradient_norm double, runtime_seconds double",
+    )
+    return (
+        E.metrics(bank.predict(KEY), ["candidate", "fold"], labels)
+        .join(F.broadcast(facts), ["candidate", "fold"])
+        .select(
+            F.lit(stage).alias("stage"), "candidate", "fold", *STUDY_COLUMNS, "gradient_norm",
+            "runtime_seconds", F.lit(size).cast("long").alias("feature_count"),
+        )
+    )
+
+
+def best_candidate(results):
+    """Name of the candidate with the best mean macro-F1, ties by the smaller deviation and name."""
+    means = results.groupBy("candidate").agg(
+        F.round(F.avg("macro_f1"), 9).alias("m"), F.round(F.stddev_pop("macro_f1"), 9).alias("s")
+    )
+    return means.orderBy(F.desc("m"), "s", "candidate").first()["candidate"]
+
+
+def vector_naive_bayes(table: X.FeatureTable, alpha: float = 1.0):
+    """Out-of-fold multinomial naive Bayes on assembled vectors."""
+    entries = table.plain.select(
+        "fold", "role", KEY, "label", F.explode(F.arrays_zip("features.indices", "features.values")).alias("e")
+    ).select("fold", "role", KEY, "label", F.lit("").alias("branch"), F.col("e.indices").alias("term"), F.col("e.values").alias("w"))
+    rows = table.plain.select("fold", "role", KEY, "label")
+    likelihood, priors = M.naive_bayes_tables(entries, rows, LABELS, alpha, ["fold"])
+    return M.naive_bayes_predict(entries, rows, likelihood, priors, LABELS, KEY, ["fold"])
+
+
+def study_weights(rows) -> dict[str, object]:
+    """The four weightings; the derived ones are fixed on all development rows."""
+    counts = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    derived = {x: tuple(sorted(N.weights_of(counts, x).items())) for x in ("sqrt_inverse_frequency", "capped_balanced_3")}
+    return {"none": None, "balanced": "balanced"} | derived
 
 
 @query("mod9")
 def mod9(spark, sf_dir):
-    """Ablation over inputs, features, weights and models, and the chronological learning curve."""
+    """Ablation in sequence: inputs and features, then weights, then models, each on the winner of the
+    stage before; and the chronological learning curve."""
     m = members(spark, sf_dir)
-    spec, parts = logistic(), []
-    for i in X.INPUT_VARIANTS:
-        for f in X.FEATURE_VARIANTS:
-            specs = [(f"input={i}|features={f}", spec)]
-            if (i, f) == ("summary_description", "word_1_1"):
-                specs += [(f"model={s.name}", s) for s in M.study_specs()]
-            parts.append(_flat(spark, sf_dir, X.variant_branches(i, f), specs, m, FOLDS))
-    base = views.report_docs(spark, sf_dir).drop("summary", "description")
-    positioned = with_position(base, ["creation_time", KEY])
-    for fraction in FRACTIONS:
+    docs = views.report_docs(spark, sf_dir)
+    base = ("LogisticRegression", 1.0, "balanced", FLAT_TARGET)
+    pairs = [(i, f) for i in X.INPUT_VARIANTS for f in X.FEATURE_VARIANTS]
+
+    def ablated(pair):
+        def run():
+            table = X.build_features(docs, m, KEY, X.variant_branches(*pair), FOLDS)
+            bank = N.fit_bank(table.plain, table.size, [N.Candidate("|".join(pair), *base)], KEY)
+            found = bank_results(spark, bank, LABELS, table.size, "features")
+            return table, materialize(found, "ablation")
+
+        return run
+
+    done = dict(zip(pairs, M.in_parallel([ablated(p) for p in pairs], 4)))
+    parts = [results for _, results in done.values()]
+    best = tuple(best_candidate(M.union_all(parts)).split("|"))
+    table = done[best][0]
+    weights = study_weights(docs.select(F.col("severity").alias("label")))
+    grid = [
+        N.Candidate(f"{family}|{w}", family, 1.0, weights[w], FLAT_TARGET)
+        for family in ("LogisticRegression", "LinearSVC")
+        for w in weights
+    ]
+    bank = N.fit_bank(table.plain, table.size, grid, KEY)
+    weighted_results = materialize(bank_results(spark, bank, LABELS, table.size, "weights"), "weights")
+    parts.append(weighted_results)
+    chosen = best_candidate(weighted_results).split("|")[1]
+    linear = weighted_results.filter(F.col("candidate").endswith(f"|{chosen}"))
+    majority = M.majority_class(m.filter(F.col("role") == "train"), "label", ["fold"])
+    dummy = (
+        m.filter(F.col("role") == "validation")
+        .join(F.broadcast(majority), "fold")
+        .select(KEY, "fold", F.col("label").alias("true_label"), "predicted_label")
+    )
+    closed = dummy.withColumn("candidate", F.lit("DummyClassifier|n/a")).unionByName(
+        vector_naive_bayes(table).withColumn("candidate", F.lit("MultinomialNB|n/a"))
+    )
+    closed = E.metrics(closed, ["candidate", "fold"], LABELS).select(
+        F.lit("models").alias("stage"), "candidate", F.col("fold").cast("int").alias("fold"), *STUDY_COLUMNS,
+        F.lit(None).cast("double").alias("gradient_norm"), F.lit(None).cast("double").alias("runtime_seconds"),
+        F.lit(table.size).cast("long").alias("feature_count"),
+    )
+    models = closed.unionByName(linear.withColumn("stage", F.lit("models")))
+    parts.append(models)
+    # all prefixes of the learning curve are folds of one table of features
+    positioned = with_position(docs.drop("summary", "description"), ["creation_time", KEY])
+    curves = []
+    for no, fraction in enumerate(FRACTIONS):
         subset = S.learning_subsets(positioned, (fraction,)).drop("n_rows")
-        size = subset.count()
-        folds = S.expanding_folds(subset.withColumn("n_rows", F.lit(size)), 3).select(
-            KEY, "fold", "role", F.col("severity").alias("label")
+        folds = S.expanding_folds(subset.withColumn("n_rows", F.lit(subset.count())), 3)
+        curves.append(
+            folds.select(KEY, (F.col("fold") + 10 * no).alias("fold"), "role", F.col("severity").alias("label"))
         )
-        parts.append(
-            _flat(
-                spark, sf_dir, unigram_branches(), [(f"fraction={fraction}", spec)],
-                materialize(folds, "curve"), FOLDS,
-            )
+    curve = materialize(M.union_all(curves), "curve")
+    numbers = [10 * no + f for no in range(len(FRACTIONS)) for f in FOLDS]
+    table = X.build_features(docs, curve, KEY, word_branches(), numbers)
+    bank = N.fit_bank(table.plain, table.size, [N.Candidate("curve", *base)], KEY)
+    grown = bank_results(spark, bank, LABELS, table.size, "curve")
+    fraction_of = F.element_at(F.array(*[F.lit(x) for x in FRACTIONS]), (F.col("fold") / 10).cast("int") + 1)
+    parts.append(
+        grown.withColumn("candidate", F.concat(F.lit("fraction="), fraction_of.cast("string"))).withColumn(
+            "fold", (F.col("fold") % 10).cast("int")
         )
+    )
     return rounded(M.union_all(parts))
 
 
 STUDY_TASKS = ["s6", "s3", "s2"]
 
 
-@query("mod10")
-def mod10(spark, sf_dir):
-    """Nested selection inside every outer fold: candidates on inner folds, winner refitted."""
-    docs = views.report_docs(spark, sf_dir)
+TASK_LABELS = {"s6": LABELS, "s3": ["HIGH", "MEDIUM", "LOW"], "s2": ["HIGH_IMPACT", "LOWER_IMPACT"]}
+OUTER, INNER = 100, 1  # of a fold's number: outer fold times OUTER, plus inner fold
+
+
+def task_targets(spark, tasks) -> dict[str, tuple[tuple[str, str], ...]]:
+    """Row label to label of every task."""
+    rows = spark.createDataFrame([(x,) for x in LABELS], "label string")
+    mapped = rows.select("label", *[task_label(F.col("label"), t).alias(t) for t in tasks]).collect()
+    return {t: tuple(sorted((r["label"], r[t]) for r in mapped if r[t] is not None)) for t in tasks}
+
+
+def nested_members(spark, sf_dir):
+    """Inner folds of every outer training side, and the outer folds, as folds of one plan."""
     parts = []
     for fold in FOLDS:
         outer = views.report_folds(spark, sf_dir).filter(F.col("fold") == fold)
-        outer_rows = outer.select(KEY, "fold", "role", F.col("severity").alias("label"))
         inner = nested_inner_folds(outer, "severity", LABELS)
-        tables = {}  # features do not depend on the task
-        for task in STUDY_TASKS:
-            parts.append(
-                nested_selection(
-                    docs, outer_rows, inner, fold, task, X.FEATURE_SETS, M.study_specs(), tables
-                )
+        parts.append(inner.withColumn("fold", F.col("fold") * INNER + F.lit(OUTER * fold)))
+        parts.append(
+            outer.select(KEY, F.lit(OUTER * fold).alias("fold"), "role", F.col("severity").alias("label"))
+        )
+    plan = M.union_all([p.withColumn("fold", F.col("fold").cast("int")) for p in parts])
+    return materialize(plan, "nested")
+
+
+def study_candidates(feature: str, targets, specs) -> list[N.Candidate]:
+    return [
+        N.Candidate(f"{task}|{feature}|{s.name}", s.family, s.c, s.weighting, target)
+        for task, target in targets.items()
+        for s in specs
+    ]
+
+
+def nested_study(spark, docs, plan, tasks, feature_sets, specs):
+    """(inner results by candidate, winners' outer results).
+
+    The features of a set are made once for all inner and outer folds, and all candidates of all
+    tasks are fitted on them together. The winner of a task and outer fold by the eight-key rule
+    over its inner folds is refitted on the outer training side.
+    """
+    targets = task_targets(spark, tasks)
+    numbers = sorted(r["fold"] for r in plan.select("fold").distinct().collect())
+    is_inner = F.col("fold") % OUTER > 0
+
+    def metrics_of(predicted):
+        own = []
+        for task in tasks:
+            mine = predicted.filter(F.col("candidate").startswith(f"{task}|"))
+            keys, labels = ["candidate", "fold"], TASK_LABELS[task]
+            recall = E.class_metrics(mine, keys, labels).filter(F.col("label") == labels[0])
+            own.append(
+                E.metrics(mine, keys, labels)
+                .join(recall.select(*keys, F.col("recall").alias("priority")), keys)
+                .withColumn("task", F.lit(task))
             )
-    return rounded(M.union_all(parts))
+        return M.union_all(own)
+
+    def one(name):
+        def run():
+            began = time.perf_counter()
+            table = X.build_features(docs, plan, KEY, X.set_branches(name), numbers, name in ("F3", "F4"))
+            candidates = study_candidates(name, targets, specs)
+            # what the features took belongs to all their candidates
+            shared = (time.perf_counter() - began) / (len(candidates) * len(numbers))
+            bank = N.fit_bank(table.plain.filter(is_inner), table.size, candidates, KEY)
+            facts = spark.createDataFrame(
+                [(c, f, g, t + shared) for c, f, g, _, t, _ in bank.facts()],
+                "candidate string, fold int, gradient_norm double, runtime_seconds double",
+            )
+            found = (
+                metrics_of(bank.predict(KEY))
+                .join(F.broadcast(facts), ["candidate", "fold"])
+                .withColumn("feature", F.lit(name))
+                .withColumn("feature_count", F.lit(table.size))
+            )
+            return table, materialize(found, "candidates")
+
+        return run
+
+    done = dict(zip(feature_sets, M.in_parallel([one(f) for f in feature_sets], 4)))
+    results = M.union_all([found for _, found in done.values()]).withColumn(
+        "outer_fold", F.floor(F.col("fold") / OUTER).cast("int")
+    )
+    ranked = M.rank_candidates(results, "priority", X.FEATURE_SETS, ["task", "outer_fold"])
+    # one row for each task and outer fold
+    winners = materialize(ranked.filter(F.col("candidate_rank") == 1), "winners")
+    chosen = winners.collect()
+    parts = []
+    for name in sorted({r["feature"] for r in chosen}):
+        table, own = done[name][0], {}
+        by_name = {c.name: c for c in study_candidates(name, targets, specs)}
+        for r in chosen:
+            if r["feature"] == name:
+                own.setdefault(OUTER * r["outer_fold"], []).append(by_name[r["candidate"]])
+        bank = N.fit_bank(
+            table.plain.filter(F.col("fold").isin(list(own))), table.size, own, KEY
+        )
+        facts = spark.createDataFrame(
+            [(c, f, g) for c, f, g, *_ in bank.facts()], "candidate string, fold int, gradient_norm double"
+        )
+        parts.append(metrics_of(bank.predict(KEY)).join(F.broadcast(facts), ["candidate", "fold"]))
+    refitted = M.union_all(parts).withColumn("outer_fold", F.floor(F.col("fold") / OUTER).cast("int"))
+    return results, refitted.drop("fold").join(
+        F.broadcast(winners.select("task", "outer_fold", "candidate", "mean_macro_f1", "runtime")),
+        ["task", "outer_fold", "candidate"],
+    )
+
+
+@query("mod10")
+def mod10(spark, sf_dir):
+    """Nested selection inside every outer fold: candidates on inner folds, winner refitted."""
+    docs, plan = views.report_docs(spark, sf_dir), nested_members(spark, sf_dir)
+    _, refitted = nested_study(spark, docs, plan, STUDY_TASKS, X.FEATURE_SETS, M.study_specs())
+    return rounded(
+        refitted.select(
+            "task", F.col("outer_fold").cast("long").alias("fold"), "candidate",
+            F.col("mean_macro_f1").alias("inner_macro_f1"), *METRIC_COLUMNS, "rows", "gradient_norm",
+            F.col("runtime").alias("runtime_seconds"),
+        )
+    )
+
+
+@query("mod10_identity")
+def mod10_identity(spark, sf_dir):
+    """Rows and row-set hashes of every inner fold."""
+    plan = nested_members(spark, sf_dir).filter(F.col("fold") % OUTER > 0)
+    # a sum of hashes names a set of rows in any order, and is made before rows move
+    hashed = F.sum(F.xxhash64(KEY).cast("decimal(38,0)")).cast("string")
+    return plan.groupBy(
+        F.floor(F.col("fold") / OUTER).cast("long").alias("outer_fold"),
+        (F.col("fold") % OUTER).cast("long").alias("inner_fold"), "role",
+    ).agg(F.count("*").alias("rows"), hashed.alias("row_set"))
 
 
 def nested_inner_folds(outer, label, labels):
@@ -492,63 +760,6 @@ def nested_inner_folds(outer, label, labels):
     )
 
 
-def nested_selection(docs, outer, inner, outer_fold, task, feature_sets, specs, tables=None):
-    """Metrics of the candidate that wins on the inner folds, refitted on the outer fold.
-
-    ``tables`` keeps the features of this outer fold for its other tasks.
-    """
-    tables = {} if tables is None else tables
-    labels = {"s6": LABELS, "s3": ["HIGH", "MEDIUM", "LOW"]}.get(
-        task, ["HIGH_IMPACT", "LOWER_IMPACT"]
-    )
-    priority = labels[0]
-
-    def features(side, name, rows, numbers):
-        """Table of the features with the labels of the task."""
-        if (side, name) not in tables:
-            tables[side, name] = X.build_features(
-                docs, rows, KEY, X.set_branches(name), numbers, name in ("F3", "F4")
-            )
-        table = tables[side, name]
-        return table.rows.withColumn("label", task_label(F.col("label"), task)), table.size
-
-    folds = sorted(r["fold"] for r in inner.select("fold").distinct().collect())
-    parts = []
-    for name in feature_sets:
-        rows, size = features("inner", name, inner, folds)
-        for spec in specs:
-            out = M.evaluate_folds(rows, folds, spec, KEY)
-            recall = E.class_metrics(out, ["fold"], labels).filter(F.col("label") == priority)
-            parts.append(
-                E.metrics(out, ["fold"], labels)
-                .join(recall.select("fold", F.col("recall").alias("priority")), "fold")
-                .select(
-                    F.lit(f"{name}|{spec.name}").alias("candidate"),
-                    F.lit(name).alias("feature"),
-                    "fold",
-                    "macro_f1",
-                    "minimum_recall",
-                    "priority",
-                    F.lit(size).alias("feature_count"),
-                    F.lit(0.0).alias("runtime_seconds"),
-                )
-            )
-    results = materialize(M.union_all(parts), "candidates")
-    ranked = M.rank_candidates(results, "priority", X.FEATURE_SETS)
-    best = ranked.filter(F.col("candidate_rank") == 1).first()
-    chosen = next(s for s in specs if best["candidate"] == f"{best['feature']}|{s.name}")
-    rows, _ = features("outer", best["feature"], outer, [outer_fold])
-    out = M.evaluate_folds(rows, [outer_fold], chosen, KEY)
-    return E.metrics(out, ["fold"], labels).select(
-        F.lit(task).alias("task"),
-        "fold",
-        F.lit(best["candidate"]).alias("candidate"),
-        F.lit(best["mean_macro_f1"]).alias("inner_macro_f1"),
-        *[c for c in METRIC_COLUMNS],
-        "rows",
-    )
-
-
 FEATURE_OF = {"component_majority": "F0", "previous_ticket": "F2", "project_majority": "F1"}
 
 
