@@ -266,3 +266,23 @@ def test_vocabulary_ties_go_to_the_smaller_term(spark):
             usable = [t for t in df if df[t] >= 2 and df[t] <= b.config.max_df * limit]
             want = sorted(usable, key=lambda t: (-df[t], t))[:17]
             assert {r["term"] for r in got if r["fold"] == f and r["branch"] == b.name} == set(want)
+
+
+def test_one_of_two_concurrent_runs_is_refused(spark):
+    """The held-out rows are claimed by creating an entry, so only one request can win."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    log = new_table_path(spark, "run-log")
+
+    def ask(run_id):
+        try:
+            DEC.claim_run(spark, log, run_id)
+        except ValueError:
+            return "refused"
+        return "admitted"
+
+    with ThreadPoolExecutor(8) as pool:
+        got = list(pool.map(ask, ["run 1"] * 8))
+    assert sorted(got) == ["admitted"] + ["refused"] * 7
+    assert ask("run 2") == "admitted" and ask("run 1") == "refused"
+    assert sorted(r["run_id"] for r in DEC.logged_runs(spark, log).collect()) == ["run 1", "run 2"]

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from triagemill.constants import HIERARCHIES, LABELS, ORDERED_LABELS, TICKET_LABELS
 from triagemill.functions import ordinal as O
 from triagemill.functions.labels import label_to_rank, lookup, task_label
+from triagemill.operators import decisions as DEC
 from triagemill.operators import evaluation as E
 from triagemill.operators import features as X
 from triagemill.operators import linear as N
@@ -1028,17 +1029,21 @@ def mod21(spark, sf_dir):
     )
 
 
-@query("mod22")
-def mod22(spark, sf_dir):
-    """Score all held-out reports with the stored model."""
+def score_held_out(spark, sf_dir, run_id: str, log: str):
+    """Score all held-out reports with the stored model, once for each run: the log is asked first."""
+    DEC.claim_run(spark, log, run_id)
     terms, labels = M.load_linear(spark, stored_model(spark, sf_dir))
-    held = (
-        report_holdout(spark, sf_dir).filter(F.col("role") == "validation").select(KEY)
-    )
+    held = report_holdout(spark, sf_dir).filter(F.col("role") == "validation").select(KEY)
     docs = views.report_docs(spark, sf_dir).join(held, KEY, "left_semi")
     return M.score_linear(docs, KEY, unigram_branches(), terms, labels)
 
 
+@query("mod22")
+def mod22(spark, sf_dir):
+    """Score all held-out reports with the stored model, as a run of its own in a new log."""
+    return score_held_out(spark, sf_dir, stored_model(spark, sf_dir), new_table_path(spark, "run-log"))
+
+
 @query("mod23")
 def mod23(spark, sf_dir):
     """Label words masked in every branch, same configuration, refitted on every fold."""
