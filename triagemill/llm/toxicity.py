@@ -67,12 +67,12 @@ def _present(texts: list[str], chosen: np.ndarray, orders, bits) -> tuple[np.nda
         hit = np.flatnonzero(position >= 0)
         row = np.searchsorted(ends, hit, "right")
         inside = hit + n <= ends[row]
-        found.append((row[inside] << 32) | position[hit[inside]])
+        found.append((row[inside] << 32) | position[hit[inside]].astype(np.int64))
     pairs = np.unique(np.concatenate(found)) if found else np.empty(0, np.int64)
     return pairs >> 32, pairs & 0xFFFFFFFF
 
 
-def _slices(texts: list[str | None], most: int = 1 << 20) -> Iterator[list[str]]:
+def _slices(texts: list[str | None], most: int = 1 << 17) -> Iterator[list[str]]:
     """Consecutive texts (null: empty) of about ``most`` characters."""
     own, size = [], 0
     for t in texts:
@@ -163,20 +163,22 @@ def _class_counts(labels: DataFrame, key: str, label: str) -> dict[int, int]:
 
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts of either class that hold an n-gram of each bucket, over the rows of a task."""
-    total = np.zeros((2, 1 << BUCKET_BITS), np.int64)
+    total = np.zeros((2, 1 << BUCKET_BITS), np.int32)  # at most the rows of a task
+    every = np.arange(1 << BUCKET_BITS, dtype=np.int32)
     for batch in batches:
         at = 0
         y = batch.column(0).to_numpy()
         for texts in _slices(batch.column(1).to_pylist()):
             own = y[at : at + len(texts)]
             at += len(texts)
-            every = np.arange(1 << BUCKET_BITS, dtype=np.int64)
             row, bucket = _present(texts, every, ORDERS, BUCKET_BITS)
             for side in (0, 1):
-                total[side] += np.bincount(bucket[own[row] == side], minlength=total.shape[1])
+                total[side] += np.bincount(
+                    bucket[own[row] == side], minlength=total.shape[1]
+                ).astype(np.int32)
     seen = np.flatnonzero(total.any(axis=0))
     yield pa.RecordBatch.from_arrays(
-        [pa.array(seen.astype(np.int32)), pa.array(total[0][seen]), pa.array(total[1][seen])],
+        [pa.array(seen.astype(np.int32)), *[pa.array(t[seen].astype(np.int64)) for t in total]],
         names=["bucket", "negative", "positive"],
     )
 
