@@ -5,7 +5,7 @@ import re
 import numpy as np
 import pytest
 
-from triagemill.llm import jaccard
+from triagemill.llm import graph, jaccard
 from triagemill.llm.jaccard import jaccard_join, keep_first, least_matches, shingle_sets
 
 
@@ -77,6 +77,8 @@ def test_whole_table(spark, documents):
 @pytest.mark.parametrize("block", [8, 512])
 def test_group_of_near_copies(spark, monkeypatch, block):
     monkeypatch.setattr(jaccard, "BLOCK", block)
+    monkeypatch.setattr(jaccard, "SETS", block)
+    monkeypatch.setattr(graph, "HOT_ROWS", block)
     rng = np.random.default_rng(3)
     base = [f"w{x}" for x in rng.integers(0, 10**6, 80)]
     rows = []
@@ -97,4 +99,18 @@ def test_edges(spark, edge_docs):
     assert jaccard_join(edge_docs.limit(0)).count() == 0
     kept = keep_first(edge_docs)
     assert kept.columns == edge_docs.columns
-    assert sorted({r["doc_id"] for r in kept.collect()}) == sorted(i for i, c, *_ in want if i == c)
+    # the row that is repeated whole stays once
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(i for i, c, *_ in want if i == c)
+
+
+def test_repeated_keys(spark):
+    rows = [(1, "a"), (1, "a"), (2, "b"), (3, "a"), (3, "a text of its own")]
+    df = spark.createDataFrame([(i, t, i, "x") for i, t in rows], "doc_id long, text string, _later long, digest string")
+    assert got(jaccard_join(df)) == [(1, 1, 0, 2), (2, 2, 0, 1), (3, 1, 0, 2), (3, 3, 0, 1)]
+    kept = keep_first(df)
+    assert kept.columns == df.columns
+    assert got(kept.select("doc_id", "text")) == [(1, "a"), (2, "b"), (3, "a text of its own")]
+    near = " ".join(f"w{i}" for i in range(60))
+    rows = [(5, near), (5, near + " x"), (7, near + " y"), (None, "no key"), (None, "no key")]
+    kept = [tuple(r) for r in keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert len(kept) == 3 and kept.count((None, "no key")) == 2 and {i for i, _ in kept} == {5, None}

@@ -6,9 +6,11 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from triagemill.operators.skew import attach_facts
+from triagemill.operators.skew import HOT_SHARE
 from triagemill.session import materialize
 
+HOT_ROWS = 10_000
+
 
 def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(node, smallest node of its component) for the nodes of the links a-b but the smallest."""
@@ -56,6 +58,21 @@ class Stars:
         return self._a[0], self._b[0]
 
 
+def join_facts(rows: DataFrame, facts: DataFrame, key: str, weight: str) -> DataFrame:
+    """Inner join of ``rows`` with ``facts``, one row for each value of ``key``, hot keys apart.
+
+    ``facts`` should be written data; ``weight`` says how many rows carry the key. Keys with more
+    than one in ``HOT_SHARE`` of all rows (fewer than that many keys), if that is many rows at all,
+    meet their rows by broadcast, the others by Spark's own choice of join.
+    """
+    total = facts.agg(F.sum(weight)).first()[0] or 0
+    hot = facts.filter(F.col(weight) > max(HOT_ROWS, total // HOT_SHARE))
+    if hot.isEmpty():
+        return rows.join(facts, key)
+    others = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
+    return rows.join(F.broadcast(hot), key).unionByName(others.join(facts, key))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node of each connected component of the edges (a, b), longs.
 
@@ -74,7 +91,7 @@ def components(edges: DataFrame) -> DataFrame:
     )
     while True:
         facts = labels.select(F.col("node").alias("b"), "root", "degree")
-        near = attach_facts(both, facts, "b", "degree", F.col("a"), "inner")
+        near = join_facts(both, facts, "b", "degree")
         near = near.groupBy("a").agg(F.min("root").alias("_near"))
         lower = labels.join(near, F.col("node") == F.col("a")).select(
             "node", "degree", F.col("root").alias("_was"), F.least("root", "_near").alias("_low")
@@ -83,7 +100,7 @@ def components(edges: DataFrame) -> DataFrame:
         users = lower.groupBy("_low").agg(F.count("*").alias("_users"))
         above = lower.select(F.col("node").alias("_node"), F.col("_low").alias("root"))
         above = above.join(users, F.col("_node") == F.col("_low")).select("_low", "root", "_users")
-        moved = attach_facts(lower, above, "_low", "_users", F.col("node"), "inner")
+        moved = join_facts(lower, materialize(above, "roots"), "_low", "_users")
         moved = materialize(moved.select("node", "root", "degree", "_was"), "labels")
         labels = moved.select("node", "root", "degree")
         if moved.filter("_was <> root").isEmpty():

@@ -15,7 +15,6 @@ comparisons in its tasks, but the rows that move are m times the number of its b
 
 from __future__ import annotations
 
-import hashlib
 import math
 from collections.abc import Iterator
 
@@ -24,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from triagemill.llm.graph import Stars, components, join_facts
+from triagemill.operators.skew import attach_facts
 from triagemill.session import materialize
 
 WORDS = 5
@@ -32,9 +33,11 @@ BANDS, ROWS = 20, 3  # a pair at 0.8 shares no band with probability 6e-7
 HASHES = 128
 STEP = 32
 TOLERANCE = 1e-6
-BLOCK = 512
+BLOCK = 2048
+SETS = 512  # texts whose sets are compared with each other at once
 PACK_ROWS = 20_000
 PACK_SHINGLES = 500_000
+PAIRS = 1 << 15  # pairs that are looked at together
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -120,13 +123,12 @@ def _slices(batch: pa.RecordBatch, text: int) -> Iterator[tuple[pa.RecordBatch,
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part, texts in _slices(batch, 1):
+        for part, texts in _slices(batch, 2):
             flat, sizes = shingle_sets(texts)
             rows = iter(signatures(flat, sizes))
             yield pa.RecordBatch.from_arrays(
                 [
-                    part.column(0),
-                    pa.array([_digest(t) for t in texts], pa.binary()),
+                    *part.columns[:2],
                     pa.array(sizes),
                     pa.array([next(rows).tobytes() if n else None for n in sizes], pa.binary()),
                 ],
@@ -134,10 +136,6 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _digest(text: str) -> bytes:
-    return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
-
-
 # --- candidates -----------------------------------------------------------------------------
 
 
@@ -163,7 +161,7 @@ def _band_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys |= np.arange(BANDS, dtype=np.int64) << 48
         each = pa.array(np.repeat(np.arange(len(sig)), BANDS))
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0).take(each), pa.array(keys.reshape(-1))], names=["id", "key"]
+            [batch.column(0).take(each), pa.array(keys.reshape(-1))], names=["node", "key"]
         )
 
 
@@ -171,13 +169,12 @@ def _stack(column) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(len(column), HASHES)
 
 
-def _in_blocks(rows: DataFrame, group: str, blocks: Column, weight: Column, per_pack: int):
+def _in_blocks(rows: DataFrame, group: str, blocks: Column, n_packs: float | None) -> DataFrame:
     """Rows of each group in pairs of its blocks, dealt to packs of about equal weight.
 
     Adds _i and _j (the pair) and _mine (the row's block); a row is in one pair for each block.
     """
-    n_packs = rows.select(F.ceil(F.sum(weight * blocks) / per_pack)).first()[0] or 1
-    mine = F.pmod(F.xxhash64("id"), blocks).cast("int")
+    mine = F.pmod(F.xxhash64("node"), blocks).cast("int")
     paired = rows.withColumn("_mine", mine).withColumn(
         "_other", F.explode(F.sequence(F.lit(0), (blocks - 1).cast("int")))
     )
@@ -185,7 +182,7 @@ def _in_blocks(rows: DataFrame, group: str, blocks: Column, weight: Column, per_
         "_j", F.greatest("_mine", "_other")
     )
     return paired.drop("_other").withColumn(
-        "_pack", F.pmod(F.xxhash64(group, "_i", "_j"), F.lit(int(n_packs)))
+        "_pack", F.pmod(F.xxhash64(group, "_i", "_j"), F.lit(max(1, math.ceil(n_packs or 0))))
     )
 
 
@@ -204,11 +201,15 @@ def _groups(table: pa.Table, group: str) -> Iterator[tuple[np.ndarray, np.ndarra
             yield first, second, int(key[own[0]])
 
 
-def _pairs(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    if first is second:
-        a, b = np.triu_indices(len(first), 1)
-        return first[a], first[b]
-    return np.repeat(first, len(second)), np.tile(second, len(first))
+def _pairs(first: np.ndarray, second: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of a row of either list, or of two rows of one list, some at a time."""
+    width = max(1, PAIRS // max(1, len(second)))
+    for at in range(0, len(first), width):
+        own = np.arange(at, min(at + width, len(first)))
+        a, b = np.repeat(own, len(second)), np.tile(np.arange(len(second)), len(own))
+        if first is second:
+            a, b = a[a < b], b[a < b]
+        yield first[a], second[b]
 
 
 def _survivors(sig, a, b, band, needed) -> np.ndarray:
@@ -225,73 +226,22 @@ def _survivors(sig, a, b, band, needed) -> np.ndarray:
     return left
 
 
-def _stars(ids: np.ndarray, a: list, b: list) -> tuple[np.ndarray, np.ndarray]:
-    """(node, smallest node of its component) for the nodes of the edges a-b but the smallest."""
-    if not a:
-        return ids[:0], ids[:0]
-    names, at = np.unique(np.concatenate([ids[np.concatenate(a)], ids[np.concatenate(b)]]), return_inverse=True)
-    a, b = np.split(at, 2)
-    low = np.arange(len(names))
-    while True:
-        least = np.minimum(low[a], low[b])
-        now = low.copy()
-        np.minimum.at(now, low[a], least)
-        np.minimum.at(now, low[b], least)
-        now = now[now]
-        if (now == low).all():
-            break
-        low = now
-    moved = low != np.arange(len(names))
-    return names[moved], names[low[moved]]
-
-
 def _prune(threshold: float, tolerance: float):
     needed = {n: least_matches(n, threshold, tolerance) for n in range(STEP, HASHES + 1, STEP)}
 
     def prune(table: pa.Table) -> pa.Table:
-        ids, sig = table["id"].to_numpy(), _stack(table["sig"])
-        left_a, left_b = [], []
+        nodes, sig = table["node"].to_numpy(), _stack(table["sig"])
+        found = Stars()
         for first, second, key in _groups(table, "key"):
-            a, b = _pairs(first, second)
-            for at in range(0, len(a), 1 << 16):
-                own_a, own_b = a[at : at + (1 << 16)], b[at : at + (1 << 16)]
-                left = _survivors(sig, own_a, own_b, key >> 48, needed)
-                if len(left):
-                    left_a.append(own_a[left])
-                    left_b.append(own_b[left])
-        node, root = _stars(ids, left_a, left_b)
+            for a, b in _pairs(first, second):
+                left = _survivors(sig, a, b, key >> 48, needed)
+                found.add(nodes[a[left]], nodes[b[left]])
+        node, root = found.found()
         return pa.table({"a": pa.array(node), "b": pa.array(root)})
 
     return prune
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, root): the smallest node of each connected component of the edges (a, b).
-
-    Each round takes the smallest label among the neighbours and then that label's label, and is
-    written to the shared folder; it ends when no label changes.
-    """
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    both = materialize(both.filter("a <> b").distinct(), "edges")
-    labels = both.groupBy("a").agg(F.min("b").alias("b"))
-    labels = materialize(labels.select(F.col("a").alias("node"), F.least("a", "b").alias("root")), "labels")
-    while True:
-        near = (
-            both.join(labels, F.col("b") == F.col("node"))
-            .groupBy("a")
-            .agg(F.min("root").alias("_near"))
-        )
-        lower = labels.join(near, F.col("node") == F.col("a")).select(
-            "node", F.col("root").alias("_was"), F.least("root", "_near").alias("_low")
-        )
-        above = lower.select(F.col("node").alias("_at"), F.col("_low").alias("root"))
-        moved = lower.join(above, F.col("_low") == F.col("_at")).select("node", "_was", "root")
-        moved = materialize(moved, "labels")
-        labels = moved.select("node", "root")
-        if moved.filter("_was <> root").isEmpty():
-            return labels
-
-
 # --- verification ---------------------------------------------------------------------------
 
 
@@ -302,7 +252,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             cuts = np.cumsum(sizes)[:-1]
             sets = pa.array([s.tobytes() for s in np.split(flat, cuts)], pa.binary())
             yield pa.RecordBatch.from_arrays(
-                [*part.columns[:3], sets], names=["root", "id", "blocks", "shingles"]
+                [*part.columns[:3], sets], names=["root", "node", "blocks", "shingles"]
             )
 
 
@@ -329,10 +279,10 @@ def _intersections(first: list[np.ndarray], second: list[np.ndarray]) -> np.ndar
 
 def _verify(threshold: float):
     def verify(table: pa.Table) -> pa.Table:
-        ids = table["id"].to_numpy()
+        nodes = table["node"].to_numpy()
         sets = [np.frombuffer(s, np.uint64) for s in table["shingles"].to_pylist()]
         size = np.fromiter(map(len, sets), np.int64, len(sets))
-        links, left_a, left_b = np.zeros(len(ids), np.int64), [], []
+        links, found = np.zeros(len(nodes), np.int64), Stars()
         for first, second, _ in _groups(table, "root"):
             if len(first) and len(second):
                 common = _intersections([sets[x] for x in first], [sets[x] for x in second])
@@ -345,14 +295,13 @@ def _verify(threshold: float):
                     links[first] += linked.sum(axis=1)
                     links[second] += linked.sum(axis=0)
                 a, b = np.nonzero(linked)
-                left_a.append(first[a])
-                left_b.append(second[b])
-        node, root = _stars(ids, left_a, left_b)
+                found.add(nodes[first[a]], nodes[second[b]])
+        node, root = found.found()
         own = np.flatnonzero(links)
         return pa.table(
             {
-                "a": pa.array(np.concatenate([node, ids[own]])),
-                "b": pa.array(np.concatenate([root, ids[own]])),
+                "a": pa.array(np.concatenate([node, nodes[own]])),
+                "b": pa.array(np.concatenate([root, nodes[own]])),
                 "links": pa.array(np.concatenate([np.zeros(len(node), np.int64), links[own]])),
             }
         )
@@ -363,93 +312,131 @@ def _verify(threshold: float):
 # --- the operator ---------------------------------------------------------------------------
 
 
-def jaccard_join(
+def _text_rows(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """id, digest, text of the rows with an integer key."""
+    own = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    return docs.select(
+        F.col(key).cast("long").alias("id"), F.md5(own.cast("binary")).alias("digest"), own.alias("text")
+    ).filter(F.col("id").isNotNull())
+
+
+def text_classes(
     docs: DataFrame,
     key: str = "doc_id",
     text: str = "text",
     threshold: float = THRESHOLD,
     tolerance: float = TOLERANCE,
 ) -> DataFrame:
-    """doc_id, class_id, n_links, n_copies of every document.
+    """id, digest, n_rows, root, class_id, n_links, n_copies of each key and text.
 
-    Two texts are linked if their sets of five-word runs have a Jaccard similarity of at least
-    ``threshold``. ``n_links``: other different texts linked to the document's; ``n_copies``:
-    documents with exactly its text, itself included; ``class_id``: smallest key of the documents
-    reached over links and copies. Null texts count as empty; texts without a word link to none,
-    but are copies of equal ones. Rows without an integer key take no part; rows that repeat key
-    and text are one document. Other columns are ignored; an empty table gives an empty result.
+    One key may have several texts. Texts are told apart by their MD5 and numbered; ``root`` is
+    the number of a class, ``n_rows`` says how often key and text are repeated. See
+    ``jaccard_join`` for the others.
     """
-    source = docs.select(
-        F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text")
-    ).filter(F.col("id").isNotNull())
+    source = _text_rows(docs, key, text)
     signed = materialize(
-        source.mapInArrow(_signed, "id long, digest binary, n long, sig binary"), "signatures"
+        source.mapInArrow(_signed, "id long, digest string, n long, sig binary"), "signatures"
     )
     # a third of all rows may share a digest: these sums are made before rows move
-    same = signed.groupBy("digest").agg(F.min("id").alias("rep"))
-    copies = signed.groupBy("id", "digest").agg(F.lit(1).alias("one")).groupBy("digest").agg(F.count("*").alias("n_copies"))
-    same = materialize(same.join(copies, "digest"), "texts")
+    rows = signed.groupBy("id", "digest").agg(F.count("*").alias("n_rows"))
+    same = rows.groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("n_copies"))
+    same = materialize(same.withColumn("node", F.monotonically_increasing_id()), "texts")
+    named = same.select(F.col("digest").alias("_d"), F.col("rep"), "node")
+    # the pair of digest and id is as good as unique, whatever the copies of a text
     reps = (
-        signed.join(same.select(F.col("digest").alias("_d"), "rep"), (F.col("digest") == F.col("_d")) & (F.col("id") == F.col("rep")))
-        .filter(F.col("sig").isNotNull())
-        .groupBy("id", "digest")
+        signed.filter(F.col("sig").isNotNull())
+        .join(named, (F.col("digest") == F.col("_d")) & (F.col("id") == F.col("rep")))
+        .groupBy("node")
         .agg(F.max("n").alias("n"), F.max("sig").alias("sig"))
-        .drop("digest")
     )
     reps = materialize(reps, "representatives")
-    bands = reps.select("id", "sig").mapInArrow(_band_keys, "id long, key long")
-    shared = bands.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1")
-    members = bands.join(shared, "key").join(reps.select("id", "sig"), "id")
-    members = materialize(members.select("key", "m", "id", "sig"), "bands")
+    bands = reps.select("node", "sig").mapInArrow(_band_keys, "node long, key long")
+    bands = materialize(bands, "band-keys")
+    shared = materialize(
+        bands.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1"), "shared-bands"
+    )
     blocks = F.ceil(F.col("m") / BLOCK)
+    members = join_facts(bands, shared, "key", "m").join(reps.select("node", "sig"), "node")
+    n_packs = shared.agg(F.sum(F.col("m") * blocks) / PACK_ROWS).first()[0]
     candidates = (
-        _in_blocks(members, "key", blocks, F.lit(1), PACK_ROWS)
+        _in_blocks(members, "key", blocks, n_packs)
         .groupBy("_pack")
         .applyInArrow(_prune(threshold, tolerance), "a long, b long")
     )
     groups = components(candidates)
     sized = (
-        groups.join(reps.select("id", "n"), F.col("node") == F.col("id"))
+        groups.join(reps.select("node", "n"), "node")
         .groupBy("root")
         .agg(F.count("*").alias("m"), F.sum("n").alias("total"))
-        .select(
-            F.col("root").alias("_root"),
-            F.greatest(F.ceil(F.col("m") / BLOCK), F.ceil(F.col("total") / PACK_SHINGLES)).alias("blocks"),
+        .withColumn(
+            "blocks",
+            F.greatest(F.ceil(F.col("m") / SETS), F.ceil(F.col("total") / PACK_SHINGLES)),
         )
     )
-    involved = groups.join(sized, F.col("root") == F.col("_root")).select("root", "node", "blocks")
-    texts = source.join(involved, F.col("id") == F.col("node"))
-    texts = texts.select("root", "id", "blocks", "text")
-    sets = materialize(
-        texts.mapInArrow(_sets, "root long, id long, blocks long, shingles binary"), "sets"
-    ).dropDuplicates(["root", "id"])
-    weight = F.length("shingles") / 8
+    sized = materialize(sized, "groups")
+    involved = join_facts(groups, sized, "root", "m").join(
+        same.select("node", F.col("digest").alias("_d"), "rep"), "node"
+    ).select("root", "node", "blocks", "_d", "rep")
+    texts = source.join(
+        involved, (F.col("digest") == F.col("_d")) & (F.col("id") == F.col("rep"))
+    ).select("root", "node", "blocks", "text")
+    sets = texts.mapInArrow(_sets, "root long, node long, blocks long, shingles binary")
+    sets = sets.dropDuplicates(["node"])
+    n_packs = sized.agg(F.sum(F.col("total") * F.col("blocks")) / PACK_SHINGLES).first()[0]
     verified = (
-        _in_blocks(sets, "root", F.col("blocks"), weight, PACK_SHINGLES)
+        _in_blocks(sets, "root", F.col("blocks"), n_packs)
         .groupBy("_pack")
         .applyInArrow(_verify(threshold), "a long, b long, links long")
     )
     verified = materialize(verified, "verified")
-    links = verified.groupBy("a").agg(F.sum("links").alias("n_links"))
-    classes = components(verified).join(links, F.col("node") == F.col("a")).select(
-        F.col("node"), F.col("root"), F.col("n_links")
-    )
-    known = same.join(classes, F.col("rep") == F.col("node"), "left").select(
-        F.col("digest").alias("_d"),
-        F.coalesce("root", "rep").alias("class_id"),
+    links = verified.groupBy(F.col("a").alias("_a")).agg(F.sum("links").alias("n_links"))
+    linked = components(verified).join(links, F.col("node") == F.col("_a"))
+    linked = linked.join(
+        same.select(F.col("node").alias("_node"), "rep"), F.col("node") == F.col("_node")
+    ).select("node", "root", "n_links", "rep")
+    least = linked.groupBy("root").agg(F.min("rep").alias("class_id"), F.count("*").alias("_m"))
+    classes = join_facts(linked, materialize(least, "classes"), "root", "_m")
+    classes = classes.select(F.col("node").alias("_node"), "root", "n_links", "class_id")
+    known = same.join(classes, F.col("node") == F.col("_node"), "left").select(
+        "digest",
+        F.coalesce("root", "node").alias("root"),
+        F.coalesce("class_id", "rep").alias("class_id"),
         F.coalesce("n_links", F.lit(0)).alias("n_links"),
         "n_copies",
     )
-    rows = signed.select("id", "digest").distinct()
-    return rows.join(known, F.col("digest") == F.col("_d")).select(
-        F.col("id").alias("doc_id"), "class_id", "n_links", "n_copies"
-    )
+    known = materialize(known, "text-classes")
+    return attach_facts(rows, known, "digest", "n_copies", F.col("id"), "inner")
+
+
+def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """doc_id, class_id, n_links, n_copies of every document, a key with its text.
+
+    Two texts are linked if their sets of five-word runs have a Jaccard similarity of at least
+    ``threshold``. ``n_links``: other different texts linked to the document's; ``n_copies``:
+    documents with exactly its text, itself included; ``class_id``: smallest key of the documents
+    reached over links and copies. Null texts count as empty; texts without a word link to none,
+    but are copies of equal ones. Rows without an integer key take no part; rows that repeat key
+    and text are one document, and a key with two texts is two documents. Other columns are
+    ignored; an empty table gives an empty result.
+    """
+    found = text_classes(docs, key, text, **options)
+    return found.select(F.col("id").alias("doc_id"), "class_id", "n_links", "n_copies")
 
 
 def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """``docs`` without documents whose class has one with a smaller key; rows without a key stay."""
-    found = jaccard_join(docs, key, text, **options)
-    later = found.groupBy(F.col("doc_id").alias("_later")).agg(
-        F.min(F.col("class_id") == F.col("doc_id")).alias("_first")
-    ).filter(~F.col("_first"))
-    return docs.join(later, F.col(key).cast("long") == F.col("_later"), "left_anti")
+    """One row of ``docs`` for each class: that with the smallest key, of its texts the smallest
+    digest. Rows that repeat this key and text are one row, any of them. Rows without a key stay.
+    """
+    found = text_classes(docs, key, text, **options)
+    first = found.groupBy("root").agg(F.min(F.struct("id", "digest", "n_rows")).alias("_first"))
+    first = materialize(first.select("_first.*"), "first-rows")
+    own_digest = F.md5(F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary"))
+    row = F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns)])
+    rows = docs.select(row.alias("_row"), F.col(key).cast("long").alias("_id"), own_digest.alias("_digest"))
+    kept = rows.join(first, (F.col("_id") == F.col("id")) & (F.col("_digest") == F.col("digest")))
+    once = kept.filter("n_rows = 1").select("_row")
+    if not first.filter("n_rows > 1").isEmpty():
+        again = kept.filter("n_rows > 1").dropDuplicates(["_id", "_digest"]).select("_row")
+        once = once.unionByName(again)
+    once = once.unionByName(rows.filter("_id is null").select("_row"))
+    return once.select(*[F.col("_row")[f"c{i}"].alias(c) for i, c in enumerate(docs.columns)])

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from triagemill.llm.graph import Stars, components
+from triagemill.llm.graph import Stars, components, join_facts
 from triagemill.operators.skew import attach_facts
 from triagemill.session import materialize
 
@@ -329,7 +329,7 @@ def simhash_groups(
     roots = linked.groupBy("root").agg(
         F.min("first").alias("component_id"), F.count("*").alias("_members")
     )
-    named = attach_facts(linked, roots, "root", "_members", F.col("print"), "inner").select(
+    named = join_facts(linked, materialize(roots, "roots"), "root", "_members").select(
         F.col("print").alias("_print"), "component_id"
     )
     facts = distinct.join(named, F.col("print") == F.col("_print"), "left").select(
