@@ -63,6 +63,16 @@ def test_ablation_carries_winners_on(spark, monkeypatch):
     assert len(models) == 4 and len(linear) == 1 and linear <= chosen
 
 
+def test_linear_coefficients_have_terms(spark):
+    got = Q.mod19_linear(spark, SF).toPandas()
+    groups = got.groupby(["model", "fold", "label"])
+    assert len(groups) == 2 * 3 * 6 and (groups.size() == 30).all()
+    for _, own in groups:
+        ordered = own.sort_values("rank")["coefficient"].tolist()
+        assert ordered == sorted(ordered, reverse=True) and ordered[0] > 0
+    assert got["term"].notna().all()
+
+
 def test_masking_covers_all_folds(spark, monkeypatch):
     seen = []
 

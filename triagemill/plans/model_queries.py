@@ -337,6 +337,15 @@ def mod4(spark, sf_dir):
     return rounded(_flat_predictions(spark, sf_dir, "mod4"))
 
 
+@query("mod19_linear")
+def mod19_linear(spark, sf_dir):
+    """Thirty largest coefficients of every class of both flat models, in every fold."""
+    bank = flat_bank(spark, sf_dir)
+    name_of = {c.name: m for m, c in FLAT_MODELS.items()}
+    found = bank.influential(word_vectors(spark, sf_dir).vocabulary)
+    return rounded(found.withColumn("model", lookup(F.col("candidate"), name_of)).drop("candidate"))
+
+
 @query(
     "mod_optima",
     f"""SELECT model, CAST(fold AS BIGINT) AS fold, count(*) FILTER (role = 'train') AS train_rows,
