@@ -9,7 +9,7 @@ import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from triagemill.llm.suffixes import _alike, _pieces, first_owners, remove_repeats, suffix_array, window_runs
+from triagemill.llm.suffixes import _alike, _bucket, _coded, _pieces, first_owners, remove_repeats, suffix_array, window_runs
 from triagemill.llm.queries import QUERIES
 from tests.llm.conftest import SF
 
@@ -123,7 +123,7 @@ def test_pieces_of_a_hot_name_are_dealt_out():
     texts = [t.encode() for _, t in _shared_passage(300)]
     _, _, _, names = window_runs(texts)
     name, n = Counter(names.tolist()).most_common(1)[0]
-    packed = np.array([name], np.uint64).tobytes()
+    packed = _coded(np.array([name], np.uint64), _bucket(np.array([name], np.uint64), 48)).tobytes()
     largest = {}
     for hot in ([], [packed]):
         columns = [pa.array(texts, pa.binary()), pa.array(range(300)), pa.array(range(300)), pa.array([[packed]] * 300), pa.array([hot] * 300, pa.list_(pa.binary()))]

@@ -1,10 +1,11 @@
 """Suffix-array dedup: remove every 50-byte string that an earlier document already holds.
 
-1. The least hash of the 18-byte strings in a 50-byte window names the window. Equal windows have
+1. The least hash of the 34-byte strings in a 50-byte window names the window. Equal windows have
    equal names, so only runs of windows whose name occurs in two different texts can hold a
-   repeated string. Names are brought together in packed buckets, and the rest is left behind.
+   repeated string. 32 bits of the names are brought together in packed buckets; the rest is left
+   behind.
 2. The bytes of the remaining runs meet in the bucket of their name. A window that two different
-   pieces share reaches 16 bytes beyond the named string on one side at least; pieces connected
+   pieces share reaches 8 bytes beyond the named string on one side at least; pieces connected
    by such agreement are joined by separators and sorted as suffixes: Lyndon-prefix groups in descending
    order with previous-smaller pointers, then each group's order, without recursion. Neighbours in
    this order that agree in 50 bytes are one string, whose first document is the smallest. The
@@ -23,15 +24,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from triagemill.session import materialize
 
 LENGTH = 50
-NAME_BYTES = 18
 CONTEXT = 16
 BUCKET_BYTES = 16 << 20
 HOT_TEXTS = 1 << 14  # texts with one name up to which its pieces are sorted together
-LEAST_BUCKETS = 48  # tasks that small inputs are dealt to
 _SLICE = 1 << 20
 _BASE = 0xD6E8FEB86659FD93
 
@@ -135,21 +135,31 @@ def first_owners(pieces: list[bytes], owners: np.ndarray, length: int) -> list[n
 # --- names of windows -----------------------------------------------------------------------
 
 
-def _rolled(data: np.ndarray, near: int = CONTEXT) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the ``NAME_BYTES`` and of the ``near`` bytes that start at each position."""
+def name_bytes(length: int) -> int:
+    """Bytes of the strings that name windows: two more than a power of two, 18 at least, with 14
+    bytes of the window or more beyond them."""
+    power = 16
+    while length - (2 * power + 2) >= 14:
+        power *= 2
+    return power + 2
+
+
+def _rolled(data: np.ndarray, name: int, near: int = CONTEXT) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the ``name`` and of the ``near`` bytes that start at each position."""
     power = lambda n: np.uint64(pow(_BASE, n, 1 << 64))
+    base = 1 << (name.bit_length() - 1)
     h = (data.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
     h ^= h >> np.uint64(31)
     width, ends, context = 1, None, h
-    while width < CONTEXT:  # a power of two
+    while width < base:
         h = h[:-width] * power(width) + h[width:]
         width *= 2
-        if width == NAME_BYTES - CONTEXT:
+        if width == name - base:
             ends = h
         if width == near:
             context = h
-    names = h[: len(data) - NAME_BYTES + 1] * power(NAME_BYTES - CONTEXT)
-    names = names + ends[CONTEXT : CONTEXT + len(names)]
+    names = h[: len(data) - name + 1] * power(name - base)
+    names = names + ends[base : base + len(names)]
     names = (names ^ (names >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
     return names ^ (names >> np.uint64(32)), context
 
@@ -161,8 +171,9 @@ def window_runs(texts: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, .
     if len(data) < length:
         empty = np.empty(0, np.int64)
         return empty, empty, empty, empty.astype(np.uint64)
-    names, _ = _rolled(data)
-    span, width = length - NAME_BYTES + 1, 1
+    name = name_bytes(length)
+    names, _ = _rolled(data, name)
+    span, width = length - name + 1, 1
     while 2 * width <= span:
         names = np.minimum(names[:-width], names[width:])
         width *= 2
@@ -198,6 +209,14 @@ def _bucket(names: np.ndarray, n_buckets: int) -> np.ndarray:
     return ((names >> np.uint64(40)) % np.uint64(n_buckets)).astype(np.int32)
 
 
+def _coded(names: np.ndarray, bucket: np.ndarray) -> np.ndarray:
+    """What is known of a name where names meet: its bucket and 32 of its bits.
+
+    Two names with one code only cost a look at more windows, as these are compared by their bytes.
+    """
+    return (bucket.astype(np.uint64) << np.uint64(32)) | (names & np.uint64(0xFFFFFFFF))
+
+
 def _names(n_buckets: int, length: int):
     """Names of each text's runs, packed by bucket."""
 
@@ -206,30 +225,30 @@ def _names(n_buckets: int, length: int):
             keys, digests, of, found = [], [], [], []
             for rows, texts in group:
                 text, _, _, name = window_runs(texts, length)
-                of.append(text + len(keys))
+                of.append((text + len(keys)).astype(np.int32))
                 found.append(name)
                 keys += rows.column(1).to_pylist()
                 digests += rows.column(2).to_pylist()
             of, found = np.concatenate(of), np.concatenate(found)
             keys, digests = np.array(keys, np.int64), np.array(digests, np.int64)
             bucket = _bucket(found, n_buckets)
-            order = np.lexsort((found, of, bucket))
-            bucket, of, found = bucket[order], of[order], found[order]
-            again = np.zeros(len(of), bool)
-            again[1:] = (found[1:] == found[:-1]) & (of[1:] == of[:-1])
-            bucket, of, found = bucket[~again], of[~again], found[~again]
+            narrow = bucket.astype(np.uint16) if n_buckets < 1 << 16 else bucket
+            order = np.argsort(narrow, kind="stable")  # texts stay in order within a bucket
+            bucket, of, found = bucket[order], of[order], found[order].astype(np.uint32)
             for own in np.split(np.arange(len(of)), np.flatnonzero(np.diff(bucket)) + 1):
                 if len(own):
-                    docs, at = np.unique(of[own], return_inverse=True)
+                    begin = np.flatnonzero(np.diff(of[own], prepend=-1))
+                    docs = of[own[begin]]
+                    counts = np.diff(np.append(begin, len(own))).astype(np.int32)
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array([int(bucket[own[0]])], pa.int32()),
                             pa.array([keys[docs].tobytes()], pa.binary()),
                             pa.array([digests[docs].tobytes()], pa.binary()),
-                            pa.array([at.astype(np.int32).tobytes()], pa.binary()),
+                            pa.array([counts.tobytes()], pa.binary()),
                             pa.array([found[own].tobytes()], pa.binary()),
                         ],
-                        names=["bucket", "keys", "digests", "at", "names"],
+                        names=["bucket", "keys", "digests", "counts", "names"],
                     )
 
     return names
@@ -248,22 +267,29 @@ def _gathered(parts, most: int = 24 << 20):
         yield own
 
 
-def _repeated(hot_texts: int):
-    return lambda table: _names_in_two(table, hot_texts)
+def _repeated(hot_texts: int, n_parts: int):
+    return lambda table: _names_in_two(table, hot_texts, n_parts)
 
 
-def _names_in_two(table: pa.Table, hot_texts: int) -> pa.Table:
+def _names_in_two(table: pa.Table, hot_texts: int, n_parts: int) -> pa.Table:
     """Names that occur in two different texts, packed for the first document of each text.
 
-    ``hot`` repeats those that more than ``hot_texts`` texts hold.
+    The highest bit marks those that more than ``hot_texts`` texts hold.
     """
-    keys, digests, names = [], [], []
+    keys, digests, counts, names = [], [], [], []
     for row in table.to_pylist():
-        at = np.frombuffer(row["at"], np.int32)
-        keys.append(np.frombuffer(row["keys"], np.int64)[at])
-        digests.append(np.frombuffer(row["digests"], np.int64)[at])
-        names.append(np.frombuffer(row["names"], np.uint64))
-    keys, digests, names = map(np.concatenate, (keys, digests, names))
+        keys.append(np.frombuffer(row["keys"], np.int64))
+        digests.append(np.frombuffer(row["digests"], np.int64))
+        counts.append(np.frombuffer(row["counts"], np.int32))
+        names.append(np.frombuffer(row["names"], np.uint32))
+    keys, digests, counts, names = map(np.concatenate, (keys, digests, counts, names))
+    # most names occur once and go before anything else is done with them
+    sorted_names = np.sort(names)
+    twice = sorted_names[1:][sorted_names[1:] == sorted_names[:-1]]
+    at = np.searchsorted(twice, names)
+    some = np.flatnonzero(twice[np.minimum(at, len(twice) - 1)] == names) if len(twice) else at[:0]
+    doc = np.repeat(np.arange(len(keys)), counts)[some]
+    keys, digests, names = keys[doc], digests[doc], names[some]
     order = np.lexsort((keys, digests, names))
     keys, digests, names = keys[order], digests[order], names[order]
     new_name = np.ones(len(names), bool)
@@ -273,27 +299,61 @@ def _names_in_two(table: pa.Table, hot_texts: int) -> pa.Table:
     number = np.cumsum(new_name) - 1
     n_texts = np.bincount(number[first])[number]
     kept = np.flatnonzero(first & (n_texts > 1))
-    keys, digests, names, hot = keys[kept], digests[kept], names[kept], n_texts[kept] > hot_texts
-    out = _packed(keys, digests, {"names": names, "hot": hot})
-    some = [
-        np.frombuffer(n, np.uint64)[np.frombuffer(h, bool)].tobytes()
-        for n, h in zip(out["names"].to_pylist(), out["hot"].to_pylist())
-    ]
-    return out.set_column(3, "hot", pa.array(some, pa.binary()))
-
-
-def _packed(keys: np.ndarray, digests: np.ndarray, values: dict[str, np.ndarray]) -> pa.Table:
-    """One row for each (key, digest), values as bytes in the order given."""
-    order = np.lexsort((digests, keys))
-    keys, digests = keys[order], digests[order]
-    new = np.ones(len(keys), bool)
+    bucket = np.full(len(kept), table["bucket"][0].as_py())
+    hot = (n_texts[kept] > hot_texts).astype(np.uint64) << np.uint64(63)
+    codes = _coded(names[kept].astype(np.uint64), bucket) | hot
+    return _packed(keys[kept], digests[kept], codes, n_parts)
+
+
+def _parts(keys: np.ndarray, digests: np.ndarray, n_parts: int) -> np.ndarray:
+    """Part of the documents that a key with its text belongs to; see ``_part``."""
+    return ((keys ^ digests) % n_parts).astype(np.int32)
+
+
+def _part(n_parts: int) -> Column:
+    mixed = F.coalesce("key", F.lit(0).cast("long")).bitwiseXOR(F.col("digest"))
+    return F.pmod(mixed, F.lit(n_parts)).cast("int")
+
+
+_BY_PART = "part int, keys binary, digests binary, counts binary, values binary"
+
+
+def _packed(keys: np.ndarray, digests: np.ndarray, values: np.ndarray, n_parts: int) -> pa.Table:
+    """One row for each part of the documents: its keys and texts, and the values of each."""
+    part = _parts(keys, digests, n_parts)
+    order = np.lexsort((digests, keys, part))
+    part, keys, digests, values = part[order], keys[order], digests[order], values[order]
+    new = np.ones(len(part), bool)
     new[1:] = (keys[1:] != keys[:-1]) | (digests[1:] != digests[:-1])
-    cuts = np.flatnonzero(new)
-    out = {"key": pa.array(keys[cuts]), "digest": pa.array(digests[cuts])}
-    for name, column in values.items():
-        parts = np.split(column[order], cuts[1:]) if len(cuts) else []
-        out[name] = pa.array([p.tobytes() for p in parts], pa.binary())
-    return pa.table(out)
+    first = np.flatnonzero(new)
+    counts = np.diff(np.append(first, len(part))).astype(np.int32)
+    rows = []
+    edges = [0, *(np.flatnonzero(np.diff(part[first])) + 1).tolist(), len(first)]
+    for a, b in zip(edges, edges[1:]):
+        if b > a:
+            own = first[a:b]
+            end = first[b] if b < len(first) else len(part)
+            rows.append(
+                (int(part[own[0]]), keys[own].tobytes(), digests[own].tobytes(),
+                 counts[a:b].tobytes(), values[own[0] : end].tobytes())
+            )
+    columns = list(zip(*rows)) or [()] * 5
+    kinds = [pa.int32(), *[pa.binary()] * 4]
+    names = [f.split()[0] for f in _BY_PART.split(", ")]
+    return pa.table({n: pa.array(c, k) for n, c, k in zip(names, columns, kinds)})
+
+
+def _by_document(packed: pa.Table, dtype: str, width: int = 1) -> dict[tuple[int, int], list[np.ndarray]]:
+    """Values of the documents of a part, by key and text."""
+    found: dict[tuple[int, int], list[np.ndarray]] = {}
+    for row in packed.to_pylist():
+        keys = np.frombuffer(row["keys"], np.int64).tolist()
+        digests = np.frombuffer(row["digests"], np.int64).tolist()
+        ends = np.cumsum(np.frombuffer(row["counts"], np.int32))
+        values = np.frombuffer(row["values"], dtype).reshape(-1, width)
+        for k, d, own in zip(keys, digests, np.split(values, ends[:-1])):
+            found.setdefault((k, d), []).append(own)
+    return found
 
 
 # --- pieces and spans -----------------------------------------------------------------------
@@ -317,15 +377,17 @@ def _pieces(n_buckets: int, length: int):
                     for x in rows.column(4).to_pylist()
                 ]
                 bounds = np.searchsorted(text, np.arange(len(texts) + 1))
+                buckets = _bucket(name, n_buckets)
+                code = _coded(name, buckets)
                 for i, wanted in enumerate(chosen):
                     own = np.arange(bounds[i], bounds[i + 1])
-                    own = own[np.isin(name[own], wanted)]
-                    for b, s, w, h in zip(
-                        _bucket(name[own], n_buckets).tolist(), start[own].tolist(),
-                        windows[own].tolist(), name[own].tolist(),
+                    own = own[np.isin(code[own], wanted)]
+                    for b, s, w, h, c in zip(
+                        buckets[own].tolist(), start[own].tolist(), windows[own].tolist(),
+                        name[own].tolist(), code[own].tolist(),
                     ):
                         parts = [(b, s, texts[i][s : s + w + length - 1])]
-                        if h in hot[i]:
+                        if c in hot[i]:
                             windows_of = ((x, texts[i][x : x + length]) for x in range(s, s + w))
                             parts = [
                                 (n_buckets + (zlib.crc32(p) + b) % n_buckets, x, p)
@@ -352,7 +414,7 @@ def _pieces(n_buckets: int, length: int):
 
 def _context(length: int) -> int:
     """Bytes beyond the named string that a shared window has on one side at least, by powers of two."""
-    return min(CONTEXT, 1 << (((length - NAME_BYTES + 1) // 2).bit_length() - 1))
+    return min(CONTEXT, 1 << (((length - name_bytes(length) + 1) // 2).bit_length() - 1))
 
 
 def _alike(names: np.ndarray, pieces: list[bytes], length: int = LENGTH) -> np.ndarray:
@@ -364,18 +426,18 @@ def _alike(names: np.ndarray, pieces: list[bytes], length: int = LENGTH) -> np.n
     data = np.frombuffer(b"".join(pieces), np.uint8)
     sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
     ends = np.cumsum(sizes)
-    near = _context(length)
-    named, context = _rolled(data, near)
+    near, size = _context(length), name_bytes(length)
+    named, context = _rolled(data, size, near)
     owner = np.repeat(np.arange(len(pieces)), sizes)
     at = np.flatnonzero(named == names[owner[: len(named)]])
     piece = owner[at]
-    at, piece = at[at + NAME_BYTES <= ends[piece]], piece[at + NAME_BYTES <= ends[piece]]
+    at, piece = at[at + size <= ends[piece]], piece[at + size <= ends[piece]]
     left = at - near >= (ends - sizes)[piece]
-    right = at + NAME_BYTES + near <= ends[piece]
+    right = at + size + near <= ends[piece]
     keys = np.concatenate(
         [
             context[at[left] - near] ^ (names[piece[left]] << np.uint64(1)),
-            ~context[at[right] + NAME_BYTES] ^ (names[piece[right]] << np.uint64(1)),
+            ~context[at[right] + size] ^ (names[piece[right]] << np.uint64(1)),
         ]
     )
     holder = np.concatenate([piece[left], piece[right]])
@@ -395,8 +457,52 @@ def _alike(names: np.ndarray, pieces: list[bytes], length: int = LENGTH) -> np.n
         low = now
 
 
+def _shareable(names: np.ndarray, pieces: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(start, end) of the part of each piece that can hold windows of other pieces.
+
+    All windows of a piece hold the named string. Where it occurs once, a window shared with another
+    piece lies within the bytes that both have beside it, and no piece agrees with more bytes on a
+    side than a neighbour in the order of these bytes. A part shorter than a window holds none.
+    """
+    data = np.frombuffer(b"".join(pieces), np.uint8)
+    sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+    ends = np.cumsum(sizes)
+    begin = ends - sizes
+    low, high = np.zeros(len(pieces), np.int64), sizes.copy()
+    size = name_bytes(length)
+    named, _ = _rolled(data, size)
+    owner = np.repeat(np.arange(len(pieces)), sizes)
+    at = np.flatnonzero(named == names[owner[: len(named)]])
+    at = at[at + size <= ends[owner[at]]]
+    once = np.bincount(owner[at], minlength=len(pieces)) == 1
+    at = at[once[owner[at]]]
+    piece = owner[at]
+    beyond = length - size
+    for side in (-1, 1):
+        first = at - 1 if side < 0 else at + size
+        inside = np.where(side < 0, at - begin[piece], ends[piece] - at - size)
+        agree = np.zeros(len(at), np.int64)
+        where = first[:, None] + side * np.arange(beyond)
+        beside = np.where(np.arange(beyond) < inside[:, None], data[np.clip(where, 0, len(data) - 1)], 0)
+        width = -(-beyond // 8) * 8
+        keys = np.zeros((len(at), width), np.uint8)
+        keys[:, :beyond] = beside
+        words = keys.view(">u8")
+        order = np.lexsort((*words.T[::-1], names[piece]))
+        same = (beside[order[1:]] == beside[order[:-1]]).cumprod(axis=1).sum(axis=1)
+        same = np.where(names[piece[order[1:]]] == names[piece[order[:-1]]], same, 0)
+        np.maximum.at(agree, order[1:], same)
+        np.maximum.at(agree, order[:-1], same)
+        agree = np.minimum(agree, inside)
+        if side < 0:
+            low[piece] = at - agree - begin[piece]
+        else:
+            high[piece] = at + size + agree - begin[piece]
+    return low, high
+
+
 def _spans(n_buckets: int, length: int):
-    """Spans of windows whose first document is not their own, packed by document."""
+    """Spans of windows whose first document is not their own, packed by part of the documents."""
 
     def spans(table: pa.Table) -> pa.Table:
         known: dict[tuple[int, bytes], int] = {}
@@ -423,13 +529,31 @@ def _spans(n_buckets: int, length: int):
         if table["bucket"][0].as_py() >= n_buckets:
             first = list(owner[:, None])
         else:
-            group = _alike(np.array([h for h, _ in known], np.uint64), pieces, length)
-            for i, g in enumerate(group.tolist()):
-                lanes.setdefault(g, []).append(i)
-        for lane in lanes.values():
-            found = first_owners([pieces[i] for i in lane], owner[lane], length)
-            for i, own in zip(lane, found):
-                first[i] = own
+            # outside of what pieces can share, a window's first document is that of its piece
+            names = [h for h, _ in known]
+            low, high = (x.tolist() for x in _shareable(np.array(names, np.uint64), pieces, length))
+            parts: dict[tuple[int, bytes], int] = {}
+            part_of = np.full(len(pieces), -1)
+            for i, (h, p, a, b) in enumerate(zip(names, pieces, low, high)):
+                if b - a >= length:
+                    part_of[i] = parts.setdefault((h, p[a:b]), len(parts))
+            least = np.full(len(parts), np.iinfo(np.int64).max)
+            shares = part_of >= 0
+            np.minimum.at(least, part_of[shares], owner[shares])
+            texts = [p for _, p in parts]
+            found: list = [None] * len(parts)
+            if parts:
+                group = _alike(np.array([h for h, _ in parts], np.uint64), texts, length)
+                for i, g in enumerate(group.tolist()):
+                    lanes.setdefault(g, []).append(i)
+            for lane in lanes.values():
+                for i, own in zip(lane, first_owners([texts[i] for i in lane], least[lane], length)):
+                    found[i] = own
+            sizes = [len(p) - length + 1 for p in pieces]
+            whole = np.repeat(owner, sizes)
+            first = np.split(whole, np.cumsum(sizes)[:-1])
+            for i in np.flatnonzero(shares).tolist():
+                first[i][low[i] : high[i] - length + 1] = found[part_of[i]]
         windows = np.fromiter(map(len, first), np.int64, len(first))
         begin = np.cumsum(windows) - windows
         flat = np.concatenate(first)
@@ -451,11 +575,62 @@ def _spans(n_buckets: int, length: int):
             lows.append(doc[:, 3] + inner[low])
             highs.append(doc[:, 3] + inner[high] + length)
         both = np.stack([np.concatenate(lows), np.concatenate(highs)], axis=1)
-        return _packed(np.concatenate(keys), np.concatenate(digests), {"spans": both})
+        return _packed(np.concatenate(keys), np.concatenate(digests), both, n_buckets)
 
     return spans
 
 
+def _pieces_of_part(n_buckets: int, length: int):
+    """``_pieces`` of a part's documents and the names that are repeated in them."""
+
+    def pieces(docs: pa.Table, named: pa.Table) -> pa.Table:
+        codes = _by_document(named, "<u8")
+        top = np.uint64(1) << np.uint64(63)
+        own = [(i, codes.get((k, d))) for i, (k, d) in enumerate(zip(docs["key"].to_pylist(), docs["digest"].to_pylist()))]
+        own = [(i, np.concatenate(c)[:, 0]) for i, c in own if c]
+        rows = docs.take(pa.array([i for i, _ in own], pa.int64())).combine_chunks()
+        batch = pa.RecordBatch.from_arrays(
+            [
+                *[rows[c].combine_chunks() if len(own) else pa.array([], rows[c].type) for c in ("text", "key", "digest")],
+                pa.array([[(c & ~top).tobytes()] for _, c in own], pa.list_(pa.binary())),
+                pa.array([[(c[c >= top] & ~top).tobytes()] for _, c in own], pa.list_(pa.binary())),
+            ],
+            names=["text", "key", "digest", "names", "hot"],
+        )
+        return pa.Table.from_batches(_pieces(n_buckets, length)([batch]), _PIECES)
+
+    return pieces
+
+
+_PIECES = pa.schema(
+    [("bucket", pa.int32()), *[(n, pa.binary()) for n in ("names", "sizes", "pieces", "seen")]]
+)
+
+
+def _kept_of_part(length: int, kind: pa.DataType):
+    """``_kept`` of a part's documents and their spans."""
+
+    def kept(docs: pa.Table, spans: pa.Table) -> pa.Table:
+        found = _by_document(spans, "<i8", 2)
+        keys = docs["key"].to_pylist()
+        own = [
+            [x.tobytes() for x in found.get((k, d), [])] if k is not None else []
+            for k, d in zip(keys, docs["digest"].to_pylist())
+        ]
+        batch = pa.RecordBatch.from_arrays(
+            [
+                docs["text"].combine_chunks() if len(keys) else pa.array([], pa.binary()),
+                pa.array(keys, pa.int64()).cast(kind),
+                pa.nulls(len(keys)),
+                pa.array(own, pa.list_(pa.binary())),
+            ],
+            names=["text", "doc_id", "digest", "spans"],
+        )
+        return pa.Table.from_batches(list(_kept(length)([batch])))
+
+    return kept
+
+
 def _kept(length: int):
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -512,9 +687,10 @@ def remove_repeats(
     recognized by their digest and removed as a whole, so only one of them is searched. Null texts
     count as empty. Rows without an integer key stay whole and remove nothing elsewhere; rows with
     equal keys remove nothing of each other. Other columns are ignored; an empty table gives an
-    empty result. Texts are shuffled by key once and read twice from there.
+    empty result. Texts are dealt to parts by key and content; a part's texts, about ``BUCKET_BYTES``
+    of them, and the names and spans of its documents meet in one task.
     """
-    if length < 2 * NAME_BYTES - 4:
+    if length < 32:
         raise ValueError("length is too small for the names of windows")
     own = F.coalesce(F.col(text).cast("string"), F.lit(""))
     rows = docs.select(
@@ -530,48 +706,45 @@ def remove_repeats(
         "texts",
     )
     total = narrow.agg(F.sum("_n")).first()[0] or 0
-    n_buckets = max(LEAST_BUCKETS, -(-total // BUCKET_BYTES))
+    n_buckets = max(1, -(-total // BUCKET_BYTES))
     wide = rows.filter(F.col("key").isNotNull() & (F.octet_length("text") >= length))
     names = wide.mapInArrow(
         _names(n_buckets, length),
-        "bucket int, keys binary, digests binary, at binary, names binary",
-    )
-    repeated = names.groupBy("bucket").applyInArrow(
-        _repeated(hot_texts), "key long, digest long, names binary, hot binary"
-    )
-    repeated = repeated.groupBy("key", "digest").agg(
-        F.collect_list("names").alias("names"),
-        F.collect_list(F.when(F.octet_length("hot") > 0, F.col("hot"))).alias("hot"),
+        "bucket int, keys binary, digests binary, counts binary, names binary",
     )
+    repeated = names.groupBy("bucket").applyInArrow(_repeated(hot_texts, n_buckets), _BY_PART)
     repeated = materialize(repeated, "names")
-    dealt = rows.repartition("key")
-    chosen = dealt.join(repeated, ["key", "digest"]).select(
-        "text", "key", "digest", "names", "hot"
-    )
+    dealt = rows.withColumn("part", _part(n_buckets))
     spans = (
-        chosen.mapInArrow(
-            _pieces(n_buckets, length),
+        dealt.groupBy("part")
+        .cogroup(repeated.groupBy("part"))
+        .applyInArrow(
+            _pieces_of_part(n_buckets, length),
             "bucket int, names binary, sizes binary, pieces binary, seen binary",
         )
         .groupBy("bucket")
-        .applyInArrow(_spans(n_buckets, length), "key long, digest long, spans binary")
+        .applyInArrow(_spans(n_buckets, length), _BY_PART)
     )
     first = narrow.groupBy("_md5").agg(F.min("key").alias("_first"))
     copies = narrow.join(first, "_md5").filter(
         (F.col("key") > F.col("_first")) & (F.col("_n") >= length)
     )
     whole = F.concat(_long_bytes(F.lit(0).cast("long")), _long_bytes(F.col("_n")))
-    copies = copies.select("key", "digest", whole.alias("spans")).distinct()
-    every = spans.unionByName(copies).groupBy("key", "digest").agg(
-        F.collect_list("spans").alias("spans")
+    copies = copies.select("key", "digest", "_n").distinct().select(
+        _part(n_buckets).alias("part"),
+        _long_bytes(F.col("key")).alias("keys"),
+        _long_bytes(F.col("digest")).alias("digests"),
+        F.unhex(F.lit("01000000")).alias("counts"),
+        whole.alias("values"),
     )
-    kind = docs.select(key).schema[0].dataType.simpleString()
-    joined = dealt.join(every, ["key", "digest"], "left").select(
-        "text", F.col("key").cast(kind).alias("doc_id"), "digest", "spans"
-    )
-    return joined.mapInArrow(
-        _kept(length),
-        f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string",
+    field = docs.select(key).schema[0].dataType
+    return (
+        dealt.groupBy("part")
+        .cogroup(spans.unionByName(copies).groupBy("part"))
+        .applyInArrow(
+            _kept_of_part(length, to_arrow_type(field)),
+            f"doc_id {field.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string",
+        )
     )
 
 
