@@ -30,7 +30,7 @@ from triagemill.session import materialize
 
 LENGTH = 50
 CONTEXT = 16
-BUCKET_BYTES = 16 << 20
+BUCKET_BYTES = 8 << 20
 HOT_TEXTS = 1 << 14  # texts with one name up to which its pieces are sorted together
 _SLICE = 1 << 20
 _BASE = 0xD6E8FEB86659FD93
@@ -254,7 +254,7 @@ def _names(n_buckets: int, length: int):
     return names
 
 
-def _gathered(parts, most: int = 24 << 20):
+def _gathered(parts, most: int = 12 << 20):
     """Lists of consecutive parts with about ``most`` bytes of text."""
     own, size = [], 0
     for rows, texts in parts:
