@@ -45,3 +45,25 @@ def test_rows_that_repeat_a_key_and_columns_without_order(spark):
 def test_no_dependence_on_partitions(spark, documents):
     one = sorted(map(tuple, mix(documents.coalesce(1)).collect()))
     assert one == sorted(map(tuple, mix(documents.repartition(13)).collect()))
+
+
+def test_columns_with_internal_names(spark):
+    own = ["_size", "_own", "_times", "_text", "_some", "_start", "_prime", "_row", "_src", "c1"]
+    rows = [(i, f"w{i} " * 40, "s", *[f"{n}{i}" for n in own]) for i in range(12)]
+    docs = spark.createDataFrame(rows, ["doc_id", "text", "source", *own])
+    mixed = apply_mix(docs)
+    assert mixed.columns == docs.columns
+    for r in mixed.collect():
+        assert all(r[n] == f"{n}{r['doc_id']}" for n in own)
+
+
+def test_partial_texts_are_runs(spark):
+    """A source cut to half its words keeps whole documents but at the ends of a shard's run."""
+    texts = {i: " ".join(f"d{i}w{j}" for j in range(200)) for i in range(60)}
+    rows = [(i, t, "a" if i < 5 else "b") for i, t in texts.items()]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    mixed = [(r["doc_id"], r["text"]) for r in apply_mix(docs, weights=(1, 1), share=0.5).collect()]
+    assert all(t in texts[i] for i, t in mixed)
+    assert sum(t != texts[i] for i, t in mixed) <= 4
+    taken = {r["doc_id"]: r["taken"] for r in mix(docs, weights=(1, 1), share=0.5).collect()}
+    assert abs(sum(len(t.split()) for _, t in mixed) - sum(taken.values())) < 64

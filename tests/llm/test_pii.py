@@ -145,3 +145,24 @@ def test_dates_are_those_of_the_calendar(spark):
         except ValueError:
             good = False
         assert got[i]["pii_counts"]["date"] == good, t
+
+
+def test_columns_with_internal_names(spark):
+    rows = [(1, "mail a.b@example.com", "s", "m", "c"), (2, None, "s2", "m2", "c2")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _shapes string, _made string, c1 string")
+    made = pseudonymize(docs, KEY)
+    assert made.columns == [*docs.columns, "pii_counts"]
+    got = {r["doc_id"]: (r["_shapes"], r["_made"], r["c1"], r["text"]) for r in made.collect()}
+    assert got[1][:3] == ("s", "m", "c") and "a.b@example.com" not in got[1][3]
+    assert got[2] == ("s2", "m2", "c2", None)
+
+
+def test_key_is_a_setting(spark):
+    from triagemill.llm.queries import PII_KEY, PII_KEY_SETTING, pii_key
+
+    assert pii_key(spark) == PII_KEY
+    spark.conf.set(PII_KEY_SETTING, "other")
+    try:
+        assert pii_key(spark) == "other"
+    finally:
+        spark.conf.unset(PII_KEY_SETTING)

@@ -217,17 +217,34 @@ def mix(docs: DataFrame, key: str = "doc_id", block: int = BLOCK_WORDS, **option
     )
 
 
-def apply_mix(docs: DataFrame, text: str = "text", block: int = BLOCK_WORDS, **options) -> DataFrame:
-    """The mixed corpus itself, with the columns of ``docs``.
-
-    A row appears once for each full pass of its shard, and once more with the words of its
-    chosen blocks (white space before a word kept) where some but not all are chosen. Rows
-    without a word are in no block and appear once, as no mix takes anything of them.
+def apply_mix(
+    docs: DataFrame,
+    key: str = "doc_id",
+    text: str = "text",
+    source: str = "source",
+    block: int = BLOCK_WORDS,
+    **options,
+) -> DataFrame:
+    """The mixed corpus itself, with the columns of ``docs``, whatever their names.
+
+    The blocks of a shard that are taken once more are neighbours: a run of its stream from a
+    seeded block on. Shards, passes and numbers of blocks are those of ``mix``. As a stream is whole documents in a seeded order, a run is whole documents too, cut
+    only where it begins and ends. A row appears once for each full pass of its shard, and once
+    more if the run covers it, with the words (white space before a word kept) of its covered
+    blocks if not all are. Rows without a word are in no block and appear once, as no mix takes
+    anything of them.
     """
-    columns = docs.columns
-    placed = place(docs, columns, text=text, block=block, **options)
+    names = docs.columns
+    columns = [f"c{i}" for i in range(len(names))]  # no name of its own begins with a letter
+    inner = dict(zip(names, columns))
+    placed = place(
+        docs.toDF(*columns), columns, key=inner[key], text=inner[text], source=inner[source],
+        block=block, **options,
+    )
+    text = inner[text]
     base, extra = _passes()
-    chosen = F.filter(_own_blocks(block), lambda b: _chosen(b, extra))
+    run = F.col("_turn") % (F.greatest(F.col("_blocks"), F.lit(1)) - extra + 1)
+    chosen = F.filter(_own_blocks(block), lambda b: (b >= run) & (b < run + extra))
     all_chosen = F.size("_some") == F.size("_own")
     placed = (
         placed.withColumn("_own", _own_blocks(block))
@@ -257,5 +274,5 @@ def apply_mix(docs: DataFrame, text: str = "text", block: int = BLOCK_WORDS, **o
     )
     exploded = placed.withColumn("_text", F.explode(texts))
     return exploded.select(
-        *[F.col("_text").alias(c) if c == text else F.col(c) for c in columns]
+        *[F.col("_text" if c == text else c).alias(n) for c, n in zip(columns, names)]
     )

@@ -340,8 +340,13 @@ def pseudonymize(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     format never meet. Matches do not overlap; of kinds that start at one place, the first of
     ``KINDS`` wins. Text outside valid matches is unchanged. Null texts stay null, with counts of
     0; empty texts, repeated rows and an empty table need no special case. A column named
-    ``pii_counts`` in ``docs`` is replaced; other columns are untouched. No shuffle.
+    ``pii_counts`` in ``docs`` is replaced; other columns are untouched, whatever their names.
+    No shuffle.
     """
+    names = docs.columns
+    columns = [f"c{i}" for i in range(len(names))]  # no name of its own begins with a letter
+    text = columns[names.index(text)]
+    docs = docs.toDF(*columns)
     own = F.col(text).cast("string")
     has_any = own.rlike("[0-9@]")
     docs = docs.withColumn("_shapes", F.when(has_any, _shapes(own)))
@@ -365,11 +370,11 @@ def pseudonymize(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
         F.zip_with(gaps, F.concat(new, F.array(F.lit(""))), lambda g, n: F.concat(g, n)), ""
     )
     changed = F.exists("_made", is_valid)
-    return marked.withColumn("pii_counts", counts).select(
+    return marked.select(
         *[
-            F.when(changed, joined).otherwise(own).alias(c) if c == text else F.col(c)
-            for c in docs.columns
-            if c not in ("pii_counts", "_shapes")
+            (F.when(changed, joined).otherwise(own) if c == text else F.col(c)).alias(n)
+            for c, n in zip(columns, names)
+            if n != "pii_counts"
         ],
-        "pii_counts",
+        counts.alias("pii_counts"),
     )

@@ -150,16 +150,22 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(docs, fit_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
+PII_KEY_SETTING = "spark.triagemill.pii.key"
 PII_KEY = "corpus-pseudonyms-1"
 
 
+def pii_key(spark: SparkSession) -> str:
+    """The secret of the pseudonyms from the session; a public one where none is set, as in tests."""
+    return spark.conf.get(PII_KEY_SETTING, PII_KEY)
+
+
 @query("op9_pii_pseudonyms")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole texts of all documents with keyed pseudonyms, and matches by kind."""
     from triagemill.llm.pii import pseudonymize
 
     docs = documents(spark, sf_dir).select("doc_id", "text")
-    return pseudonymize(docs, PII_KEY).select("doc_id", "text", "pii_counts.*")
+    return pseudonymize(docs, pii_key(spark)).select("doc_id", "text", "pii_counts.*")
 
 
 @query("op6_nearest_neighbours")
