@@ -11,7 +11,7 @@ from triagemill.llm.jaccard import keep_first
 from triagemill.llm.mixing import apply_mix
 from triagemill.llm.packing import pack
 from triagemill.llm.pii import pseudonymize
-from triagemill.llm.queries import PII_KEY, tokenizer_path
+from triagemill.llm.queries import pii_key, tokenizer_path
 from triagemill.llm.toxicity import drop_toxic, fit_toxicity
 from triagemill.session import configure, materialize
 
@@ -38,7 +38,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, personal data replaced by keyed pseudonyms."""
-    return _measured(pseudonymize(docs, PII_KEY).drop("pii_counts"))
+    return _measured(pseudonymize(docs, pii_key(spark)).drop("pii_counts"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
