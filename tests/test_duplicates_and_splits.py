@@ -65,6 +65,25 @@ def test_components_with_a_hub_a_chain_and_a_cycle(spark):
     assert got == union_find([p for p in pairs if p[1]], {p[0] for p in pairs})
 
 
+def test_merged_batches_equal_one_run(spark):
+    rng = random.Random(11)
+    hub = [("hub", f"h{i:03d}") for i in range(60)]
+    chain = [(f"c{i:02d}", f"c{i + 1:02d}") for i in range(20)]
+    others = [(f"r{rng.randrange(40):02d}", f"r{rng.randrange(40):02d}") for _ in range(30)]
+    links = [*hub, *chain, *others, ("c05", "hub")]
+    rng.shuffle(links)
+    odd = [(None, "x"), ("x", None), ("", "y"), ("z", "z")]
+    batches = [links[:50] + odd, links[50:55], [], links[55:] + links[:7]]
+    forest, so_far = D.empty_forest(spark), []
+    for batch in batches:
+        forest = D.merge_links(forest, spark.createDataFrame(batch, "a string, b string"))
+        so_far += [p for p in batch if p not in odd]
+        got = {r["key"]: r["root"] for r in forest.collect()}
+        keys = {k for p in so_far for k in p if p[0] != p[1]}
+        assert forest.count() == len(got)
+        assert got == {k: v for k, v in union_find(so_far, keys).items() if k in keys}
+
+
 def test_hot_key_join_is_exact(spark):
     # one key holds a third of the rows, which takes the broadcast route; the rest is cold
     rows = spark.range(6000).select(

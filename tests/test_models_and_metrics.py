@@ -1,16 +1,17 @@
 from __future__ import annotations
 
+import math
 import numpy as np
 import pytest
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from triagemill.functions import ordinal as O
+from triagemill.functions import probability as P
 from triagemill.operators import decisions as DEC
 from triagemill.operators import evaluation as E
 from triagemill.operators import features as X
 from triagemill.operators import models as M
-from triagemill.operators.decisions import _chi_square_tail, _signed_rank_p
 from triagemill.session import new_table_path
 
 
@@ -94,12 +95,105 @@ def test_ordinal_literals(spark):
     assert row["underestimation_rate"] == pytest.approx(1 / 6)
 
 
+def _chi_square_tail(x: float, dof: int) -> float:
+    """Upper tail of chi-square by its closed recurrences."""
+    if x <= 0:
+        return 1.0
+    half = x / 2.0
+    if dof % 2 == 0:
+        term, total = 1.0, 1.0
+        for i in range(1, dof // 2):
+            term *= half / i
+            total += term
+        return math.exp(-half) * total
+    total = math.erfc(math.sqrt(half))
+    term = math.exp(-half) * math.sqrt(half) / math.gamma(1.5)
+    for i in range(1, (dof - 1) // 2 + 1):
+        total += term
+        term *= half / (i + 0.5)
+    return total
+
+
+def _signed_rank_p(
+    statistic: float, n: int, tie_term: float, ties: int, exact_up_to: int = 50
+) -> float:
+    """Two-sided p: exact for untied blocks up to a number, else normal with tie correction."""
+    if n == 0:
+        return 1.0
+    if n <= exact_up_to and tie_term == 0 and ties == 0:
+        counts = np.zeros(n * (n + 1) // 2 + 1)
+        counts[0] = 1
+        for r in range(1, n + 1):
+            counts[r:] = counts[r:] + counts[:-r].copy()
+        return float(min(1.0, 2 * counts[: int(statistic) + 1].sum() / 2.0**n))
+    mean = n * (n + 1) / 4
+    variance = n * (n + 1) * (2 * n + 1) / 24 - tie_term / 48
+    z = (statistic - mean) / math.sqrt(variance)
+    return float(min(1.0, math.erfc(abs(z) / math.sqrt(2))))
+
+
 def test_p_values():
     assert _chi_square_tail(5.991464547, 2) == pytest.approx(0.05, abs=1e-6)
     assert _chi_square_tail(7.814727903, 3) == pytest.approx(0.05, abs=1e-6)
     assert _signed_rank_p(0, 5, 0, 0) == pytest.approx(2 / 32)
 
 
+def test_p_value_expressions(spark):
+    """Expressions against closed forms in plain Python."""
+    chi = [(x, k) for x in (0.0, 1e-9, 0.3, 1.4, 1.6, 3.0, 9.5, 40.0, 300.0) for k in (1, 2, 3, 4, 7, 30)]
+    got = spark.createDataFrame(chi, "x double, k int").withColumn("p", P.chi_square_tail(F.col("x"), F.col("k")))
+    for r in got.collect():
+        want = _chi_square_tail(r["x"], r["k"])
+        assert r["p"] == pytest.approx(want, rel=1e-9, abs=1e-13), r
+    signed = [(s, n, t, z) for n in (1, 5, 12, 50, 51, 200) for s in (0.0, n / 2, n * (n + 1) / 8)
+              for t, z in ((0.0, 0), (6.0, 0), (0.0, 2))]
+    signed += [(0.0, 0, 0.0, 3)]
+    got = spark.createDataFrame(signed, "s double, n int, t double, z int").withColumn(
+        "p", P.signed_rank_p(F.col("s"), F.col("n"), F.col("t"), F.col("z"))
+    )
+    for r in got.collect():
+        assert r["p"] == pytest.approx(_signed_rank_p(r["s"], r["n"], r["t"], r["z"]), rel=1e-9), r
+
+
+def student_two_sided(r, n):
+    """Closed trigonometric sums of Student's distribution."""
+    dof, cos2 = n - 2, 1 - r * r
+    if dof % 2 == 0:
+        term, total = 1.0, 0.0
+        for j in range(dof // 2):
+            total += term
+            term *= cos2 * (2 * j + 1) / (2 * j + 2)
+        return 1 - abs(r) * total
+    term, total = 1.0, 0.0
+    for j in range((dof - 1) // 2):
+        total += term
+        term *= cos2 * (2 * j + 2) / (2 * j + 3)
+    return 1 - 2 / math.pi * (math.asin(abs(r)) + abs(r) * math.sqrt(cos2) * total)
+
+
+def test_correlation_p(spark):
+    rows = [(r, n) for r in (0.0, 0.001, -0.2, 0.45, -0.8, 0.99, 1.0) for n in (2, 3, 4, 5, 25, 26, 400)]
+    rows += [(None, 9), (float("nan"), 9), (0.5, 1)]
+    got = spark.createDataFrame(rows, "r double, n int").withColumn("p", P.correlation_p(F.col("r"), F.col("n")))
+    for r in got.collect():
+        if r["r"] is None or math.isnan(r["r"]) or r["n"] < 2:
+            assert r["p"] is None
+        elif r["n"] == 2:
+            assert r["p"] == 1
+        else:
+            assert r["p"] == pytest.approx(student_two_sided(r["r"], r["n"]), abs=1e-12)
+
+
+def test_correlations_of_edge_groups(spark):
+    rows = [("one", 1.0, 2.0), ("flat", 1.0, 2.0), ("flat", 1.0, 3.0), ("flat", 1.0, 4.0), ("line", 1.0, 1.0),
+            ("line", 2.0, 2.0), ("line", 3.0, 3.0), ("line", None, 9.0), (None, 1.0, 2.0)]
+    df = spark.createDataFrame(rows, "k string, x double, y double")
+    got = {r["k"]: (r["pairs"], r["r"], r["p"]) for r in DEC.correlations(df, "k", "x", "y").collect()}
+    assert got["one"] == (1, None, None) and got["flat"] == (3, None, None) and got[None] == (1, None, None)
+    assert got["line"] == (3, pytest.approx(1.0), pytest.approx(0.0, abs=1e-7))
+    assert DEC.correlations(df.limit(0), "k", "x", "y").count() == 0
+
+
 def test_runs_are_admitted_once(spark):
     log = spark.createDataFrame([("r1",)], "run_id string")
     DEC.require_admitted(spark.createDataFrame([("r2",)], "run_id string"), log)

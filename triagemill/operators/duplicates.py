@@ -6,7 +6,7 @@ partially-aggregable functions and facts flow back to rows through ``attach_fact
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from triagemill.constants import LABELS
@@ -174,18 +174,70 @@ def connected_groups(df: DataFrame, key: str, link: str) -> DataFrame:
         .select(F.greatest(own, target).alias("v"), F.least(own, target).alias("u"))
         .distinct()
     )
+    star = _stars(edges)
+    nodes = df.select(own.alias("key")).distinct()
+    return nodes.join(star.withColumnRenamed("v", "key"), "key", "left").select(
+        "key", F.coalesce("u", "key").alias("duplicate_group")
+    )
+
+
+def _stars(edges: DataFrame) -> DataFrame:
+    """(v, u) for every node but the smallest of its component, which is u."""
     star = materialize(edges, "links")
     digest = _edge_digest(star)
     while True:
         star = materialize(_small_star(_large_star(star)), "links")
         latest = _edge_digest(star)
         if latest == digest:
-            break
+            return star
         digest = latest
-    nodes = df.select(own.alias("key")).distinct()
-    return nodes.join(star.withColumnRenamed("v", "key"), "key", "left").select(
-        "key", F.coalesce("u", "key").alias("duplicate_group")
+
+
+def empty_forest(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([], "key string, root string")
+
+
+def merge_links(forest: DataFrame, links: DataFrame) -> DataFrame:
+    """``forest`` (key, root: smallest key of its component) after ``links`` (a, b) are added.
+
+    Links are contracted to links between the roots of their ends, so rounds run over touched
+    roots only and the rest of the forest is read once. Ends that the forest does not know join
+    it. Links with a null or empty end, of a node with itself and repeated links change nothing.
+    A hub with very many new links, or a root with very many keys, is dealt out by
+    ``attach_facts``. Written to the shared folder, so batch after batch keeps a short plan.
+    """
+    a, b = F.col("a").cast("string"), F.col("b").cast("string")
+    new = (
+        links.filter((a != "") & (b != "") & (a != b))
+        .select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
+        .distinct()
+    )
+    new = materialize(new, "new-links")
+    ends = new.select(F.explode(F.array("a", "b")).alias("key")).groupBy("key")
+    known = ends.agg(F.count("*").alias("_links")).join(forest, "key", "left")
+    known = materialize(known, "link-ends")
+    end_roots = known.select("key", "_links", F.coalesce("root", "key").alias("_root"))
+    contracted = new
+    for end, other in (("a", "b"), ("b", "a")):
+        facts = end_roots.select(
+            F.col("key").alias(end), F.col("_links"), F.col("_root").alias(f"{end}_root")
+        )
+        contracted = attach_facts(contracted, facts, end, "_links", F.col(other)).drop("_links")
+    moved = _stars(
+        contracted.filter(F.col("a_root") != F.col("b_root"))
+        .select(
+            F.greatest("a_root", "b_root").alias("v"), F.least("a_root", "b_root").alias("u")
+        )
+        .distinct()
+    )
+    grown = forest.select("key", "root").unionByName(
+        known.filter(F.col("root").isNull()).select("key", F.col("key").alias("root"))
     )
+    sizes = grown.groupBy("root").agg(F.count("*").alias("_keys"))
+    facts = sizes.join(moved.withColumnRenamed("v", "root"), "root")
+    facts = materialize(facts, "moved-roots")
+    merged = attach_facts(grown, facts, "root", "_keys", F.col("key"))
+    return materialize(merged.select("key", F.coalesce("u", "root").alias("root")), "forest")
 
 
 def _edge_digest(edges: DataFrame) -> tuple:

@@ -85,19 +85,37 @@ def dup4(spark, sf_dir):
     )
 
 
-@query(
-    "dup5",
-    """WITH RECURSIVE edges AS (
+COMPONENTS_SQL = """WITH RECURSIVE edges AS (
   SELECT issue_id AS a, dupe_of AS b FROM v_reports WHERE dupe_of <> ''
   UNION SELECT dupe_of, issue_id FROM v_reports WHERE dupe_of <> ''),
 reach(node, seen) AS (
   SELECT issue_id, issue_id FROM v_reports UNION SELECT r.node, e.b FROM reach r JOIN edges e ON r.seen = e.a)
-SELECT node AS key, min(seen) AS duplicate_group FROM reach GROUP BY 1""",
-)
+SELECT node AS key, min(seen) AS duplicate_group FROM reach GROUP BY 1"""
+
+
+@query("dup5", COMPONENTS_SQL)
 def dup5(spark, sf_dir):
     return D.connected_groups(views.reports(spark, sf_dir), "issue_id", "dupe_of")
 
 
+@query("dup5_batches", COMPONENTS_SQL)
+def dup5_batches(spark, sf_dir):
+    """The same components from a stored forest into which links are merged as reports come in."""
+    reports = views.reports(spark, sf_dir)
+    year = F.coalesce(F.year("creation_time"), F.lit(0))
+    links = reports.select(
+        F.col("issue_id").alias("a"), F.col("dupe_of").alias("b"), year.alias("year")
+    )
+    forest = D.empty_forest(spark)
+    for first, last in ((1, 2017), (2018, 2020), (2021, 9999), (0, 0)):
+        batch = links.filter(F.col("year").between(first, last)).drop("year")
+        forest = D.merge_links(forest, batch)
+    keys = reports.select(F.col("issue_id").cast("string").alias("key")).distinct()
+    return keys.join(forest, "key", "left").select(
+        "key", F.coalesce("root", "key").alias("duplicate_group")
+    )
+
+
 GROUPS_SQL = """
 SELECT 'exact_text_hash' AS group_type, exact_text_hash AS group_id, exact_text_hash, count(*) AS row_count,
   count(DISTINCT source_project) AS project_count,

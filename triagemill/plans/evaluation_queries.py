@@ -760,7 +760,43 @@ def eva19(spark, sf_dir):
     )
 
 
-@query("eva19_tests")
+def gamma_tail_sql(shape: str, x: str) -> str:
+    """Q(shape, x) by the power series of the lower function."""
+    term = f"exp((n + {shape}) * ln({x}) - {x} - lgamma(n + {shape} + 1))"
+    return f"(CASE WHEN {x} <= 0 THEN 1 ELSE 1 - (SELECT sum({term}) FROM range(0, 1000) t(n)) END)"
+
+
+@query(
+    "eva19_tests",
+    f"""WITH RECURSIVE ways(n, s, c) AS (SELECT 0, 0, 1.0::DOUBLE UNION ALL
+  SELECT n + 1, s + d * (n + 1), sum(c) FROM ways, (VALUES (0), (1)) v(d) WHERE n < 50 GROUP BY 1, 2),
+scores AS MATERIALIZED (SELECT * FROM {ROUNDED_SCORES}),
+r AS (SELECT project, model, rank() OVER (PARTITION BY project ORDER BY v) + (count(*) OVER (PARTITION BY project, v) - 1) / 2 AS rk,
+  count(*) OVER (PARTITION BY project, v) AS t FROM scores),
+f AS (SELECT count(DISTINCT project) AS n, count(DISTINCT model) AS k, sum(t * t - 1) AS ties FROM r),
+sq AS (SELECT sum(s * s) AS ss FROM (SELECT sum(rk) AS s FROM r GROUP BY model)),
+fr AS (SELECT k, (12 / (n * k * (k + 1)) * ss - 3 * n * (k + 1)) / (1 - ties / (n * k * (k * k - 1))) AS friedman FROM f, sq),
+fp AS (SELECT friedman, {gamma_tail_sql('((k - 1) / 2)', '(friedman / 2)')} AS friedman_p FROM fr),
+d AS (SELECT a.model AS model_a, b.model AS model_b, a.v - b.v AS d FROM scores a JOIN scores b ON a.project = b.project AND a.model < b.model),
+w AS (SELECT *, rank() OVER (PARTITION BY model_a, model_b ORDER BY abs(d)) + (count(*) OVER (PARTITION BY model_a, model_b, abs(d)) - 1) / 2 AS r,
+  count(*) OVER (PARTITION BY model_a, model_b, abs(d)) AS t FROM d WHERE d <> 0),
+s AS (SELECT model_a, model_b, least(coalesce(sum(r) FILTER (WHERE d > 0), 0), coalesce(sum(r) FILTER (WHERE d < 0), 0)) AS statistic,
+  count(*) AS n, sum(t * t - 1) AS tied FROM w GROUP BY 1, 2),
+z AS (SELECT model_a, model_b, count(*) FILTER (WHERE d = 0) AS zeros FROM d GROUP BY 1, 2),
+m AS (SELECT z.model_a, z.model_b, zeros, statistic, n, tied,
+  (statistic - n * (n + 1) / 4) ** 2 / (n * (n + 1) * (2 * n + 1) / 24 - tied / 48) / 2 AS half
+  FROM z LEFT JOIN s ON s.model_a = z.model_a AND s.model_b = z.model_b),
+p AS (SELECT m.*, CASE WHEN n IS NULL THEN 1
+  WHEN n <= 50 AND tied = 0 AND zeros = 0 THEN least(1, 2 * (SELECT sum(c) FROM ways WHERE ways.n = m.n AND ways.s <= m.statistic) / 2 ** n)
+  ELSE {gamma_tail_sql('0.5', 'half')} END AS raw_p FROM m),
+h AS (SELECT *, least(1, raw_p * (count(*) OVER () - row_number() OVER (ORDER BY raw_p, model_a, model_b) + 1)) AS step FROM p),
+holm AS (SELECT *, max(step) OVER (ORDER BY raw_p, model_a, model_b ROWS UNBOUNDED PRECEDING) AS adjusted FROM h)
+SELECT model_a, model_b, round(friedman, 6) AS friedman, round(coalesce(friedman_p, 1), 6) AS friedman_p,
+  coalesce(friedman_p, 1) < 0.05 AS posthoc_performed, CASE WHEN friedman_p < 0.05 THEN round(statistic, 6) END AS statistic,
+  CASE WHEN friedman_p < 0.05 THEN round(raw_p, 6) END AS raw_p, CASE WHEN friedman_p < 0.05 THEN round(adjusted, 6) END AS holm_adjusted_p,
+  CASE WHEN friedman_p < 0.05 THEN adjusted < 0.05 END AS reject_0_05
+FROM holm, fp""",
+)
 def eva19_tests(spark, sf_dir):
     return rounded(DEC.paired_tests(rounded_scores(spark, sf_dir), "project", "model", "v"))
 
@@ -777,11 +813,43 @@ FROM ({PROJECT_CLASSES}) WHERE model = 'previous_ticket' GROUP BY label""",
 def eva20(spark, sf_dir):
     classes = project_classes(spark, sf_dir).filter(F.col("model") == "previous_ticket")
     size = project_scores(spark, sf_dir).filter(F.col("model") == "previous_ticket").agg(
-        F.corr(F.col("rows").cast("double"), F.col("macro_f1")).alias("size_score_r")
+        DEC.pearson(F.col("rows").cast("double"), F.col("macro_f1")).alias("size_score_r")
     )
     return rounded(DEC.support_association(classes, "project").crossJoin(F.broadcast(size)))
 
 
+def student_sql(r: str, n: str) -> str:
+    """Two-sided p of a correlation by the closed trigonometric sums for whole degrees of freedom."""
+    rest, dof = f"(1 - {r} * {r})", f"({n} - 2)"
+    odd = f"exp(lgamma(j + 1) + lgamma(1.5) - lgamma(j + 1.5)) * {rest} ** j"
+    even = f"exp(lgamma(j + 0.5) - lgamma(0.5) - lgamma(j + 1)) * {rest} ** j"
+    return (
+        f"(CASE WHEN {n} = 2 THEN 1 WHEN {dof} % 2 = 0 THEN 1 - abs({r}) * (SELECT sum({even}) FROM range(0, 100000) t(j) WHERE j < {dof} // 2)"
+        f" ELSE 1 - 2 / pi() * (asin(abs({r})) + abs({r}) * sqrt({rest}) *"
+        f" (SELECT coalesce(sum({odd}), 0) FROM range(0, 100000) t(j) WHERE j < ({dof} - 1) // 2)) END)"
+    )
+
+
+@query(
+    "eva20_tests",
+    f"""WITH pairs AS (SELECT 'size' AS item, rows::DOUBLE AS x, macro_f1 AS y FROM ({PROJECT_METRICS}) WHERE model = 'previous_ticket'
+  UNION ALL SELECT label, support::DOUBLE, f1 FROM ({PROJECT_CLASSES}) WHERE model = 'previous_ticket'),
+c AS MATERIALIZED (SELECT item, count(*) AS pairs, CASE WHEN min(x) < max(x) AND min(y) < max(y) THEN greatest(least(corr(x, y), 1), -1) END AS r
+  FROM pairs GROUP BY 1)
+SELECT item, pairs, round(r, 6) AS r, CASE WHEN r IS NOT NULL THEN round({student_sql('r', 'pairs')}, 6) END AS p FROM c""",
+)
+def eva20_tests(spark, sf_dir):
+    """Correlation of size with score over projects and, by label, of support with F1, tested."""
+    scores = project_scores(spark, sf_dir).filter(F.col("model") == "previous_ticket")
+    classes = project_classes(spark, sf_dir).filter(F.col("model") == "previous_ticket")
+    pairs = scores.select(
+        F.lit("size").alias("item"), F.col("rows").alias("x"), F.col("macro_f1").alias("y")
+    ).unionByName(
+        classes.select(F.col("label").alias("item"), F.col("support").alias("x"), F.col("f1").alias("y"))
+    )
+    return rounded(DEC.correlations(pairs, "item", "x", "y"))
+
+
 @query(
     "eva21",
     "SELECT true_label, count(*) AS errors FROM v_predictions WHERE predicted_label = '3-MEDIUM'"
