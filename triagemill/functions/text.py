@@ -31,7 +31,8 @@ URL = rf"(?i)(https?://{NON_SPACE}+|www\.{NON_SPACE}+)"
 URL_MARK = r"(?i)(https?://|www\.)"
 EMAIL_UNICODE = r"(?U)\b[\w.+-]+@[\w-]+(?:\.[\w-]+)+\b"
 EMAIL_ASCII = r"(?iU)\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}\b"
-EMAIL_LOOSE = rf"{NON_SPACE}*@{NON_SPACE}*"
+# a run of non-blanks that holds an @, whole; a run is looked at from its beginning only
+EMAIL_LOOSE = rf"(?<!{NON_SPACE}){NON_SPACE[:-1]}@]*+@{NON_SPACE}*+"
 HTML_TAG = r"<[^>]+>"
 HTML_ENTITY = r"(?U)&\w+;"
 CODE_BLOCK = r"(?s)```.*?```"
@@ -208,10 +209,10 @@ def normalized_text_hash(summary: Column, description: Column) -> Column:
 
 
 def redact(col: Column, limit: int | None = None, email: str = EMAIL_LOOSE) -> Column:
-    """Mask e-mails then URLs, then cut."""
-    masked = F.regexp_replace(
-        F.regexp_replace(text_or_empty(col), email, "[EMAIL]"), URL, "[URL]"
-    )
+    """Mask e-mails then URLs, then cut. Only texts with an @ are searched for e-mails."""
+    text = text_or_empty(col)
+    text = F.when(text.contains("@"), F.regexp_replace(text, email, "[EMAIL]")).otherwise(text)
+    masked = F.regexp_replace(text, URL, "[URL]")
     return masked if limit is None else F.substring(masked, 1, limit)
 
 
