@@ -30,3 +30,28 @@ def test_redaction_of_one_long_run(spark):
     began = time.perf_counter()
     assert rows.select(F.length(X.redact(F.col("x")))).first()[0] == 200_008
     assert time.perf_counter() - began < 20
+
+
+def test_blanks_and_tokens(spark):
+    texts = ODD + [f"a{x}b{x}{x}c {x}" for x in X.SPACE_CHARS]
+    rows = spark.createDataFrame([(x,) for x in texts], "x string")
+    c, none = F.col("x"), F.lit("")
+    both = X.structural_features(c, c)
+    found = rows.select(X.collapse(c), X.token_count(c), X.token_count(none), both["combined_tokens"]).collect()
+    for x, row in zip(texts, found):
+        n = len([w for w in re.split(SPACES + "+", x) if w])
+        assert tuple(row) == (re.sub(SPACES + "+", " ", x), n, 0, 2 * n)
+
+
+def test_measuring_blanks_makes_no_rows_of_words(spark):
+    rows = spark.range(1).select(F.lit("a b").alias("x"))
+    plan = rows.select(X.token_count(F.col("x")))._jdf.queryExecution().analyzed().toString()
+    assert "split(" not in plan
+
+
+def test_lines(spark):
+    texts = ["", "a", "\n", "\r\n", "a\n", "a\r\nb", "a\r", "\n\n", "a\x85b ", "a\x1fb\n;", "a\r\n\n if x"]
+    rows = spark.createDataFrame([(x,) for x in texts], "x string")
+    f = X.structural_features(F.lit(""), F.col("x"))
+    for x, row in zip(texts, rows.select(f["line_count"], f["combined_chars"]).collect()):
+        assert tuple(row) == (max(1, len(("\n" + x).splitlines())), len(x) + 1)

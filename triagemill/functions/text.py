@@ -25,6 +25,7 @@ SPACE = (
     r"[\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
     r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 )
+OTHER_SPACE = SPACE.replace(r"\x{20}", r"\x{1f}")
 NON_SPACE = SPACE.replace("[", "[^", 1)
 WORD = r"[\p{L}\p{N}_]"
 URL = rf"(?i)(https?://{NON_SPACE}+|www\.{NON_SPACE}+)"
@@ -47,7 +48,8 @@ LONG_HEX = r"(?iU)\b(?:0x)?[0-9a-f]{10,}\b"
 LABEL_TERM = r"(?iU)\b(blocker|critical|major|normal|minor|trivial|severity)\b"
 STACK_FRAME = rf"(?i)(?:^|\n){SPACE}*at{SPACE}+[\p{{L}}\p{{N}}_.$]+\([^\n]+\)"
 CODE_LINE = rf"(?i)([{{}};]|(?:^|\n){SPACE}*(?:public|private|class|def|if|for)\b)"
-LINE_BREAK = r"\r\n|[\n\r\x{0b}\x{0c}\x{1c}-\x{1e}\x{85}\x{2028}\x{2029}]"
+# printable ASCII, which most characters are, is refused first
+LINE_BREAK = r"(?![ -~])(?:\r\n|[\n\r\x{0b}\x{0c}\x{1c}-\x{1e}\x{85}\x{2028}\x{2029}])"
 REPEATED = r"(.)\1{3,}"
 # fixed value: decimal digits, and the other characters that count as digits
 DIGIT = (
@@ -73,12 +75,15 @@ def is_blank(col: Column) -> Column:
 
 
 def collapse(col: Column) -> Column:
-    return F.regexp_replace(col, SPACE + "+", " ")
+    """Runs of blanks become one blank; single blanks, which stay, are no matches."""
+    return F.regexp_replace(col, f"(?![!-~])(?:{OTHER_SPACE}{SPACE}*| {SPACE}+)", " ")
 
 
 def token_count(col: Column) -> Column:
-    """Number of whitespace-separated tokens."""
-    return F.size(whitespace_tokens(col)).cast("bigint")
+    """Number of whitespace-separated tokens: the blanks between them and one more."""
+    flat = F.btrim(collapse(col))
+    between = F.length(flat) - F.length(F.replace(flat, F.lit(" "), F.lit("")))
+    return (between + (flat != "").cast("int")).cast("bigint")
 
 
 def whitespace_tokens(col: Column) -> Column:
@@ -247,8 +252,9 @@ def structural_features(summary: Column, description: Column) -> dict[str, Colum
     s, d = text_or_empty(summary), text_or_empty(description)
     text = F.concat_ws("\n", s, d)
     size = F.greatest(F.length(text), F.lit(1))
+    lines = F.split(text, LINE_BREAK)
     # a final line break opens no further line
-    counted = F.split(F.regexp_replace(text, rf"(?:{LINE_BREAK})\z", ""), LINE_BREAK)
+    ended = F.substring(text, -1, 1).rlike(LINE_BREAK).cast("int")
     # the long class is asked about other characters than ASCII only
     digits = F.regexp_count(text, F.lit(rf"[0-9]|(?=[^\x00-\x7f]){DIGIT}"))
     upper = F.regexp_count(text, F.lit(r"\p{Lu}"))
@@ -262,22 +268,23 @@ def structural_features(summary: Column, description: Column) -> dict[str, Colum
         "description_chars": F.length(d),
         "description_tokens": token_count(d),
         "combined_chars": F.length(text),
-        "combined_tokens": token_count(text),
-        "line_count": F.size(counted),
+        # the line break between the two ends a token
+        "combined_tokens": token_count(s) + token_count(d),
+        "line_count": F.size(lines) - ended,
         "description_empty": is_blank(d).cast("int"),
         "digit_count": digits,
         "digit_ratio": digits / size,
         "upper_count": upper,
         "upper_ratio": upper / size,
         "punctuation_count": F.regexp_count(
-            text, F.lit(rf"[^\p{{L}}\p{{N}}_{SPACE[1:-1]}]")
+            text, F.lit(rf"(?![A-Za-z0-9 ])[^\p{{L}}\p{{N}}_{SPACE[1:-1]}]")
         ),
         "exclamation_count": F.regexp_count(text, F.lit("!")),
         "question_count": F.regexp_count(text, F.lit(r"\?")),
-        "code_lines": F.size(F.filter(counted, lambda line: line.rlike(CODE_LINE))),
+        "code_lines": F.size(F.filter(lines, lambda line: line.rlike(CODE_LINE))),
         "has_stack_trace": flag(STACK_FRAME),
         "has_url": flag(URL),
-        "has_email": flag(EMAIL_ASCII),
+        "has_email": (text.contains("@") & text.rlike(EMAIL_ASCII)).cast("int"),
         "has_html": flag(HTML_TAG),
         "has_bug_reference": flag(BUG_REFERENCE),
         "has_long_hex": flag(LONG_HEX),
