@@ -55,3 +55,25 @@ def test_lines(spark):
     f = X.structural_features(F.lit(""), F.col("x"))
     for x, row in zip(texts, rows.select(f["line_count"], f["combined_chars"]).collect()):
         assert tuple(row) == (max(1, len(("\n" + x).splitlines())), len(x) + 1)
+
+
+def test_fields_are_decoded_once(spark):
+    fields = ["", "a &amp", "é", "́x", "&#64;", "ｶﾞ &copy", "amp; b", "\r\n", "ﬁ<b>", None]
+    rows = spark.createDataFrame([(a, b) for a in fields for b in fields], "s string, d string")
+    s, d = F.col("s"), F.col("d")
+    names = ["summary", "description", "summary_description"]
+    once = X.clean_representations(s, d, names)
+    for name in names:
+        plain = X.clean_text(X.combine(s, d, name))
+        assert rows.filter(~plain.eqNullSafe(once[name])).count() == 0
+    plan = rows.select(*once.values())._jdf.queryExecution().executedPlan().toString()
+    assert max(map(int, re.findall(r"pythonUDF(\d+)", plan))) <= 1
+
+
+def test_few_texts_are_python_strings_at_a_time(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(X, "TEXTS_AT_ONCE", 3)
+    values = pa.array(["a", None, "b", "c", "d", "e", None])
+    assert X._mapped(values, str.upper).to_pylist() == ["A", None, "B", "C", "D", "E", None]
+    assert X._mapped(values.slice(0, 0), str.upper).to_pylist() == []

@@ -8,9 +8,10 @@ from __future__ import annotations
 
 import html
 import unicodedata
+from collections.abc import Callable
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -91,28 +92,36 @@ def whitespace_tokens(col: Column) -> Column:
     return F.filter(F.split(col, SPACE + "+"), lambda x: x != "")
 
 
-@F.pandas_udf(StringType())
-def _nfkc_then_unescape(values: pd.Series) -> pd.Series:
-    return values.map(
-        lambda v: html.unescape(unicodedata.normalize("NFKC", v)), na_action="ignore"
-    )
+TEXTS_AT_ONCE = 64
 
 
-@F.pandas_udf(StringType())
-def _unescape_then_nfkc(values: pd.Series) -> pd.Series:
-    return values.map(
-        lambda v: unicodedata.normalize("NFKC", html.unescape(v)), na_action="ignore"
-    )
+def _mapped(values: pa.Array, rule: Callable[[str], str]) -> pa.Array:
+    """``rule`` of every text. Few texts at a time are Python strings, the rest stays in Arrow."""
+    parts = []
+    for at in range(0, len(values), TEXTS_AT_ONCE):
+        texts = values.slice(at, TEXTS_AT_ONCE).to_pylist()
+        parts.append(pa.array([None if x is None else rule(x) for x in texts], pa.string()))
+    return pa.concat_arrays(parts) if parts else pa.array([], pa.string())
+
+
+@F.arrow_udf(StringType())
+def _nfkc_then_unescape(values: pa.Array) -> pa.Array:
+    return _mapped(values, lambda x: html.unescape(unicodedata.normalize("NFKC", x)))
 
 
-@F.pandas_udf(StringType())
-def _nfkc(values: pd.Series) -> pd.Series:
-    return values.map(lambda v: unicodedata.normalize("NFKC", v), na_action="ignore")
+@F.arrow_udf(StringType())
+def _unescape_then_nfkc(values: pa.Array) -> pa.Array:
+    return _mapped(values, lambda x: unicodedata.normalize("NFKC", html.unescape(x)))
 
 
-@F.pandas_udf(StringType())
-def _unescape(values: pd.Series) -> pd.Series:
-    return values.map(html.unescape, na_action="ignore")
+@F.arrow_udf(StringType())
+def _nfkc(values: pa.Array) -> pa.Array:
+    return _mapped(values, lambda x: unicodedata.normalize("NFKC", x))
+
+
+@F.arrow_udf(StringType())
+def _unescape(values: pa.Array) -> pa.Array:
+    return _mapped(values, html.unescape)
 
 
 def _only_where(col: Column, pattern: str, udf) -> Column:
@@ -142,11 +151,27 @@ class CleaningOptions:
 
 def clean_text(col: Column, options: CleaningOptions = CleaningOptions()) -> Column:
     """The configurable cleaner; placeholders stay upper-case since lower-casing runs first."""
+    return _cleaned(decoded(col, options), options)
+
+
+def decoded(col: Column, options: CleaningOptions = CleaningOptions()) -> Column:
+    """The first steps of the cleaner: Unicode forms and entities."""
     text = text_or_empty(col)
     if options.normalize_unicode:
-        text = _only_where(text, _NOT_ASCII_OR_ENTITY, _nfkc_then_unescape)
-    else:
-        text = _only_where(text, "&", _unescape)
+        return _only_where(text, _NOT_ASCII_OR_ENTITY, _nfkc_then_unescape)
+    return _only_where(text, "&", _unescape)
+
+
+def clean_representations(summary: Column, description: Column, names: list[str]) -> dict[str, Column]:
+    """``clean_text(combine(...))`` by name, each field decoded once for all of them.
+
+    Neither composition nor an entity crosses the blanks that ``combine`` puts between the fields.
+    """
+    s, d, options = decoded(summary), decoded(description), CleaningOptions()
+    return {x: _cleaned(combine(s, d, x), options) for x in names}
+
+
+def _cleaned(text: Column, options: CleaningOptions) -> Column:
     if options.remove_code_blocks:
         text = F.regexp_replace(text, CODE_BLOCK, " ")
     if options.remove_stack_traces:

@@ -83,14 +83,11 @@ REPRESENTATIONS = {
 )
 def txt2(spark, sf_dir):
     df = views.reports(spark, sf_dir)
-    s, d = F.col("summary"), F.col("description")
+    cleaned = X.clean_representations(F.col("summary"), F.col("description"), list(REPRESENTATIONS))
     entries = F.array(
         *[
-            F.struct(
-                F.lit(k).alias("representation"),
-                F.sha2(X.clean_text(X.combine(s, d, k)), 256).alias("text_hash"),
-            )
-            for k in REPRESENTATIONS
+            F.struct(F.lit(k).alias("representation"), F.sha2(text, 256).alias("text_hash"))
+            for k, text in cleaned.items()
         ]
     )
     return df.select("issue_id", F.explode(entries).alias("e")).select("issue_id", "e.*")
