@@ -77,3 +77,21 @@ def test_few_texts_are_python_strings_at_a_time(monkeypatch):
     values = pa.array(["a", None, "b", "c", "d", "e", None])
     assert X._mapped(values, str.upper).to_pylist() == ["A", None, "B", "C", "D", "E", None]
     assert X._mapped(values.slice(0, 0), str.upper).to_pylist() == []
+
+
+def test_indicators_as_by_one_pattern(spark):
+    texts = ODD + [
+        "HTTP://x", "hTTps:/", "xWWW.", "http:/ /", "```", "Traceback (most", "Traceback(", "a\n\t at x", "at\ny",
+        "cat x", "exception in thread", "Exception in thread", "\nat ", "İ http://", "ſ httpſ://",
+    ]
+    rows = spark.createDataFrame([(x,) for x in texts], "x string")
+    mark = rf"(?m)(```|Traceback \(|Exception in thread|^{X.SPACE}*at{X.SPACE}+{X.NON_SPACE}+)"
+    x, own = F.col("x"), X.audit_indicators(F.col("x"))
+    plain = {
+        "has_url": x.rlike(r"(?i)(https?://|www\.)"), "has_email": x.rlike(X.EMAIL_UNICODE), "has_code": x.rlike(mark),
+    }
+    for name, c in plain.items():
+        assert rows.filter(c != own[name]).count() == 0
+        assert 0 < rows.filter(c).count() < len(texts)
+    plan = rows.select(own["has_url"])._jdf.queryExecution().analyzed().toString()
+    assert "RLIKE" not in plan

@@ -30,7 +30,7 @@ OTHER_SPACE = SPACE.replace(r"\x{20}", r"\x{1f}")
 NON_SPACE = SPACE.replace("[", "[^", 1)
 WORD = r"[\p{L}\p{N}_]"
 URL = rf"(?i)(https?://{NON_SPACE}+|www\.{NON_SPACE}+)"
-URL_MARK = r"(?i)(https?://|www\.)"
+URL_WORDS = ("http://", "https://", "www.")
 EMAIL_UNICODE = r"(?U)\b[\w.+-]+@[\w-]+(?:\.[\w-]+)+\b"
 EMAIL_ASCII = r"(?iU)\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}\b"
 # a run of non-blanks that holds an @, whole; a run is looked at from its beginning only
@@ -42,7 +42,8 @@ STACK_LINE = (
     rf"(?i)(^{SPACE}*at{SPACE}+{NON_SPACE}+|Exception in thread|"
     r"Traceback \(most recent call last\):)"
 )
-CODE_MARK = rf"(?m)(```|Traceback \(|Exception in thread|^{SPACE}*at{SPACE}+{NON_SPACE}+)"
+CODE_WORDS = ("```", "Traceback (", "Exception in thread")
+CODE_MARK = rf"(?m)^{SPACE}*at{SPACE}+{NON_SPACE}+"
 ISSUE_ID = rf"(?iU)\b(?:bug{SPACE}*#?|issue{SPACE}*#?|bz{SPACE}*#?)\d{{3,}}\b"
 BUG_REFERENCE = rf"(?iU)\b(?:bug|issue|bz){SPACE}*#?{SPACE}*\d+\b"
 LONG_HEX = r"(?iU)\b(?:0x)?[0-9a-f]{10,}\b"
@@ -250,12 +251,20 @@ def cut_then_redact(col: Column, limit: int) -> Column:
     return redact(F.substring(text_or_empty(col), 1, limit))
 
 
+def _holds(text: Column, words: tuple[str, ...]) -> Column:
+    found = F.lit(False)
+    for word in words:
+        found = found | text.contains(word)
+    return found
+
+
 def audit_indicators(text: Column) -> dict[str, Column]:
+    """Fixed words are looked for as such, patterns only where they can match."""
     return {
-        "has_url": text.rlike(URL_MARK),
-        "has_email": text.rlike(EMAIL_UNICODE),
+        "has_url": _holds(F.lower(text), URL_WORDS),
+        "has_email": text.contains("@") & text.rlike(EMAIL_UNICODE),
         "has_html": text.rlike(HTML_TAG),
-        "has_code": text.rlike(CODE_MARK),
+        "has_code": _holds(text, CODE_WORDS) | text.rlike(CODE_MARK),
     }
 
 
@@ -266,7 +275,7 @@ def study_indicators(text: Column) -> dict[str, Column]:
         "code": text.rlike(CODE_LINE),
         "stack_trace": text.rlike(STACK_FRAME),
         "url": text.rlike(URL),
-        "email": text.rlike(EMAIL_ASCII),
+        "email": text.contains("@") & text.rlike(EMAIL_ASCII),
         "bug_reference": text.rlike(BUG_REFERENCE),
         "long_hex": text.rlike(LONG_HEX),
     }
