@@ -96,3 +96,23 @@ def test_stored_model_uses_all_development_rows(spark):
     held = holdout.filter("role = 'validation'").count()
     assert 0 < held < holdout.count() == Q.views.report_docs(spark, SF).count()
     assert Q.mod22(spark, SF).count() == held and Q.mod21(spark, SF).count() == 1
+
+
+def test_models_on_unigrams_move_no_terms(spark, monkeypatch):
+    """Hierarchies, ridge and thresholds are fitted by shared passes and scored where their rows lie."""
+    monkeypatch.setattr(Q.M, "fit_classifier", lambda *a, **k: 1 / 0)
+    held = Q.members(spark, SF).filter("role = 'validation'").count()
+    routes = Q.mod12(spark, SF)
+    rows = routes.collect()
+    assert len(rows) == held * 3 * len(HIERARCHIES)
+    for r in rows:
+        groups = HIERARCHIES[r["hierarchy"]]
+        assert r["true_label"] in groups[r["true_group"]]
+        if r["routing"] == "hard":
+            assert r["predicted_label"] in groups[r["predicted_group"]]
+        if r["routing"] == "oracle":
+            assert r["predicted_label"] in groups[r["true_group"]]
+    assert Q.mod14(spark, SF).filter("argmax between 0 and 5").count() == held
+    assert Q.mod5(spark, SF).filter("predicted_rank between 0 and 5").count() == held
+    scored = Q.mod22(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" not in scored.split("MapInArrow")[0]
