@@ -73,14 +73,21 @@ def naive_bayes_tables(
             for i, x in enumerate(labels)
         ]
     )
+    likelihood = _likelihoods(sums, keys, ["branch", "term"], labels, alpha)
+    return likelihood, _priors(members, labels, keys)
+
+
+def _likelihoods(
+    sums: DataFrame, keys: list[str], term: list[str], labels: list[str], alpha: float
+) -> DataFrame:
+    """Smoothed log likelihoods ll_i of ``sums(*keys, *term, _s0, ...)``."""
     totals = sums.groupBy(*keys).agg(
         F.count("*").alias("_v"),
         *[F.sum(f"_s{i}").alias(f"_t{i}") for i in range(len(labels))],
     )
-    likelihood = sums.join(F.broadcast(totals), keys).select(
+    return sums.join(F.broadcast(totals), keys).select(
         *keys,
-        "branch",
-        "term",
+        *term,
         *[
             F.log(
                 (F.col(f"_s{i}") + alpha) / (F.col(f"_t{i}") + F.lit(alpha) * F.col("_v"))
@@ -88,6 +95,9 @@ def naive_bayes_tables(
             for i in range(len(labels))
         ],
     )
+
+
+def _priors(members: DataFrame, labels: list[str], keys: list[str]) -> DataFrame:
     counted = (
         members.filter(F.col("role") == "train")
         .groupBy(*keys)
@@ -97,7 +107,7 @@ def naive_bayes_tables(
         )
     )
     # a label without training rows can never win
-    priors = counted.select(
+    return counted.select(
         *keys,
         *[
             F.when(F.col(f"_c{i}") == 0, F.lit(float("-inf")))
@@ -106,7 +116,97 @@ def naive_bayes_tables(
             for i in range(len(labels))
         ],
     )
-    return likelihood, priors
+
+
+def vector_bayes_tables(
+    vectors: DataFrame, size: int, labels: list[str], alpha: float
+) -> tuple[DataFrame, DataFrame]:
+    """(likelihoods by fold and idx, priors) as :func:`naive_bayes_tables`, from rows of vectors.
+
+    ``vectors(fold, role, label, features)`` with plain structs of ``size`` features. A task adds
+    its rows up in an array of labels x features for each fold, and only these sums move.
+    """
+    train = vectors.filter(F.col("role") == "train")
+    rows = train.select(
+        F.col("fold").cast("int").alias("fold"), "label", "features.indices", "features.values"
+    )
+    names = ["fold", "idx", *[f"_s{i}" for i in range(len(labels))]]
+    place = {x: i for i, x in enumerate(labels)}
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, np.ndarray] = {}
+        seen: dict[int, np.ndarray] = {}
+        for batch in batches:
+            n = batch.column("indices").value_lengths().to_numpy()
+            at = pc.list_flatten(batch.column("indices")).to_numpy()
+            value = pc.list_flatten(batch.column("values")).to_numpy()
+            own = np.array([place.get(x, -1) for x in batch.column("label").to_pylist()], np.int64)
+            fold, own = np.repeat(batch.column("fold").to_numpy(), n), np.repeat(own, n)
+            for f in np.unique(fold).tolist():
+                total = found.setdefault(f, np.zeros(size * len(labels)))
+                mine = fold == f
+                seen.setdefault(f, np.zeros(size, bool))[at[mine]] = True
+                mine &= own >= 0
+                total += np.bincount(own[mine] * size + at[mine], value[mine], len(total))
+        for f, total in found.items():
+            used = np.flatnonzero(seen[f])
+            columns = [pa.array(x[used]) for x in total.reshape(-1, size)]
+            columns = [pa.array(np.full(len(used), f, np.int32)), pa.array(used.astype(np.int32)), *columns]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    schema = ", ".join(["fold int", "idx int", *[f"{c} double" for c in names[2:]]])
+    sums = rows.mapInArrow(add, schema).groupBy("fold", "idx")
+    sums = sums.agg(*[F.sum(c).alias(c) for c in names[2:]])
+    return _likelihoods(sums, ["fold"], ["idx"], labels, alpha), _priors(vectors, labels, ["fold"])
+
+
+def vector_bayes_predict(
+    vectors: DataFrame, size: int, likelihood: DataFrame, priors: DataFrame, labels: list[str], key: str
+) -> DataFrame:
+    """Predictions of the validation rows; a row without known terms falls to the prior."""
+    columns = [f"ll_{i}" for i in range(len(labels))]
+    tables: dict[int, np.ndarray] = {}
+    # bounded by folds x max_features x labels
+    table = likelihood.select("fold", "idx", *columns).toArrow()
+    folds, index = table["fold"].to_numpy(), table["idx"].to_numpy()
+    values = np.column_stack([table[c].to_numpy() for c in columns])
+    for f in np.unique(folds).tolist():
+        tables[f] = np.zeros((size, len(labels)))
+        tables[f][index[folds == f]] = values[folds == f]
+    sent = vectors.sparkSession.sparkContext.broadcast(tables)
+    held = vectors.filter(F.col("role") == "validation")
+    rows = held.select(
+        key, F.col("fold").cast("int").alias("fold"), "label", "features.indices", "features.values"
+    )
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ends = batch.column("indices").value_lengths().to_numpy().cumsum()
+            at = pc.list_flatten(batch.column("indices")).to_numpy()
+            value = pc.list_flatten(batch.column("values")).to_numpy()
+            out = np.zeros((batch.num_rows, len(labels)))
+            for row, fold in enumerate(batch.column("fold").to_pylist()):
+                low, high = ends[row - 1] if row else 0, ends[row]
+                if fold in sent.value:
+                    out[row] = value[low:high] @ sent.value[fold][at[low:high]]
+            scores = pa.ListArray.from_arrays(
+                pa.array(np.arange(batch.num_rows + 1) * len(labels), pa.int32()), pa.array(out.reshape(-1))
+            )
+            yield pa.RecordBatch.from_arrays(
+                [*[batch.column(c) for c in (key, "fold", "label")], scores],
+                names=[key, "fold", "label", "scores"],
+            )
+
+    fields = [rows.schema[c] for c in (key, "fold", "label")]
+    scored = rows.mapInArrow(
+        score, T.StructType([*fields, T.StructField("scores", T.ArrayType(T.DoubleType()))])
+    ).join(F.broadcast(priors), "fold")
+    # rounding keeps the winner independent of summation order
+    total = [F.round(F.col(f"prior_{i}") + F.col("scores")[i], 9) for i in range(len(labels))]
+    return scored.select(
+        key, "fold", F.col("label").alias("true_label"),
+        fixed_order_argmax(total, labels).alias("predicted_label"),
+    )
 
 
 def naive_bayes_predict(

@@ -253,8 +253,8 @@ def fea4(spark, sf_dir):
 FROM v_weighted WHERE role = 'train' GROUP BY fold""",
 )
 def fea5(spark, sf_dir):
-    train = weighted(spark, sf_dir).filter(F.col("role") == "train")
-    return rounded(X.dimension_estimate(train))
+    train = word_vectors(spark, sf_dir).plain.filter(F.col("role") == "train")
+    return rounded(X.vector_dimensions(train))
 
 
 # ---- closed-form models ------------------------------------------------------------------
@@ -294,10 +294,9 @@ nb AS (SELECT fold, {KEY}, true_label, CASE greatest({', '.join(f'x{i}' for i in
 
 
 def naive_bayes(spark, sf_dir, alpha: float = ALPHA):
-    m = members(spark, sf_dir)
-    w = weighted(spark, sf_dir)
-    likelihood, priors = M.naive_bayes_tables(w, m, LABELS, alpha, ["fold"])
-    return M.naive_bayes_predict(w, m, likelihood, priors, LABELS, KEY, ["fold"])
+    table = word_vectors(spark, sf_dir)
+    likelihood, priors = M.vector_bayes_tables(table.plain, table.size, LABELS, alpha)
+    return M.vector_bayes_predict(table.plain, table.size, likelihood, priors, LABELS, KEY)
 
 
 @query(
@@ -973,10 +972,11 @@ SELECT CAST(fold AS BIGINT) AS fold, label, term, round(coefficient, 6) AS coeff
   SELECT *, row_number() OVER (PARTITION BY fold, label ORDER BY coefficient DESC, term) AS rk FROM u) WHERE rk <= 30""",
 )
 def mod19(spark, sf_dir):
-    likelihood, _ = M.naive_bayes_tables(
-        weighted(spark, sf_dir), members(spark, sf_dir), LABELS, ALPHA, ["fold"]
-    )
-    return rounded(M.influential_terms(likelihood, LABELS, ["fold"]))
+    table = word_vectors(spark, sf_dir)
+    likelihood, _ = M.vector_bayes_tables(table.plain, table.size, LABELS, ALPHA)
+    # bounded by folds x max_features rows
+    named = likelihood.join(F.broadcast(table.vocabulary.select("fold", "idx", "term")), ["fold", "idx"])
+    return rounded(M.influential_terms(named, LABELS, ["fold"]))
 
 
 @query(
