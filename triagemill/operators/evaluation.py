@@ -537,15 +537,37 @@ def paired_comparison(
     distance = F.abs(F.col("predicted_rank") - F.col("true_rank"))
     scored = preds.withColumn("_d", distance)
     base = scored.filter(F.col(model) == baseline).select(*keys, F.col("_d").alias("_b"))
-    return (
-        scored.filter(F.col(model) != baseline)
-        .join(base, list(keys))
-        .groupBy(model)
-        .agg(
-            F.count_if((F.col("_d") == 0) & (F.col("_b") > 0)).alias("corrected"),
-            F.count_if(F.col("_d") > F.col("_b")).alias("worsened"),
-            F.count_if(F.col("_d") < F.col("_b")).alias("closer"),
-        )
+    return _against_baseline(
+        scored.filter(F.col(model) != baseline).join(base, list(keys)), model
+    )
+
+
+def compared_cases(
+    cases: DataFrame, models: list[str], baseline: str, true_rank: str = "true_rank"
+) -> DataFrame:
+    """:func:`paired_comparison` where one row holds the ranks of all models of its case.
+
+    Each of ``models`` is a column of ranks; rows meet their baseline without a join.
+    """
+
+    def distance(model: str) -> Column:
+        return F.abs(F.col(model) - F.col(true_rank))
+
+    others = [
+        F.struct(F.lit(m).alias("model"), distance(m).alias("d")) for m in models if m != baseline
+    ]
+    paired = cases.select(
+        distance(baseline).alias("_b"), F.explode(F.array(*others)).alias("_m")
+    ).select("_b", "_m.model", F.col("_m.d").alias("_d"))
+    return _against_baseline(paired, "model")
+
+
+def _against_baseline(paired: DataFrame, model: str) -> DataFrame:
+    """Counts by model over its distance ``_d`` and the baseline's distance ``_b``."""
+    return paired.groupBy(model).agg(
+        F.count_if((F.col("_d") == 0) & (F.col("_b") > 0)).alias("corrected"),
+        F.count_if(F.col("_d") > F.col("_b")).alias("worsened"),
+        F.count_if(F.col("_d") < F.col("_b")).alias("closer"),
     )
 
 

@@ -9,6 +9,10 @@ from triagemill.operators.skew import attach_facts
 from triagemill.session import materialize
 
 _SLOT_BITS = 33
+# No window of with_previous holds more than about one of this many equal parts of all rows.
+PIECES = 100
+# One row in so many tells which keys are that large.
+_SAMPLED = 64
 
 
 def with_position(
@@ -59,6 +63,54 @@ def with_position(
     )
 
 
+def with_previous(positioned: DataFrame, key: str, value: str, name: str = "previous") -> DataFrame:
+    """Add ``name``: ``value`` of the row before, by ``pos``, that has the same ``key``.
+
+    The first row of a key gets null; null is a key. Rows move once, by key. A key that holds
+    more than 1/PIECES of a hashed sample is cut at positions, so no task gets it whole; the
+    last row of a piece, at most PIECES of them for each such key, is handed to the next one.
+    """
+    sampled = (
+        positioned.filter(F.pmod(F.xxhash64("pos"), F.lit(_SAMPLED)) == 0)
+        .groupBy(F.col(key).alias("_hot"))
+        .agg(F.count("*").alias("_n"))
+    )
+    total = F.broadcast(sampled.select(F.sum("_n").alias("_all")))
+    hot = (
+        sampled.crossJoin(total)
+        .filter(F.col("_n") * PIECES > F.col("_all"))
+        .select("_hot", F.lit(True).alias("_cut"))
+    )
+    piece = F.when(F.col("_cut"), F.floor(F.col("pos") * PIECES / F.col("n_rows"))).otherwise(-1)
+    rows = (
+        positioned.join(F.broadcast(hot), F.col(key).eqNullSafe(F.col("_hot")), "left")
+        .withColumn("_piece", piece.cast("int"))
+        .select(*positioned.columns, "_piece")
+    )
+    # a struct is null only where there is no row before, the value in it may be null
+    one = F.struct(F.col(value).alias("v"))
+    carried = (
+        rows.filter(F.col("_piece") >= 0)
+        .groupBy(F.col(key).alias("_key"), F.col("_piece").alias("_at"))
+        .agg(F.max_by(one, F.col("pos")).alias("_last"))
+        .select(
+            "_key",
+            "_at",
+            F.lag("_last").over(Window.partitionBy("_key").orderBy("_at")).alias("_carried"),
+        )
+    )
+    before = F.lag(one).over(Window.partitionBy(key, "_piece").orderBy("pos"))
+    return (
+        rows.withColumn("_before", before)
+        .join(
+            F.broadcast(carried),
+            F.col(key).eqNullSafe(F.col("_key")) & (F.col("_piece") == F.col("_at")),
+            "left",
+        )
+        .select(*positioned.columns, F.coalesce("_before", "_carried")["v"].alias(name))
+    )
+
+
 def thirds(pos: Column, n_rows: Column, rule: str) -> Column:
     """Early / middle / late by 1-based rank = pos + 1.
 

@@ -81,22 +81,6 @@ def labels_only_in_test(split: DataFrame, label: str) -> DataFrame:
     )
 
 
-def first_position_per_group(df: DataFrame, group: str) -> DataFrame:
-    return df.filter(F.col(group).isNotNull()).groupBy(F.col(group).alias(group)).agg(
-        F.min("pos").alias("_first_pos"), F.count("*").alias("_group_rows")
-    )
-
-
-def with_first_position(df: DataFrame, group: str) -> DataFrame:
-    """Add ``_first_pos``, the earliest position of the row's duplicate group.
-
-    A row without a group is a group of its own.
-    """
-    facts = first_position_per_group(df, group)
-    marked = attach_facts(df, facts, group, "_group_rows", F.col("pos"), "left")
-    return marked.withColumn("_first_pos", F.coalesce("_first_pos", "pos")).drop("_group_rows")
-
-
 def purge_test(split: DataFrame, group: str, checked: bool = True) -> DataFrame:
     """Drop test rows whose duplicate group already occurs in development."""
     marked = mark_purged_test(split, group)
@@ -139,11 +123,44 @@ def fold_bounds(k: int, n_rows: Column) -> Column:
     )
 
 
+def held_fold(k: int) -> Column:
+    """The fold in whose validation window a row lies, 0 before the first window."""
+    bounds = fold_bounds(k, F.col("n_rows"))
+    return sum((F.col("pos") >= bounds[i]["start"]).cast("int") for i in range(k))
+
+
+def groups_across_folds(positioned: DataFrame, k: int, group: str) -> DataFrame:
+    """Groups with rows in more than one window, with ``_first_fold``, the earliest of these.
+
+    Only they can leak from train into validation, and there are far fewer than groups. A row
+    without a group is a group of its own.
+    """
+    return (
+        positioned.filter(F.col(group).isNotNull())
+        .select(F.col(group).alias(group), held_fold(k).alias("_fold"))
+        .groupBy(group)
+        .agg(
+            F.min("_fold").alias("_first_fold"),
+            F.max("_fold").alias("_last_fold"),
+            F.count("*").alias("_group_rows"),
+        )
+        .filter(F.col("_first_fold") < F.col("_last_fold"))
+        .select(group, "_first_fold", "_group_rows")
+    )
+
+
+def with_first_fold(df: DataFrame, groups: DataFrame, group: str) -> DataFrame:
+    """Add ``_first_fold`` of the row's group, null unless the group is in several windows."""
+    return attach_facts(df, groups, group, "_group_rows", F.col("pos"), "left").drop("_group_rows")
+
+
 def expanding_folds(
     positioned: DataFrame, k: int = 3, group: str | None = "duplicate_group"
 ) -> DataFrame:
     """One row per (row, fold, role). Validation rows of a group seen in train are dropped."""
-    base = with_first_position(positioned, group) if group else positioned
+    base = positioned
+    if group:
+        base = with_first_fold(base, groups_across_folds(positioned, k, group), group)
     exploded = (
         base.withColumn("_bound", F.explode(fold_bounds(k, F.col("n_rows"))))
         .filter(F.col("pos") < F.col("_bound.stop"))
@@ -155,11 +172,26 @@ def expanding_folds(
     )
     if group:
         exploded = exploded.filter(
-            (F.col("role") == "train") | (F.col("_first_pos") >= F.col("_bound.start"))
-        ).drop("_first_pos")
+            (F.col("role") == "train")
+            | F.col("_first_fold").isNull()
+            | (F.col("_first_fold") >= F.col("fold"))
+        ).drop("_first_fold")
     return exploded.drop("_bound")
 
 
+def validation_rows(df: DataFrame, groups: DataFrame, k: int, group: str) -> DataFrame:
+    """The validation rows of :func:`expanding_folds`, each in its one fold, without train rows.
+
+    ``groups`` comes from :func:`groups_across_folds` over all positions.
+    """
+    held = df.withColumn("fold", held_fold(k)).filter(F.col("fold") > 0)
+    return (
+        with_first_fold(held, groups, group)
+        .filter(F.col("_first_fold").isNull() | (F.col("_first_fold") >= F.col("fold")))
+        .drop("_first_fold")
+    )
+
+
 def check_folds(folds: DataFrame, k: int) -> DataFrame:
     """Refuse a fold plan in which some fold has no validation row."""
     found = folds.filter(F.col("role") == "validation").select("fold").distinct().count()

@@ -6,26 +6,35 @@ same derivations in SQL. Tables that several operators share are written once pe
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from triagemill.constants import TICKET_LABELS
 from triagemill.functions.labels import label_to_rank
 from triagemill.functions.text import strip
-from triagemill.operators.positions import with_position
+from triagemill.operators.positions import with_position, with_previous
 from triagemill.operators.skew import attach_facts
-from triagemill.operators.splits import chronological_holdout, expanding_folds
+from triagemill.operators.splits import (
+    chronological_holdout,
+    expanding_folds,
+    groups_across_folds,
+    held_fold,
+    validation_rows,
+)
 from triagemill.session import configure, materialize
 from triagemill.sources.core import core_rows
 
 _memo: dict[tuple, DataFrame] = {}
 
 
-def remember(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
-    """Build a shared table once per (application, data folder)."""
+def remember(spark: SparkSession, sf_dir: str, name: str, build, written: bool = True) -> DataFrame:
+    """Build a shared table once per (application, data folder).
+
+    ``written=False`` is for plans that only number or extend rows of a written table.
+    """
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _memo:
-        _memo[key] = materialize(build(), name)
+        _memo[key] = materialize(build(), name) if written else build()
     return _memo[key]
 
 
@@ -103,7 +112,8 @@ def core(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
+def ticket_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of tickets that no other column yields; shuffles carry these only."""
     orders = table(spark, sf_dir, "orders")
     customer = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
     nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
@@ -111,37 +121,64 @@ def tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
         orders.join(customer, F.col("o_custkey") == F.col("c_custkey"))
         .join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey"))
         .select(
-            F.col("o_orderkey").cast("string").alias("id"),
             F.col("o_orderkey").alias("seq"),
             F.col("o_custkey").alias("customer"),
             F.col("n_name").alias("project"),
             F.col("c_mktsegment").alias("component"),
             F.col("o_orderpriority").alias("severity"),
-            label_to_rank(F.col("o_orderpriority"), TICKET_LABELS).alias("rank"),
             F.col("o_orderdate").cast("timestamp").alias("creation_time"),
-            # every eleventh ticket is in no group
-            F.when(
-                F.col("o_orderkey") % 11 != 0,
-                F.concat(
-                    F.col("o_custkey").cast("string"),
-                    F.lit("-"),
-                    (F.col("o_orderkey") % 40).cast("string"),
-                ),
-            ).alias("duplicate_group"),
         )
     )
 
 
-def positioned_tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tickets with the 80/20 chronological side of every row."""
+def ticket_id() -> Column:
+    return F.col("seq").cast("string")
+
+
+def ticket_group() -> Column:
+    """Duplicate group; every eleventh ticket is in none."""
+    return F.when(
+        F.col("seq") % 11 != 0,
+        F.concat(
+            F.col("customer").cast("string"), F.lit("-"), (F.col("seq") % 40).cast("string")
+        ),
+    )
+
+
+def with_derived(rows: DataFrame) -> DataFrame:
+    own = ["seq", "customer", "project", "component", "severity", "creation_time"]
+    return rows.select(
+        ticket_id().alias("id"),
+        *own[:-1],
+        label_to_rank(F.col("severity"), TICKET_LABELS).alias("rank"),
+        "creation_time",
+        ticket_group().alias("duplicate_group"),
+        *[c for c in rows.columns if c not in own],
+    )
+
+
+def tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_derived(ticket_rows(spark, sf_dir))
+
+
+def placed_ticket_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ticket rows in their chronological positions, which are written once."""
     return remember(
         spark,
         sf_dir,
         "tickets_split",
-        lambda: chronological_holdout(tickets(spark, sf_dir), "creation_time", "seq", "severity"),
+        lambda: chronological_holdout(
+            ticket_rows(spark, sf_dir), "creation_time", "seq", "severity"
+        ),
+        written=False,
     )
 
 
+def positioned_tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tickets with the 80/20 chronological side of every row."""
+    return with_derived(placed_ticket_rows(spark, sf_dir))
+
+
 def ticket_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three purged expanding folds over all tickets."""
     return remember(
@@ -159,65 +196,71 @@ def majority_label(counts: DataFrame, by: list[str], label: str, weight: str) ->
     )
 
 
-def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remember(spark, sf_dir, "predictions", lambda: _predictions(spark, sf_dir))
+RULE_MODELS = ("component_majority", "previous_ticket", "project_majority")
 
 
-def _predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Out-of-fold predictions of three rule models over the three ticket folds."""
-    folds = ticket_folds(spark, sf_dir)
-    train = (
-        folds.filter(F.col("role") == "train")
-        .groupBy("fold", "component", "severity")
-        .agg(F.count("*").alias("n"))
+def predicted_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Validation tickets of the three folds, with one label column for each rule model."""
+    return remember(spark, sf_dir, "predicted_cases", lambda: _predicted_cases(spark, sf_dir))
+
+
+def _predicted_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = placed_ticket_rows(spark, sf_dir).drop("partition")
+    groups = groups_across_folds(
+        placed.withColumn("duplicate_group", ticket_group()), 3, "duplicate_group"
     )
-    majority = majority_label(train, ["fold", "component"], "severity", "n")
-    by_project = (
-        folds.filter(F.col("role") == "train")
-        .groupBy("fold", "project", "severity")
-        .agg(F.count("*").alias("n"))
+    # the rows of a fold's train side are those of all windows before its own
+    train = (
+        placed.withColumn("_held", held_fold(3))
+        .filter(F.col("_held") < 3)
+        .groupBy("_held", "project", "component", "severity")
+        .agg(F.count("*").alias("_n"))
+        .withColumn("fold", F.explode(F.sequence(F.col("_held") + 1, F.lit(3))))
     )
-    project_majority = majority_label(
-        by_project, ["fold", "project"], "severity", "n"
-    ).withColumnRenamed("majority", "project_majority")
-    # previous ticket of the customer: neighbours in (customer, time, key) order
-    ordered = with_position(
-        tickets(spark, sf_dir).select("id", "seq", "customer", "creation_time", "severity"),
-        ["customer", "creation_time", "seq"],
+
+    def majority(column: str) -> DataFrame:
+        counts = train.groupBy("fold", column, "severity").agg(F.sum("_n").alias("n"))
+        return majority_label(counts, ["fold", column], "severity", "n")
+
+    component = majority("component").withColumnRenamed("majority", "component_majority")
+    project = majority("project").withColumnRenamed("majority", "project_majority")
+    rows = with_previous(placed, "customer", "severity", "previous_ticket")
+    held = validation_rows(
+        rows.withColumn("duplicate_group", ticket_group()).drop("customer"),
+        groups,
+        3,
+        "duplicate_group",
     )
-    following = ordered.select(
-        (F.col("pos") + 1).alias("pos"),
-        F.col("customer").alias("_customer"),
-        F.col("severity").alias("previous"),
+    return (
+        held.drop("duplicate_group")
+        .join(component, ["fold", "component"], "left")
+        .join(project, ["fold", "project"], "left")
+        .withColumn("previous_ticket", F.coalesce("previous_ticket", "component_majority"))
     )
-    previous = ordered.join(following, "pos").filter(
-        F.col("customer") == F.col("_customer")
-    ).select("id", "previous")
-    rows = (
-        folds.filter(F.col("role") == "validation")
-        .join(majority, ["fold", "component"], "left")
-        .join(project_majority, ["fold", "project"], "left")
-        .join(previous, "id", "left")
+
+
+def case_ranks(cases: DataFrame) -> DataFrame:
+    """True rank and the rank of every rule model's label."""
+    return cases.select(
+        label_to_rank(F.col("severity"), TICKET_LABELS).alias("true_rank"),
+        *[label_to_rank(F.col(m), TICKET_LABELS).alias(m) for m in RULE_MODELS],
     )
+
+
+def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Out-of-fold predictions of three rule models over the three ticket folds."""
     models = F.array(
-        F.struct(F.lit("component_majority").alias("model"), F.col("majority").alias("label")),
-        F.struct(
-            F.lit("previous_ticket").alias("model"),
-            F.coalesce("previous", "majority").alias("label"),
-        ),
-        F.struct(
-            F.lit("project_majority").alias("model"), F.col("project_majority").alias("label")
-        ),
+        *[F.struct(F.lit(m).alias("model"), F.col(m).alias("label")) for m in RULE_MODELS]
     )
-    return rows.withColumn("_m", F.explode(models)).select(
-        "id",
+    return predicted_cases(spark, sf_dir).withColumn("_m", F.explode(models)).select(
+        ticket_id().alias("id"),
         "fold",
         F.col("_m.model").alias("model"),
         "project",
         "component",
         F.col("severity").alias("true_label"),
         F.col("_m.label").alias("predicted_label"),
-        F.col("rank").alias("true_rank"),
+        label_to_rank(F.col("severity"), TICKET_LABELS).alias("true_rank"),
         label_to_rank(F.col("_m.label"), TICKET_LABELS).alias("predicted_rank"),
         "creation_time",
         "pos",
