@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from tests.compare import difference
 from triagemill.operators import decisions as DEC
+from triagemill.plans import catalog
 
 
 @pytest.mark.parametrize("order", [(1, 2, 3), (3, 2, 1), (2, 3, 1)])
@@ -33,3 +36,20 @@ def test_missing_label_has_no_mean(spark):
     found = DEC.task_rules(rows, rows).first()
     assert not found["material_improvement"] and not found["practically_strong"]
     assert found["minimum_mean_recall"] == 0.5
+
+
+def test_half_way_ratio_as_in_sql(spark, tmp_path):
+    """41 digits in 640 characters, a line break included: 0.0640625, whose product with a million is below a half."""
+    texts = [(i, ("7" * k).ljust(n - 1, "x"), "en", "web") for i, (k, n) in enumerate([(41, 640), (201, 3200), (1, 640), (1, 128)])]
+    spark.createDataFrame(
+        [(i, t, lang, src, len(t)) for i, t, lang, src in texts],
+        "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    ).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id bigint, quality bigint, toxic bigint").coalesce(1).write.parquet(
+        f"{tmp_path}/labels.parquet"
+    )
+    con = duckdb.connect()
+    for t in ("documents", "labels"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{tmp_path}/{t}.parquet/*.parquet')")
+    want = con.execute(catalog.ORACLE["txt8"]).fetchdf()
+    assert difference(catalog.QUERIES["txt8"](spark, str(tmp_path)).toPandas(), want) is None

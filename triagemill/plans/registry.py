@@ -29,14 +29,20 @@ def query(name: str, sql: str | None = None):
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Round doubles for comparison, turn times into text, widen integers."""
+    """Round doubles for comparison, turn times into text, widen integers.
+
+    A double is rounded as SQL does it: the product with a power of ten, to a whole number, half up.
+    Its decimal digits would end at another number where the product lies beside a half, as that
+    of 41 / 640 does.
+    """
     out = []
     for field in df.schema.fields:
         kind = field.dataType.simpleString()
         col = F.col(f"`{field.name}`")
         if kind in ("double", "float"):
+            scale = F.lit(10.0**digits)
             # adding zero folds -0.0 into 0.0
-            col = F.round(col.cast("double"), digits) + F.lit(0.0)
+            col = F.round(col.cast("double") * scale, 0) / scale + F.lit(0.0)
         elif kind in ("int", "smallint", "tinyint"):
             col = col.cast("bigint")
         elif kind.startswith("timestamp"):
